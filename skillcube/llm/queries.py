@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import op4_packing, op10_tokens
+from . import op4_packing, op5_chat, op7_mixing, op10_tokens
 
 QUERIES = {
     "op4_packing": op4_packing.query,
+    "op5_chat": op5_chat.query,
+    "op7_mixing": op7_mixing.query,
     "op10_tokens": op10_tokens.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_chat": op5_chat.SQL,
+}
