@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op3_simhash, op4_packing, op5_chat, op7_mixing, op10_tokens
+from . import op1_toxicity, op3_simhash, op4_packing, op5_chat, op7_mixing, op10_tokens
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity.query,
     "op3_simhash": op3_simhash.query,
     "op4_packing": op4_packing.query,
     "op5_chat": op5_chat.query,
