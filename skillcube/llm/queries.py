@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import op1_toxicity, op3_simhash, op4_packing, op5_chat, op7_mixing, op10_tokens
+from . import op1_toxicity, op3_simhash, op4_packing, op5_chat, op6_langid, op7_mixing, op10_tokens
 
 QUERIES = {
     "op1_toxicity": op1_toxicity.query,
     "op3_simhash": op3_simhash.query,
     "op4_packing": op4_packing.query,
     "op5_chat": op5_chat.query,
+    "op6_langid": op6_langid.query,
     "op7_mixing": op7_mixing.query,
     "op10_tokens": op10_tokens.query,
 }
