@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_toxicity, op3_simhash, op4_packing, op5_chat, op6_langid, op7_mixing, op10_tokens
+from . import op1_toxicity, op3_simhash, op4_packing, op5_chat, op6_langid, op7_mixing, op9_ctph, op10_tokens
 
 QUERIES = {
     "op1_toxicity": op1_toxicity.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_chat": op5_chat.query,
     "op6_langid": op6_langid.query,
     "op7_mixing": op7_mixing.query,
+    "op9_ctph": op9_ctph.query,
     "op10_tokens": op10_tokens.query,
 }
 
