@@ -73,12 +73,12 @@ def with_range_bucket(df: DataFrame, key: str, buckets: int, out: str = "bucket"
 def open_output(uri: str):
     fs, path = pafs.FileSystem.from_uri(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return fs.open_output_stream(path)
+    return fs.open_output_stream(path, compression=None)
 
 
 def read_bytes(uri: str) -> bytes:
     fs, path = pafs.FileSystem.from_uri(uri)
-    with fs.open_input_stream(path) as f:
+    with fs.open_input_stream(path, compression=None) as f:
         return f.read()
 
 

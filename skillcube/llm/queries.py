@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from . import op1_toxicity, op3_simhash, op4_packing, op5_chat, op6_langid, op7_mixing, op9_ctph, op10_tokens
+from . import op1_toxicity, op2_warc, op3_simhash, op4_packing, op5_chat, op6_langid, op7_mixing, op9_ctph, op10_tokens
+
+
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
 
 QUERIES = {
+    "pipeline": _pipeline,
     "op1_toxicity": op1_toxicity.query,
+    "op2_warc": op2_warc.query,
     "op3_simhash": op3_simhash.query,
     "op4_packing": op4_packing.query,
     "op5_chat": op5_chat.query,
@@ -16,5 +25,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": op2_warc.SQL,
     "op5_chat": op5_chat.SQL,
 }
