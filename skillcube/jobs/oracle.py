@@ -39,8 +39,8 @@ STEPS = {
     "ahead": f"SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY {SERIES}) AS n, {_lags(5)}, " + ", ".join(f"lead(value, {k}) OVER w AS t{k}" for k in LEADS) + f" FROM spine WINDOW w AS (PARTITION BY {SERIES} ORDER BY week)",
     "points": " UNION ALL ".join(f"SELECT {SERIES}, week AS init, value AS current, {k} AS lead, t{k} AS truth, m0, m1, m2, m3, m4 FROM ahead" for k in LEADS),
     "test": f"SELECT * FROM points WHERE split = 'test' AND {BOX}",
-    "full": "SELECT * FROM test WHERE truth IS NOT NULL AND m0 + m1 + m2 + m3 + m4 IS NOT NULL",
-    "scored": "SELECT *, near - pairs / 25 AS biased, near - pairs / 20 AS fair, (m0 + m1 + m2 + m3 + m4) / 5 AS f FROM (SELECT *, (" + " + ".join(f"abs(m{i} - truth)" for i in range(5)) + ") / 5 AS near, " + " + ".join(f"abs(m{i} - m{j})" for i in range(5) for j in range(i)) + " AS pairs FROM full)",
+    "whole": "SELECT * FROM test WHERE truth IS NOT NULL AND m0 + m1 + m2 + m3 + m4 IS NOT NULL",
+    "scored": "SELECT *, near - pairs / 25 AS biased, near - pairs / 20 AS fair, (m0 + m1 + m2 + m3 + m4) / 5 AS f FROM (SELECT *, (" + " + ".join(f"abs(m{i} - truth)" for i in range(5)) + ") / 5 AS near, " + " + ".join(f"abs(m{i} - m{j})" for i in range(5) for j in range(i)) + " AS pairs FROM whole)",
     "pool": f"SELECT variable, cell_id, t.woy AS target_woy, value AS x FROM (SELECT * FROM spine WHERE split = 'train' AND value IS NOT NULL AND {BOX}) JOIN (SELECT unnest(range(1, 54)) AS woy) AS t ON least(abs(weekofyear(week) - t.woy), 52 - abs(weekofyear(week) - t.woy)) <= 3",
     "pool_m": "SELECT variable, cell_id, target_woy, list(x ORDER BY x) AS xs FROM pool GROUP BY 1, 2, 3",
     "pool_c": "SELECT variable, lead, init, lat, list_sum(list_transform(xs, lambda x: abs(x - truth))) / len(xs) AS near, CASE WHEN len(xs) = 1 THEN 0 ELSE list_sum(list_transform(xs, lambda x, k: (2 * (k - 1) - (len(xs) - 1)) * x)) / (len(xs) * (len(xs) - 1)) END AS apart FROM test JOIN pool_m ON pool_m.variable = test.variable AND pool_m.cell_id = test.cell_id AND target_woy = weekofyear(init + 7 * lead) WHERE truth IS NOT NULL".replace("SELECT variable", "SELECT test.variable"),
@@ -119,11 +119,11 @@ ORACLE_SQL = {
     "crpss": sql("SELECT variable, lead_week, round(1 - crps_persistence / nullif(crps_climatology, 0), 6) + 0.0 AS crpss FROM base"),
     "fair_crps_loss": sql(f"SELECT variable, lead, round(sum(s * {W}) / avg({W}) / nullif(sum(n), 0), 6) + 0.0 AS fair_crps FROM (SELECT variable, lead, lat, sum(fair) AS s, count(fair) AS n FROM (SELECT test.*, scored.fair FROM test LEFT JOIN scored USING (variable, cell_id, init, lead)) GROUP BY ALL) GROUP BY ALL"),
     "weighted_mse": sql(f"SELECT variable, lead, round(sum(e * {W}) / avg({W}) / nullif(sum(n), 0), 6) + 0.0 AS mse FROM (SELECT variable, lead, lat, sum((f - test.truth) ** 2) AS e, count(f) AS n FROM test LEFT JOIN (SELECT variable, cell_id, init, lead, f FROM scored) USING (variable, cell_id, init, lead) GROUP BY ALL) GROUP BY ALL"),
-    "rank_histogram": sql(f"SELECT variable, lead, CAST(rank AS INTEGER) AS rank, round(coalesce(sum(1.0 / (ties + 1)) FILTER (rank BETWEEN below AND below + ties), 0), 6) + 0.0 AS count FROM (SELECT variable, lead, {_BELOW} AS below, {_TIES} AS ties FROM full), (SELECT unnest(range(6)) AS rank) GROUP BY ALL"),
+    "rank_histogram": sql(f"SELECT variable, lead, CAST(rank AS INTEGER) AS rank, round(coalesce(sum(1.0 / (ties + 1)) FILTER (rank BETWEEN below AND below + ties), 0), 6) + 0.0 AS count FROM (SELECT variable, lead, {_BELOW} AS below, {_TIES} AS ties FROM whole), (SELECT unnest(range(6)) AS rank) GROUP BY ALL"),
     "spread_error_ratio": sql(f"SELECT variable, lead, {r('spread_error_ratio')} FROM spread"),
     "event_probability": sql(f"SELECT variable, cell_id, init, lead, round(({_GT}) / 5.0, 6) + 0.0 AS p_gt, round(({_LT}) / 5.0, 6) + 0.0 AS p_lt FROM test WHERE truth IS NOT NULL"),
-    "reliability_curve": sql(f"SELECT variable, lead, CAST(b AS INTEGER) AS bin, round([{', '.join(_CENTERS)}][b + 1], 6) + 0.0 AS center, round(avg(y) FILTER (pos = b), 6) + 0.0 AS observed, count(*) FILTER (pos = b) AS n FROM (SELECT variable, lead, y, " + " + ".join(f"CAST(p >= CAST({e} AS DOUBLE) AS INT)" for e in _EDGES) + f" AS pos FROM (SELECT variable, lead, ({_GT}) / CAST(5 AS DOUBLE) AS p, CAST(truth > 0 AS INT) AS y FROM test WHERE truth IS NOT NULL)), (SELECT unnest(range(10)) AS b) GROUP BY ALL"),
-    "reliability_ranks": sql("SELECT variable, lead, (i + 0.5) / 10 AS nominal, round(avg(CAST(truth <= list_sort([m0, m1, m2, m3, m4])[least(CAST(floor((i + 0.5) / 10 * 5) AS INT), 4) + 1] AS INT)), 6) + 0.0 AS observed FROM full, (SELECT CAST(unnest(range(10)) AS DOUBLE) AS i) GROUP BY ALL"),
+    "reliability_curve": sql(f"SELECT variable, lead, CAST(b AS INTEGER) AS bin, round(CAST([{', '.join(_CENTERS)}] AS DOUBLE[])[b + 1], 6) + 0.0 AS center, round(avg(y) FILTER (pos = b), 6) + 0.0 AS observed, count(*) FILTER (pos = b) AS n FROM (SELECT variable, lead, y, " + " + ".join(f"CAST(p >= CAST({e} AS DOUBLE) AS INT)" for e in _EDGES) + f" AS pos FROM (SELECT variable, lead, ({_GT}) / CAST(5 AS DOUBLE) AS p, CAST(truth > 0 AS INT) AS y FROM test WHERE truth IS NOT NULL)), (SELECT unnest(range(10)) AS b) GROUP BY ALL"),
+    "reliability_ranks": sql("SELECT variable, lead, (i + 0.5) / 10 AS nominal, round(avg(CAST(truth <= list_sort([m0, m1, m2, m3, m4])[least(CAST(floor((i + 0.5) / 10 * 5) AS INT), 4) + 1] AS INT)), 6) + 0.0 AS observed FROM whole, (SELECT CAST(unnest(range(10)) AS DOUBLE) AS i) GROUP BY ALL"),
     "evaluation_scores": sql(f"SELECT variable, lead, {r('crps_model', 'crps_clim_det', 'crps_clim_prob', 'crpss_vs_det', 'crpss_vs_prob', 'acc_mean', 'rmse_mean', 'spread_error_ratio')} FROM evaluated"),
     "decision_gate": sql("SELECT coalesce(bool_and(coalesce(crpss_vs_prob > 0, false)), false) AS passed FROM evaluated WHERE lead IN (3, 4)"),
     "haversine_knn": sql(f"SELECT to_id, CAST(rank AS INTEGER) AS rank, {r('dist')} FROM knn"),
