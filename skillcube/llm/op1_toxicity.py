@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-TRAIN_PER_CLASS, MAX_WEIGHTS, MIN_DOCS = 8_000, 100_000, 3
+TRAIN_PER_CLASS, MAX_WEIGHTS, MIN_DOCS = 5_000, 100_000, 3
 ALPHA, BETA, L1, L2, EPOCHS = 0.15, 1.0, 1.5, 0.1, 4
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
