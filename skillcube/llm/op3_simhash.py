@@ -17,7 +17,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -113,24 +113,32 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     return pairs.select("left", "fps").mapInPandas(compare, "a long, b long")
 
 
+def _roots(rows: DataFrame, radius: int) -> DataFrame:
+    """(fp, root) for each distinct fp of rows; root stands for its component."""
+    groups = rows.select("fp").distinct()
+    roots = components(written(links(groups, radius), "simhash-links"), "simhash-edges")
+    return groups.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id for each row of docs."""
     rows = written(fingerprints(docs.select(F.col("doc_id").cast("long"), "text"), words), "simhash-rows")
-    groups = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(written(links(groups.select("fp"), radius), "simhash-links"), "simhash-edges")
-    named = groups.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "root").select("fp", "component_id")
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    named = least.join(_roots(rows, radius), "fp")
+    component = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_fp = named.join(component, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_per_component(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """docs without those whose group holds a smaller doc_id; of repeated rows of that id one stays."""
-    kept = near_duplicates(docs, words, radius)
-    ids = kept.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    stay = docs.join(ids.withColumnRenamed("doc_id", "_keep"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
-    return stay.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    """Of each component the row with the smallest doc_id (nulls last; of repeated rows the first read)."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    named = docs.select(whole.alias("doc"), F.col("doc_id").cast("long").alias("id"), "text", F.monotonically_increasing_id().alias("rid"))
+    rows = written(fingerprints(named, words), "simhash-documents")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "rid"))
+    by_fp = rows.groupBy("fp").agg(first.alias("first")).join(_roots(rows, radius), "fp")
+    kept = by_fp.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("rid"))
+    return rows.join(kept, "rid", "left_semi").select("doc.*")
 
 
 def query(spark, sf_dir):
