@@ -18,13 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_WORD, table, written
+from .common import ASCII_WORD, shuffle_partitions, table, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 BLOCK_WORDS, SHARD_WORDS, SEED = 256, 1_000_000, 20240229
 ROUNDS = 24
-SLOTS_PER_ROW, ROWS_PER_BUCKET, BROADCAST_ROWS = 10_000, 20_000, 100_000
+SLOTS_PER_ROW, ROWS_PER_BUCKET, BROADCAST_ROWS = 2_000, 20_000, 100_000
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def slots(by_source: DataFrame, shards: int, block_words: int = BLOCK_WORDS) ->
     s = s.withColumn("full", F.floor(F.col("size") / n)).withColumn("blocks", F.ceil(F.col("size") / n))
     s = s.withColumn("n", F.col("epochs") * F.col("blocks") + F.ceil(F.col("left") / n)).where("n > 0")
     s = s.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SLOTS_PER_ROW).cast("long"))))
-    s = s.repartition(F.col("source_rank"), F.col("lo"))
+    s = s.repartition(shuffle_partitions(by_source.sparkSession), "source_rank", "lo")  # few bytes now, many rows next
     s = s.withColumn("slot", F.explode(F.sequence("lo", F.least(F.col("lo") + SLOTS_PER_ROW, F.col("n")) - 1)))
     s = s.withColumn("epoch", F.least(F.expr("slot div blocks"), F.col("epochs"))).withColumn("j", F.col("slot") - F.col("epoch") * F.col("blocks"))
     block = F.when(F.col("j") < F.col("full"), permuted(F.col("j"), F.col("full"), [F.lit(SEED), F.col("source_rank"), F.col("epoch")])).otherwise(F.col("j"))
@@ -103,7 +103,7 @@ def takes(rows: DataFrame, slot_rows: DataFrame, block_words: int = BLOCK_WORDS)
     n = block_words
     parts = rows.where("size > 0").select("rid", "source_rank", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / n), F.floor((F.col("start") + F.col("size") - 1) / n))).alias("block"))
     lo, hi = F.greatest(F.col("start"), F.col("block") * n), F.least(F.col("start") + F.col("size"), F.col("block") * n + F.col("take"))
-    joined = parts.join(slot_rows.select("source_rank", "block", "epoch", "shard", "take"), ["source_rank", "block"])
+    joined = parts.join(slot_rows.select("source_rank", "block", "epoch", "shard", "take").hint("merge"), ["source_rank", "block"])  # both sides grow with the words
     return joined.where(hi > lo).select("rid", "epoch", "shard", (lo - F.col("start")).alias("first"), (hi - lo).alias("words"))
 
 
