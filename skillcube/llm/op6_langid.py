@@ -66,7 +66,6 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         inner = np.ones(len(c) - n + 1, bool)
         for i in range(1, n - 1):  # a blank stands at an end only
             inner &= letter[i : len(c) - n + 1 + i]
-        inner &= letter[: len(c) - n + 1] | letter[n - 1 :]
         at = np.flatnonzero(inner)
         h = np.full(len(at), n, _U)
         with np.errstate(over="ignore"):
