@@ -2,7 +2,7 @@
 
 A rolling hash over the last WINDOW bytes ends a chunk wherever it meets a trigger value for the block
 size; each chunk gives one character of the signature. The block size is the smallest BLOCK_MIN * 2**k
-that would cut the text into at most SIGNATURE chunks; a second signature at twice the size lets
+that would cut the text into at most SIGNATURE chunks, halved while it gives under a quarter of them; a second signature at twice the size lets
 fingerprints of neighbouring block sizes be compared. Likeness: of the signatures at a block size both
 have, 1 - (insertions + deletions) / (both lengths), if they share a run of COMMON characters (or are
 that short and equal in part: see `likeness`), else 0; equal fingerprints have likeness 1.
@@ -70,7 +70,7 @@ def fingerprint(text: str) -> str:
         size *= 2
     while True:
         ends = _triggers(raw, size)
-        if len(ends) >= SIGNATURE // 2 or size == BLOCK_MIN:
+        if len(ends) >= SIGNATURE // 4 or size == BLOCK_MIN:
             break
         size //= 2
     twice = _triggers(raw, 2 * size)
