@@ -107,11 +107,11 @@ def takes(rows: DataFrame, slot_rows: DataFrame, block_words: int = BLOCK_WORDS)
     return joined.where(hi > lo).select("rid", "epoch", "shard", (lo - F.col("start")).alias("first"), (hi - lo).alias("words"))
 
 
-def plan(docs: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows with rid, source_rank, start and size; sources with targets; takes)."""
-    cols = [F.col("doc_id"), F.col("source").cast("string"), F.col("text").cast("string")]
-    base = sized(docs.select(*cols, *[c for c in keep if c not in ("doc_id", "source", "text")]))
-    numbered = written(base.drop(*(() if "text" in keep else ("text",))).withColumn("rid", F.monotonically_increasing_id()), "mix-sizes")
+def plan(docs: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with rid and size, and with `whole` all columns as the struct doc; sources with targets; takes)."""
+    doc = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if whole else []
+    base = sized(docs.select("doc_id", F.col("source").cast("string"), F.col("text").cast("string"), *doc)).drop("text")
+    numbered = written(base.withColumn("rid", F.monotonically_increasing_id()), "mix-sizes")
     by_source = written(targets(numbered), "mix-targets")
     shards = max(1, int((by_source.agg(F.sum("target")).first()[0] or 0) // SHARD_WORDS))
     rows = placed(numbered.select("doc_id", "source", "size", "rid"), by_source)
@@ -123,16 +123,15 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     A document that an epoch takes whole keeps its text as it is; else the taken words are joined by spaces.
     """
-    names = docs.columns
-    numbered, _, taken = plan(docs, tuple(names))
+    numbered, _, taken = plan(docs, whole=True)
     runs = taken.groupBy("rid", "epoch").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("first", "words"))).alias("runs"))
-    words = F.regexp_extract_all("text", F.lit(f"({ASCII_WORD})"))
+    words = F.regexp_extract_all("doc.text", F.lit(f"({ASCII_WORD})"))
     some = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(words, (r.first + 1).cast("int"), r.words.cast("int")))), " ")
-    text = F.when(F.col("taken") == F.col("size"), F.col("text")).otherwise(some)
-    out = numbered.join(runs, "rid").withColumn("text", text)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*[F.col(f"`{c}`") for c in names])
+    out = numbered.join(runs, "rid").withColumn("text", F.when(F.col("taken") == F.col("size"), F.col("doc.text")).otherwise(some))
+    doc = F.col("doc").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        doc = doc.withField("n_chars", F.char_length("text").cast("long"))
+    return out.select(doc.alias("doc")).select("doc.*")
 
 
 def mixed_counts(docs: DataFrame) -> DataFrame:
