@@ -29,7 +29,13 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         spark.conf.set("spark.checkpoint.dir", root)
     if "://" not in root:
         root = f"file://{root}" if spark.sparkContext.master.startswith("local") else root
-    return f"{root.rstrip('/')}/skillcube/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/skillcube/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes this application's scratch tables and files; results that still read them are lost."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark, "x").rsplit("/", 1)[0])
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -8,7 +8,8 @@ the list of (hash, weight) that remain, at most MAX_WEIGHTS. The intercept is mo
 true log odds, so the bound on rows doesn't shift the scores.
 
 Null and empty texts have no features and score the intercept alone. Labels other than 0 and 1, and
-labelled ids without a document, are left out of fitting; repeated rows count each. Without a row of
+labelled ids without a document, are left out of fitting. A repeated id teaches once, with its largest
+label and text, so the bound holds whatever repeats; every row is scored. Without a row of
 either class the model is empty and every score is 0.
 """
 
@@ -112,15 +113,17 @@ def fit_ftrl(features: list[np.ndarray], labels: np.ndarray, alpha=ALPHA, beta=B
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS):
     """Model from docs (doc_id, text) and labels (doc_id, label 0 or 1): (hashes, weights, intercept)."""
-    named = docs.select("doc_id").join(labels.where(F.col("label").isin(0, 1)), "doc_id")
+    labels = labels.where(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))
+    named = docs.select("doc_id").distinct().join(labels, "doc_id")
     counts = {r["label"]: r["n"] for r in named.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts.get(0) or not counts.get(1):
         return np.zeros(0, _U), np.zeros(0), -35.0
     # the hash is uniform: about per_class rows of each class lie under that share of its range
     share = F.when(F.col("label") == 1, F.lit(min(1.0, per_class / counts[1]))).otherwise(F.lit(min(1.0, per_class / counts[0])))
     at = F.xxhash64(F.lit("toxicity"), F.col("doc_id").cast("string"))
-    few = labels.where(F.col("label").isin(0, 1)).withColumn("at", at).where(F.col("at").cast("double") <= (share * 2 - 1) * 2.0**63)
+    few = labels.withColumn("at", at).where(F.col("at").cast("double") <= (share * 2 - 1) * 2.0**63)
     sample = docs.join(F.broadcast(few), "doc_id")  # about 2 * per_class ids
+    sample = sample.groupBy("doc_id", "label", "at").agg(F.max(F.col("text").cast("string")).alias("text"))
 
     def features(batches):
         feat = Features()
@@ -136,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS):
         odds = np.log(y.sum() / (1 - y).sum()) if 0 < y.sum() < len(y) else 0.0
         yield pd.DataFrame({"h": [h.tobytes()], "w": [w.tobytes()], "b": [float(b)], "odds": [float(odds)]})
 
-    hashed = sample.select("at", F.col("label").cast("int").alias("label"), F.col("text").cast("string").alias("text")).mapInPandas(features, "at long, label int, f binary")
+    hashed = sample.select("at", F.col("label").cast("int").alias("label"), "text").mapInPandas(features, "at long, label int, f binary")
     row = hashed.repartition(1).mapInPandas(train, "h binary, w binary, b double, odds double").first()
     b = row["b"] + np.log(counts[1] / counts[0]) - row["odds"]
     return np.frombuffer(bytes(row["h"]), _U), np.frombuffer(bytes(row["w"])), float(b)
