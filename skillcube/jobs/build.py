@@ -12,17 +12,27 @@ from skillcube.operators import climatology, splits, windows
 
 @dataclass(frozen=True)
 class Built:
+    tagged: DataFrame
     anomalies: DataFrame
     climatology: DataFrame
     norm: DataFrame
 
+    def release(self) -> None:
+        for df in (self.anomalies, self.climatology, self.tagged):
+            df.unpersist()
+
 
 def build(daily: DataFrame, cfg: Config, missing: str = "raise") -> Built:
-    """From a daily cube; one lazy plan each, the climatology fitted on the training block."""
-    tagged = splits.tagged(daily, cfg.splits)
-    clim = climatology.fit(tagged, cfg.climatology_smooth_days)
-    anomalies = climatology.anomaly(tagged, clim, missing)
-    return Built(anomalies, clim, climatology.normalizer(anomalies))
+    """From a daily cube, the climatology fitted on the training block.
+
+    Scores read the anomalies several times (series, spine, weeks), and the climatology reads the daily
+    cube once more, so these are kept in memory and on disk when first computed: the raw rows behind the
+    daily means are scanned once. Lost blocks are computed again. `write` stores them for other jobs.
+    """
+    tagged = splits.tagged(daily, cfg.splits).persist()
+    clim = climatology.fit(tagged, cfg.climatology_smooth_days).persist()
+    anomalies = climatology.anomaly(tagged, clim, missing).persist()
+    return Built(tagged, anomalies, clim, climatology.normalizer(anomalies))
 
 
 def write(built: Built, folder: str) -> None:
