@@ -76,6 +76,13 @@ def with_range_bucket(df: DataFrame, key: str, buckets: int, out: str = "bucket"
     return df.withColumn(out, F.when(k.isNull(), 0).otherwise(F.aggregate(F.array(*steps), lo, probe)))
 
 
+def slices(batches, rows: int = 500):
+    """Arrow batches cut into short ones, so that few texts at a time become Python strings."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def open_output(uri: str):
     fs, path = pafs.FileSystem.from_uri(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)

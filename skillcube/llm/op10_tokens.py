@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import idfile
-from .common import open_output, read_bytes, scratch_dir, shuffle_partitions, table, with_range_bucket, written
+from .common import open_output, read_bytes, scratch_dir, shuffle_partitions, slices, table, with_range_bucket, written
 from .tokens import encoder
 
 SHARD_BYTES = 32 << 20
@@ -47,7 +47,7 @@ def write_ids(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
             out, keys, nulls, lengths, size, seq = None, [], 0, [], 0, seq + 1
             return pa.RecordBatch.from_pydict({f.split()[0]: [v] for f, v in zip(MANIFEST.split(", "), row)}, schema=SCHEMA)
 
-        for batch in batches:
+        for batch in slices(batches):
             for k, t, b in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), batch["bucket"].to_pylist()):
                 if out is not None and size >= shard_bytes and (not keys or keys[-1] != k):
                     yield close()

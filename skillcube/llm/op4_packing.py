@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -65,16 +65,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator:
     def cut(batches):
         enc = encoder(tokenizer)
         end = np.array([separator], enc.dtype).tobytes()
-        for batch in batches:
-            keys, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
-            for lo in range(0, len(keys), 500):
-                rows = []
-                for k, t in zip(keys[lo : lo + 500], texts[lo : lo + 500]):
-                    ids = np.frombuffer(enc.encode(t) + end, enc.dtype).astype("<u4")
-                    for p, at in enumerate(range(0, len(ids), capacity)):
-                        raw = ids[at : at + capacity].tobytes()
-                        rows.append((k, p, at, len(raw) // 4, zlib.crc32(raw), raw if keep_ids else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=NAMES)
+        for batch in slices(batches):
+            rows = []
+            for k, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+                ids = np.frombuffer(enc.encode(t) + end, enc.dtype).astype("<u4")
+                for p, at in enumerate(range(0, len(ids), capacity)):
+                    raw = ids[at : at + capacity].tobytes()
+                    rows.append((k, p, at, len(raw) // 4, zlib.crc32(raw), raw if keep_ids else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=NAMES)
 
     NAMES = [f.split()[0] for f in PIECE.split(", ")]
     TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]

@@ -30,7 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import open_output, read_bytes, scratch_dir, shuffle_partitions, table, written
+from .common import open_output, read_bytes, scratch_dir, shuffle_partitions, slices, table, written
 
 K1, B, TOP_K, SCORE_DIGITS = 1.2, 0.75, 10, 4
 SHARD_POSTINGS, BLOCK, SEEDS = 3_000_000, 64, 2_000
@@ -82,7 +82,7 @@ def build_index(docs: DataFrame, shard_postings: int = SHARD_POSTINGS) -> DataFr
             docs_, tfs, terms, lens, held = [], [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(row[0]), pa.array(row[1], pa.int64()), pa.array(row[2], pa.int64())], names=["uri", "n_docs", "words"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for d, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 all_ = ids.of(t)
                 term, tf = np.unique(all_, return_counts=True)
@@ -105,7 +105,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
     def split(batches):
         ids = TermIds()
-        for batch in batches:
+        for batch in slices(batches):
             for q, t in zip(batch["query_id"].to_pylist(), batch["text"].to_pylist()):
                 term = np.unique(ids.of(t)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(term), q, np.int64)), pa.array(term)], names=["query_id", "term"])

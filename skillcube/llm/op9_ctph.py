@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table, with_range_bucket
+from .common import shuffle_partitions, slices, table, with_range_bucket
 
 WINDOW, BLOCK_MIN, SIGNATURE, COMMON = 7, 3, 64, 5
 PIECE_BYTES = 1 << 20
@@ -154,7 +154,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             return doc[0], len(text), hashlib.sha256(e.encode()).hexdigest(), mine, f, likeness(mine, f), likeness(mine, nxt[2])
 
         bucket = None
-        for batch in batches:
+        for batch in slices(batches, 200):
             out = []
             for b, own, k, t in zip(*(batch[c].to_pylist() for c in ("bucket", "own", "doc_id", "text"))):
                 if b != bucket:
@@ -165,9 +165,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 if held is not None:
                     out.append(row(held, now))
                 held, done = now, not own
-                if len(out) == 200:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), OUT)], schema=OUT)
-                    out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), OUT)], schema=OUT)
 
