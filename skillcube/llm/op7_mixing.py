@@ -24,7 +24,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 BLOCK_WORDS, SHARD_WORDS, SEED = 256, 1_000_000, 20240229
 ROUNDS = 24
-SLOTS_PER_ROW, ROWS_PER_BUCKET, BROADCAST_ROWS = 2_000, 20_000, 100_000
+SLOTS_PER_ROW, ROWS_PER_BUCKET, BROADCAST_ROWS = 2_000, 5_000, 100_000
 
 
 def _small(df: DataFrame) -> DataFrame:
