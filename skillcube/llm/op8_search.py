@@ -1,7 +1,7 @@
 """Exact top-k BM25 search: an inverted index per shard, block-max WAND pruning, an exact merge.
 
 Index: each task turns its documents into shards of at most SHARD_POSTINGS postings (a file each, named
-by the manifest): terms as 64-bit hashes, postings by term, the same postings by document, lengths.
+by the manifest): terms as 64-bit hashes, postings by term, lengths.
 Global statistics (rows, mean length, document frequency of the terms) come from all shards.
 
 Search: a task opens a shard and streams the query set past it. Terms are sorted by their largest
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import open_output, read_bytes, scratch_dir, shuffle_partitions, slices, table, written
 
 K1, B, TOP_K, SCORE_DIGITS = 1.2, 0.75, 10, 4
-SHARD_POSTINGS, BLOCK, SEEDS = 3_000_000, 64, 2_000
+SHARD_POSTINGS, BLOCK, SEEDS, FEW = 3_000_000, 64, 2_000, 0.1
 ROUNDS = (1 / 16, 1 / 4, 1.0)
 QUERY_EVERY = 50
 SLACK = 2 * 10.0**-SCORE_DIGITS
@@ -128,7 +128,7 @@ def weighted_queries(terms: DataFrame, manifest: DataFrame, n_docs: int) -> Data
     df = files.mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     idf = F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     pairs = F.array_sort(F.collect_list(F.struct("term", idf.alias("idf"))))
-    return terms.join(df, "term").groupBy("query_id").agg(pairs.alias("p")).select("query_id", F.col("p.term").alias("terms"), F.col("p.idf").alias("idf"))
+    return terms.join(df.hint("merge"), "term").groupBy("query_id").agg(pairs.alias("p")).select("query_id", F.col("p.term").alias("terms"), F.col("p.idf").alias("idf"))
 
 
 class Shard:
@@ -137,20 +137,18 @@ class Shard:
             self.doc_ids, self.known, self.terms = z["doc_ids"], z["known"], z["terms"]
             lens, term, doc, tf = z["lens"], z["term"], z["doc"].astype(np.int64), z["tf"].astype(np.float64)
         part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[doc] / mean_length))
-        self.d_term, self.d_part = term, part
-        self.d_off = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(lens)))])
         order = np.argsort(term, kind="stable")
         self.t_doc, self.t_part = doc[order], part[order]
         self.t_off = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(self.terms)))])
         # largest part of each (term, block)
         sorted_term, block = term[order].astype(np.int64), self.t_doc // BLOCK
+        self.key = sorted_term * len(lens) + self.t_doc  # ascending
         fresh = np.ones(len(order), bool)
         fresh[1:] = (sorted_term[1:] != sorted_term[:-1]) | (block[1:] != block[:-1])
         at = np.flatnonzero(fresh)
         self.b_block, self.b_max = block[at], np.maximum.reduceat(self.t_part, at) if len(at) else self.t_part
         self.b_off = np.concatenate([[0], np.cumsum(np.bincount(sorted_term[at], minlength=len(self.terms)))])
         self.t_max = np.maximum.reduceat(self.t_part, self.t_off[:-1]) if len(self.terms) else self.t_part
-        self.weights = np.zeros(len(self.terms))
 
     @staticmethod
     def _take(off: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,9 +157,12 @@ class Shard:
         which = np.repeat(np.arange(len(at)), n)
         return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(off[at], n), which
 
-    def _exact(self, docs: np.ndarray) -> np.ndarray:
-        pos, which = self._take(self.d_off, docs)
-        return np.bincount(which, self.weights[self.d_term[pos]] * self.d_part[pos], len(docs))
+    def _parts(self, terms: np.ndarray, w: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """What the terms add to each of the docs, by binary search for (term, doc)."""
+        key = (terms[:, None] * len(self.doc_ids) + docs[None, :]).ravel()
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        part = np.where(self.key[at] == key, self.t_part[at], 0.0).reshape(len(terms), len(docs))
+        return (part * w[:, None]).sum(0)
 
     def top(self, terms: np.ndarray, idf: np.ndarray, k: int, threshold: float) -> list[tuple[int, float]]:
         """(doc_id, score) of the k best documents here that reach the threshold."""
@@ -173,46 +174,45 @@ class Shard:
         most = w * self.t_max[t]
         order = np.argsort(most, kind="stable")
         t, w, reach = t[order], w[order], np.cumsum(most[order])
-        self.weights[t] = w
         found_d, found_s = np.zeros(0, np.int64), np.zeros(0)
 
-        def keep(docs: np.ndarray, bar: float) -> float:
-            nonlocal found_d, found_s
-            found_d = np.concatenate([found_d, docs])
-            found_s = np.concatenate([found_s, np.round(self._exact(docs), SCORE_DIGITS)])
-            best = np.lexsort((self.doc_ids[found_d], -found_s))[:k]
-            found_d, found_s = found_d[best], found_s[best]
-            return max(bar, found_s[-1]) if len(best) == k else bar
+        def partial(lo: int) -> np.ndarray:
+            pos, which = self._take(self.t_off, t[lo:])
+            return np.bincount(self.t_doc[pos], self.t_part[pos] * w[lo:][which], len(self.doc_ids))
+
+        def kth(part: np.ndarray, bar: float) -> float:
+            """The k-th largest of what is known of the scores: no less is needed."""
+            return max(bar, float(np.partition(part, len(part) - k)[len(part) - k])) if len(part) >= k else bar
 
-        # a first threshold from the documents that the rarest terms name
+        # a first threshold from what the rarest terms give
         n = self.t_off[t + 1] - self.t_off[t]
-        seed = max(0, len(t) - max(1, int(np.searchsorted(np.cumsum(n[::-1]), SEEDS))))
-        pos, which = self._take(self.t_off, t[seed:])
-        part = np.bincount(self.t_doc[pos], self.t_part[pos] * w[seed:][which])
-        first = np.argpartition(-part, min(k, len(part)) - 1)[:k]
-        first = first[part[first] > 0]
-        threshold = keep(first, threshold)
-        # terms before `pivot` stay below the threshold together
-        pivot = int(np.searchsorted(reach, threshold - SLACK, side="left"))
-        if pivot < len(t):
-            pos, which = self._take(self.t_off, t[pivot:])
-            bound = np.bincount(self.t_doc[pos], self.t_part[pos] * w[pivot:][which])
-            docs = np.flatnonzero(bound)
-            bound = bound[docs]
-            if pivot:
-                pos, which = self._take(self.b_off, t[:pivot])
-                bound += np.bincount(self.b_block[pos], self.b_max[pos] * w[:pivot][which], len(self.doc_ids) // BLOCK + 1)[docs // BLOCK]
-            ahead = np.flatnonzero(bound >= threshold - SLACK)
-            ahead = ahead[~np.isin(docs[ahead], first)]
-            ahead = ahead[np.argsort(-bound[ahead], kind="stable")]
-            for lo in range(0, len(ahead), BLOCK):
-                batch = ahead[lo : lo + BLOCK]
-                batch = batch[bound[batch] >= threshold - SLACK]
-                if not len(batch):
-                    break
-                threshold = keep(docs[batch], threshold)
-        self.weights[t] = 0
-        ok = (found_s >= threshold) & (found_s > 0)
+        threshold = kth(partial(max(0, len(t) - max(1, int(np.searchsorted(np.cumsum(n[::-1]), SEEDS))))), threshold)
+        # terms before `pivot` stay below the threshold together; no more of them are set aside than it
+        # takes to leave FEW of the postings, since what they may add loosens the bounds
+        left = np.cumsum(n[::-1])[::-1]
+        pivot = min(int(np.searchsorted(reach, threshold - SLACK, side="left")), int(np.searchsorted(-left, -max(SEEDS, FEW * left[0]))), len(t) - 1)
+        part = partial(pivot)
+        threshold = kth(part, threshold)
+        docs = np.flatnonzero(part)
+        bound = part[docs]
+        if pivot:
+            pos, which = self._take(self.b_off, t[:pivot])
+            bound = bound + np.bincount(self.b_block[pos], self.b_max[pos] * w[:pivot][which], len(self.doc_ids) // BLOCK + 1)[docs // BLOCK]
+        ahead = np.flatnonzero(bound >= threshold - SLACK)
+        ahead = ahead[np.argsort(-bound[ahead], kind="stable")]
+        for lo in range(0, len(ahead), BLOCK):
+            batch = ahead[lo : lo + BLOCK]
+            batch = batch[bound[batch] >= threshold - SLACK]
+            if not len(batch):
+                break
+            these = docs[batch]
+            found_d = np.concatenate([found_d, these])
+            found_s = np.concatenate([found_s, np.round(part[these] + self._parts(t[:pivot], w[:pivot], these), SCORE_DIGITS)])
+            best = np.lexsort((self.doc_ids[found_d], -found_s))[:k]
+            found_d, found_s = found_d[best], found_s[best]
+            if len(best) == k:
+                threshold = max(threshold, float(found_s[-1]))
+        ok = (found_s >= threshold - SLACK) & (found_s > 0)
         return [(int(self.doc_ids[d]) if self.known[d] else None, float(s)) for d, s in zip(found_d[ok], found_s[ok])]
 
 
@@ -235,7 +235,7 @@ def search(queries: DataFrame, docs: DataFrame, k: int = TOP_K) -> DataFrame:
         asked = weighted.withColumn("bar", F.lit(0.0))
         if best is not None:
             bars = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("b"))
-            asked = weighted.join(bars, "query_id", "left").withColumn("bar", F.coalesce("b", F.lit(0.0))).drop("b")
+            asked = weighted.join(bars.hint("merge"), "query_id", "left").withColumn("bar", F.coalesce("b", F.lit(0.0))).drop("b")
         folder = scratch_dir(spark, "bm25-asked")
         asked.write.parquet(folder)
 
