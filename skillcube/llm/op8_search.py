@@ -4,8 +4,8 @@ Index: each task turns its documents into shards of at most SHARD_POSTINGS posti
 by the manifest): terms as 64-bit hashes, postings by term, lengths.
 Global statistics (rows, mean length, document frequency of the terms) come from all shards.
 
-Search: a task opens a shard and streams the query set past it. Terms are sorted by their largest
-contribution; those that together stay below the threshold (the k-th best score so far) cannot bring
+Search: a task opens a shard and streams the query set past it. Frequent terms, in order of their
+largest contribution, that together stay below the threshold (the k-th best score so far) cannot bring
 up a document alone, so candidates come from the postings of the others, as the pivot of WAND has it.
 A candidate's bound is what it has from those plus the others' maxima in its block of BLOCK documents;
 candidates are scored exactly, highest bound first, until the next bound is below the threshold.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import open_output, read_bytes, scratch_dir, shuffle_partitions, slices, table, written
 
 K1, B, TOP_K, SCORE_DIGITS = 1.2, 0.75, 10, 4
-SHARD_POSTINGS, BLOCK, SEEDS, FEW = 3_000_000, 64, 2_000, 0.1
+SHARD_POSTINGS, BLOCK, SEEDS, DENSE = 3_000_000, 64, 2_000, 512
 ROUNDS = (1 / 16, 1 / 4, 1.0)
 QUERY_EVERY = 50
 SLACK = 2 * 10.0**-SCORE_DIGITS
@@ -142,7 +142,14 @@ class Shard:
         self.t_off = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(self.terms)))])
         # largest part of each (term, block)
         sorted_term, block = term[order].astype(np.int64), self.t_doc // BLOCK
-        self.key = sorted_term * len(lens) + self.t_doc  # ascending
+        # the most frequent terms also as rows over all documents
+        df = np.diff(self.t_off)
+        frequent = np.argsort(-df, kind="stable")[:DENSE]
+        frequent = frequent[df[frequent] * 32 >= len(lens)]
+        self.row, self.dense = np.full(len(self.terms), -1), np.zeros((len(frequent), len(lens)))
+        self.row[frequent] = np.arange(len(frequent))
+        for r, f in enumerate(frequent.tolist()):
+            self.dense[r, self.t_doc[self.t_off[f] : self.t_off[f + 1]]] = self.t_part[self.t_off[f] : self.t_off[f + 1]]
         fresh = np.ones(len(order), bool)
         fresh[1:] = (sorted_term[1:] != sorted_term[:-1]) | (block[1:] != block[:-1])
         at = np.flatnonzero(fresh)
@@ -157,13 +164,6 @@ class Shard:
         which = np.repeat(np.arange(len(at)), n)
         return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(off[at], n), which
 
-    def _parts(self, terms: np.ndarray, w: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """What the terms add to each of the docs, by binary search for (term, doc)."""
-        key = (terms[:, None] * len(self.doc_ids) + docs[None, :]).ravel()
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        part = np.where(self.key[at] == key, self.t_part[at], 0.0).reshape(len(terms), len(docs))
-        return (part * w[:, None]).sum(0)
-
     def top(self, terms: np.ndarray, idf: np.ndarray, k: int, threshold: float) -> list[tuple[int, float]]:
         """(doc_id, score) of the k best documents here that reach the threshold."""
         at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
@@ -172,8 +172,9 @@ class Shard:
         if not len(t):
             return []
         most = w * self.t_max[t]
-        order = np.argsort(most, kind="stable")
+        order = np.lexsort((most, self.row[t] < 0))  # frequent terms first, then by what they may add
         t, w, reach = t[order], w[order], np.cumsum(most[order])
+        row = self.row[t]
         found_d, found_s = np.zeros(0, np.int64), np.zeros(0)
 
         def partial(lo: int) -> np.ndarray:
@@ -184,13 +185,12 @@ class Shard:
             """The k-th largest of what is known of the scores: no less is needed."""
             return max(bar, float(np.partition(part, len(part) - k)[len(part) - k])) if len(part) >= k else bar
 
-        # a first threshold from what the rarest terms give
+        # without a threshold from an earlier round, a first one from what the rarest terms give
         n = self.t_off[t + 1] - self.t_off[t]
-        threshold = kth(partial(max(0, len(t) - max(1, int(np.searchsorted(np.cumsum(n[::-1]), SEEDS))))), threshold)
-        # terms before `pivot` stay below the threshold together; no more of them are set aside than it
-        # takes to leave FEW of the postings, since what they may add loosens the bounds
-        left = np.cumsum(n[::-1])[::-1]
-        pivot = min(int(np.searchsorted(reach, threshold - SLACK, side="left")), int(np.searchsorted(-left, -max(SEEDS, FEW * left[0]))), len(t) - 1)
+        if threshold <= 0:
+            threshold = kth(partial(max(0, len(t) - max(1, int(np.searchsorted(np.cumsum(n[::-1]), SEEDS))))), threshold)
+        # the frequent terms before `pivot` stay below the threshold together
+        pivot = min(int(np.searchsorted(reach[row >= 0], threshold - SLACK, side="left")), len(t) - 1)
         part = partial(pivot)
         threshold = kth(part, threshold)
         docs = np.flatnonzero(part)
@@ -207,7 +207,7 @@ class Shard:
                 break
             these = docs[batch]
             found_d = np.concatenate([found_d, these])
-            found_s = np.concatenate([found_s, np.round(part[these] + self._parts(t[:pivot], w[:pivot], these), SCORE_DIGITS)])
+            found_s = np.concatenate([found_s, np.round(part[these] + w[:pivot] @ self.dense[np.ix_(row[:pivot], these)], SCORE_DIGITS)])
             best = np.lexsort((self.doc_ids[found_d], -found_s))[:k]
             found_d, found_s = found_d[best], found_s[best]
             if len(best) == k:
