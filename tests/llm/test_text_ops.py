@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skillcube.llm import components, op1_toxicity, op3_simhash, op6_langid, op8_search, op9_ctph
+from skillcube.llm import components, near_copies, op1_toxicity, op3_simhash, op6_langid, op8_search, op9_ctph
 
 from .conftest import TRICKY
 
@@ -258,3 +258,58 @@ def test_piecewise_hash_odd_rows(tricky, empty):
     assert len({r["fingerprint"] for r in rows if r["doc_id"] in (5, 6)}) == 1
     assert op9_ctph.fingerprints(empty).count() == 0
     assert op9_ctph.fingerprints(tricky.where("doc_id = 5")).first()["near_next"] == 1.0
+
+
+def edited(words, rng, n):
+    out = list(words)
+    for i in rng.sample(range(len(out)), n):
+        out[i] = f"new{rng.random()}"
+    return out
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("tile", [near_copies.TILE, 3])
+def test_near_dedup_stage_by_brute_force(spark, tile, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_copies, "TILE", tile)
+    monkeypatch.setattr(near_copies, "FAN", tile)
+    rng, texts = random.Random(7), []
+    for _ in range(40):  # originals with copies on either side of 0.8
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.randint(60, 300))]
+        texts += [" ".join(edited(base, rng, k)) for k in (0, 0, 1, 2, 4, len(base) // 50, len(base) // 30, len(base) // 10)]
+    base = [f"w{rng.randrange(500)}" for _ in range(200)]  # a family with most pairs under 0.8 and some over
+    texts += [" ".join(edited(base, rng, rng.choice([3, 4, 5, 9]))) for _ in range(30)]
+    texts += ["", "one two", "ONE  two", "one two three", "one"]
+    rng.shuffle(texts)
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    near = 0
+    for j, b in enumerate(texts):
+        for i in range(j):
+            s = jaccard(texts[i], b)
+            near += 0.8 <= s < 1
+            if s >= 0.8:
+                p, q = sorted((root(i), root(j)))
+                parent[q] = p
+    assert near > 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(kept) == sorted({root(i) for i in range(len(texts))})
+
+
+def test_near_copies_odd_rows(tricky, empty):
+    out = near_copies.one_per_group(tricky)
+    assert out.columns == tricky.columns
+    got = collections.Counter(r["text"] for r in out.collect())
+    assert got[None] == 1 and not got[""] and got["a"] == 1 and got["null id"] == 1
+    assert near_copies.one_per_group(empty).count() == 0
