@@ -14,6 +14,9 @@ Null texts and texts without a letter are `und` with score 0. A text with letter
 is known gets the language with the most labelled rows, with that language's share of them as score
 (`und` where there is none). Rows without lang teach nothing. Ties go to the language first in order. Whatever is in lang,
 doc_id and other columns is not looked at in prediction.
+
+The score compares languages with each other, so it is never under one over their number. Whether a text is in any of
+them is told by `known`: the share of its n-grams that its language contains, against a bar set on labelled rows.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ GRAMS = (3, 4)
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
 CHUNK_CHARS = 500_000
+#: A text is in its language if it knows more than 0 and BAR_OF times the share that all but LOW of the language's labelled rows reach.
+BAR_OF, LOW = 0.5, 0.01
 
 _U = np.uint64
 _LETTER: list[np.ndarray] = []
@@ -127,31 +132,43 @@ class Filters:
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, scores and the corrected shares of the texts' n-grams that their languages contain."""
+        names, scores, known = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         if not self.languages:
-            return names, scores
+            return names, scores, known
         for lo, part in chunks([t or "" for t in texts]):
             row, h = grams(part)
             c = self.counts(row, h, len(part))
             best, total = c.argmax(1), c.sum(1)
+            known[lo : lo + len(part)] = c.max(1) / np.maximum(1, np.bincount(row, minlength=len(part)))
             for i in range(len(part)):
                 if total[i] > 0:
                     names[lo + i] = self.languages[best[i]]
                     scores[lo + i] = c[i, best[i]] / total[i]
                 elif any(map(str.isalpha, part[i])):
                     names[lo + i], scores[lo + i] = self.languages[self.usual], self.usual_share
-        return names, scores
+        return names, scores, known
 
 
-def fit(rows: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Filters:
-    """Filters from rows (doc_id, text, lang)."""
+def _sample(rows: DataFrame, per_language: int) -> tuple[dict[str, int], DataFrame | None]:
+    """Labelled rows of each language, and (lang, text) of about per_language of each."""
     named = rows.where("lang is not null and text is not null")
     totals = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not totals:
-        return Filters([], [], [])
+        return totals, None
     share = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, min(1.0, per_language / n))])
     at = F.xxhash64(F.lit("language"), F.col("doc_id").cast("string")).cast("double")
-    sample = named.where(at <= (F.element_at(share, F.col("lang")) * 2 - 1) * 2.0**63).select("lang", "text")
+    return totals, named.where(at <= (F.element_at(share, F.col("lang")) * 2 - 1) * 2.0**63).select("lang", "text")
+
+
+def fit(rows: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Filters:
+    """Filters from rows (doc_id, text, lang)."""
+    totals, sample = _sample(rows, per_language)
+    if not totals:
+        return Filters([], [], [])
 
     def count(batches):
         for pdf in batches:
@@ -177,6 +194,30 @@ def fit(rows: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Filters:
     return Filters(languages, [by.get(lang, np.zeros(0, _U)) for lang in languages], [totals[lang] for lang in languages])
 
 
+def bars(rows: DataFrame, filters: Filters, per_language: int = TRAIN_PER_LANGUAGE) -> dict[str, float]:
+    """The least known share of a text in each language, from labelled rows (doc_id, text, lang) named rightly."""
+    totals, sample = _sample(rows, per_language)
+    if not totals:
+        return {}
+    right = judged(sample, filters).where("lang = lang_pred and known > 0")
+    low = right.groupBy("lang").agg(F.percentile_approx("known", LOW).alias("low")).collect()
+    return {r["lang"]: BAR_OF * r["low"] for r in low}
+
+
+def judged(docs: DataFrame, filters: Filters) -> DataFrame:
+    """docs with lang_pred, score and known."""
+    held = docs.sparkSession.sparkContext.broadcast(filters)
+
+    @F.pandas_udf("lang_pred string, score double, known double")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            names, scores, known = held.value.judge([None if t is None else t for t in texts])
+            yield pd.DataFrame({"lang_pred": names, "score": scores, "known": known})
+
+    names = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "known")]
+    return docs.select(*names, of(F.col("text").cast("string")).alias("_p")).select(*names, "_p.lang_pred", "_p.score", "_p.known")
+
+
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     """docs with lang_pred and score."""
     held = docs.sparkSession.sparkContext.broadcast(filters)
@@ -191,6 +232,14 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     return docs.select(*names, of(F.col("text").cast("string")).alias("_p")).select(*names, "_p.lang_pred", "_p.score")
 
 
+def in_language(docs: DataFrame, filters: Filters, least: dict[str, float]) -> DataFrame:
+    """The rows of docs whose text knows enough of its language's n-grams."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = judged(docs.select(F.struct(*names).alias("doc"), "text"), filters)
+    bar = F.element_at(F.create_map(*[F.lit(x) for k, v in least.items() for x in (k, v)]), F.col("lang_pred")) if least else F.lit(None)
+    return rows.where((F.col("lang_pred") != UNKNOWN) & (F.col("known") > 0) & (F.col("known") >= F.coalesce(bar, F.lit(0.0)))).select("doc.*")
+
+
 def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
 

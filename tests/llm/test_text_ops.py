@@ -260,6 +260,23 @@ def test_piecewise_hash_odd_rows(tricky, empty):
     assert op9_ctph.fingerprints(tricky.where("doc_id = 5")).first()["near_next"] == 1.0
 
 
+def test_language_stage_rejects_what_no_language_knows(corpus):
+    import corpus_pipeline
+
+    docs, _ = corpus
+    rng = random.Random(3)
+    odd = [(9001, "это русский текст о погоде и людях " * 5), (9002, "日本語のテキスト東京は大きい都市"), (9003, " ".join("".join(rng.choices("bcfjklmpvwxyz", k=6)) for _ in range(60))), (9004, None), (9005, "1 2 3")]
+    rows = docs.sparkSession.createDataFrame([(i, t, "en" if i == 9003 else None, "s") for i, t in odd], docs.schema)
+    kept = [r["doc_id"] for r in corpus_pipeline.language(docs.sparkSession, docs.union(rows), "").collect()]
+    assert sorted(kept) == [r["doc_id"] for r in docs.orderBy("doc_id").collect()]
+
+
+def test_language_stage_of_nothing(empty):
+    import corpus_pipeline
+
+    assert corpus_pipeline.language(empty.sparkSession, empty, "").count() == 0
+
+
 def edited(words, rng, n):
     out = list(words)
     for i in rng.sample(range(len(out)), n):
