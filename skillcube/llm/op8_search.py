@@ -1,27 +1,34 @@
 """Exact top-k BM25 search: an inverted index per shard, block-max WAND pruning, an exact merge.
 
-Index: each task turns its documents into shards of at most SHARD_POSTINGS postings (a file each, named
-by the manifest): terms as 64-bit hashes, postings by term, lengths.
+Index: each task turns its documents into shards of at most SHARD_POSTINGS postings and SHARD_DOCS
+documents (a file each, named by the manifest): terms as 64-bit hashes, postings by term, lengths. Within
+a shard documents with like frequent terms stand side by side, in blocks of BLOCK.
 Global statistics (rows, mean length, document frequency of the terms) come from all shards.
 
-Search: a task opens a shard and streams the query set past it. Frequent terms, in order of their
-largest contribution, that together stay below the threshold (the k-th best score so far) cannot bring
-up a document alone, so candidates come from the postings of the others, as the pivot of WAND has it.
-A candidate's bound is what it has from those plus the others' maxima in its block of BLOCK documents;
-candidates are scored exactly, highest bound first, until the next bound is below the threshold.
-Shards are searched in rounds of growing size, each starting from the thresholds of the rounds before,
-so a query brings few rows from a shard; the merge keeps the k best of all rows.
-
-Scores are rounded to SCORE_DIGITS, ties go to the smaller doc_id. Terms are runs of ASCII letters (A-Z
-as lower case), digits and characters beyond ASCII; a query is the set of its terms. Null and empty
+Search: tasks take pairs of a shard and a slice of the query set, so neither a larger corpus nor a larger
+query set makes a task longer. For each frequent term a shard keeps the largest contribution in each block;
+a query's sums of these, for a batch of queries a product of matrices, are upper bounds of all blocks
+at once. A rare term has about one posting in a block, which is its block's maximum. Blocks whose
+bound is below the threshold (the k-th best score so far) of all queries of a batch are skipped: nothing of
+them is read from the frequent terms' lists. A batch holds queries whose best blocks are near each other. The
+documents of the other blocks are scored, once more a product of matrices, and those that reach the
+threshold again in 64 bits.
+The first shards are searched first, and the others start from the thresholds that these give; the
+merge keeps the k best of all rows.
+
+Scores are rounded to SCORE_DIGITS, ties go to the smaller doc_id (null first). Terms are runs of ASCII
+letters (A-Z as lower case), digits and characters beyond ASCII; a query is the set of its terms, and
+rows with one query_id (null is one too) are one query, so repeated query rows change nothing. Null and empty
 texts have no terms: as queries they find nothing, as documents they count in the statistics. Repeated
-rows are documents of their own. An empty table gives no rows.
+documents are documents of their own. A very long text is a query or a document of many terms like any other. Extra
+columns are left aside. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import io
 import uuid
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +40,15 @@ from pyspark.sql import functions as F
 from .common import open_output, read_bytes, scratch_dir, shuffle_partitions, slices, table, written
 
 K1, B, TOP_K, SCORE_DIGITS = 1.2, 0.75, 10, 4
-SHARD_POSTINGS, BLOCK, SEEDS, DENSE = 3_000_000, 64, 2_000, 512
-ROUNDS = (1 / 16, 1 / 4, 1.0)
+SHARD_POSTINGS, SHARD_DOCS, BLOCK = 4_000_000, 1 << 15, 8
+#: Terms in a FREQUENT-th of a shard's documents count as frequent, the DENSE most frequent ones at most.
+DENSE, FREQUENT = 512, 64
+ORDER_TERMS, ORDER_AXES, ORDER_SAMPLE = 128, 3, 2_048
+QUERY_SLICE, QUERIES_READ, QUERY_BATCH = 2_048, 1_024, 64
+ROUNDS = (1 / 16, 1.0)
 QUERY_EVERY = 50
-SLACK = 2 * 10.0**-SCORE_DIGITS
+#: Bounds and first scores are sums in 32 bits: they are trusted to this share of the largest of them, and to SLACK.
+SHARE, SLACK = 1e-4, 2 * 10.0**-SCORE_DIGITS
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -48,16 +60,54 @@ class TermIds:
     def __init__(self):
         self.known: dict[bytes, int] = {}
 
-    def of(self, text: str | None) -> np.ndarray:
+    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct terms of a text and how often they occur."""
         import xxhash
 
-        words = (text or "").encode().translate(_TABLE).split()
+        words = Counter((text or "").encode().translate(_TABLE).split())
         if len(self.known) > self.LIMIT:
             self.known.clear()
         for w in words:
             if w not in self.known:
                 self.known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+        n = len(words)
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, n), np.fromiter(words.values(), np.uint32, n)
+
+
+def _least_dtype(a: np.ndarray) -> np.ndarray:
+    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
+
+
+def _side_by_side(lens: np.ndarray, terms: list[np.ndarray]) -> np.ndarray:
+    """An order of the documents by the signs of the main axes of some frequent terms, then by length."""
+    names, df = np.unique(np.concatenate(terms[:: 1 + len(terms) // ORDER_SAMPLE]), return_counts=True)
+    top = np.sort(names[np.argsort(-df, kind="stable")[:ORDER_TERMS]])
+    x = np.zeros((len(terms), len(top)), np.float32)
+    if not len(top):
+        return np.arange(len(terms))
+    for row, t in zip(x, terms):
+        at = np.minimum(np.searchsorted(top, t), len(top) - 1)
+        row[at[top[at] == t]] = 1
+    x -= x.mean(0)
+    _, axes = np.linalg.eigh(x.T @ x)
+    side = (x @ axes[:, -ORDER_AXES:]) > 0
+    return np.lexsort((lens, side @ (1 << np.arange(side.shape[1]))))
+
+
+def pack_shard(doc_ids: list, lens: list, terms: list[np.ndarray], tfs: list[np.ndarray]) -> bytes:
+    """A shard's file. terms, tfs: of each document, distinct terms and how often they occur."""
+    lengths = np.array(lens, np.int64)
+    order = _side_by_side(lengths, terms)
+    all_ = np.concatenate([terms[i] for i in order])
+    by_term = np.argsort(all_, kind="stable")
+    all_ = all_[by_term]
+    first = np.flatnonzero(np.concatenate([[True], all_[1:] != all_[:-1]])) if len(all_) else np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(len(order)), [len(terms[i]) for i in order])[by_term]
+    tf = np.concatenate([tfs[i] for i in order])[by_term]
+    ids, known = np.array([d or 0 for d in doc_ids], np.int64), np.array([d is not None for d in doc_ids])
+    out = io.BytesIO()
+    np.savez(out, doc_ids=ids[order], known=known[order], lens=lengths[order], terms=all_[first], df=_least_dtype(np.diff(np.append(first, len(all_)))), doc=_least_dtype(doc), tf=_least_dtype(tf))
+    return out.getvalue()
 
 
 def build_index(docs: DataFrame, shard_postings: int = SHARD_POSTINGS) -> DataFrame:
@@ -65,35 +115,25 @@ def build_index(docs: DataFrame, shard_postings: int = SHARD_POSTINGS) -> DataFr
     folder = scratch_dir(docs.sparkSession, "bm25")
 
     def build(batches):
-        ids, docs_, tfs, terms, lens, held = TermIds(), [], [], [], [], 0
+        ids, held = TermIds(), 0
+        shard: tuple[list, list, list, list] = ([], [], [], [])
 
         def close():
-            nonlocal docs_, tfs, terms, lens, held
-            n = np.array([len(t) for t in terms])
-            term, doc, tf = np.concatenate(terms), np.repeat(np.arange(len(n), dtype=np.uint32), n), np.concatenate(tfs)
-            names, local = np.unique(term, return_inverse=True)
-            out = io.BytesIO()
-            known = np.array([d is not None for d in docs_])
-            np.savez(out, doc_ids=np.array([d or 0 for d in docs_], np.int64), known=known, lens=np.array(lens, np.int64), terms=names, term=local.astype(np.uint32), doc=doc, tf=tf)
             name = f"{folder}/{uuid.uuid4().hex}.npz"
             with open_output(name) as f:
-                f.write(out.getbuffer())
-            row = [[name], [len(docs_)], [int(sum(lens))]]
-            docs_, tfs, terms, lens, held = [], [], [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(row[0]), pa.array(row[1], pa.int64()), pa.array(row[2], pa.int64())], names=["uri", "n_docs", "words"])
+                f.write(pack_shard(*shard))
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(shard[0])], pa.int64()), pa.array([int(sum(shard[1]))], pa.int64())], names=["uri", "n_docs", "words"])
 
         for batch in slices(batches):
-            for d, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                all_ = ids.of(t)
-                term, tf = np.unique(all_, return_counts=True)
-                docs_.append(d)
-                lens.append(len(all_))
-                terms.append(term)
-                tfs.append(tf.astype(np.uint32))
+            for d, t in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                term, tf = ids.of(t.as_py())
+                for to, x in zip(shard, (d, int(tf.sum()), term, tf)):
+                    to.append(x)
                 held += len(term)
-                if held >= shard_postings:
+                if held >= shard_postings or len(shard[0]) >= SHARD_DOCS:
                     yield close()
-        if docs_:
+                    shard, held = ([], [], [], []), 0
+        if shard[0]:
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -101,14 +141,14 @@ def build_index(docs: DataFrame, shard_postings: int = SHARD_POSTINGS) -> DataFr
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term) for each term of each query, from (query_id, text)."""
+    """(query_id, term) for each term of each row, from (query_id, text)."""
 
     def split(batches):
         ids = TermIds()
         for batch in slices(batches):
-            for q, t in zip(batch["query_id"].to_pylist(), batch["text"].to_pylist()):
-                term = np.unique(ids.of(t)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(term), q, np.int64)), pa.array(term)], names=["query_id", "term"])
+            for q, t in zip(batch["query_id"].to_pylist(), batch["text"]):
+                term = ids.of(t.as_py())[0].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([q] * len(term), pa.int64()), pa.array(term)], names=["query_id", "term"])
 
     return queries.select(F.col("query_id").cast("long"), F.col("text").cast("string")).mapInArrow(split, "query_id long, term long")
 
@@ -120,100 +160,98 @@ def weighted_queries(terms: DataFrame, manifest: DataFrame, n_docs: int) -> Data
         for batch in batches:
             for uri in batch["uri"].to_pylist():
                 with np.load(io.BytesIO(read_bytes(uri))) as z:
-                    names, df = z["terms"], np.bincount(z["term"], minlength=len(z["terms"]))
+                    names, df = z["terms"], z["df"]
                 for lo in range(0, len(names), 50_000):
                     yield pa.RecordBatch.from_arrays([pa.array(names[lo : lo + 50_000].view(np.int64)), pa.array(df[lo : lo + 50_000].astype(np.int64))], names=["term", "df"])
 
     files = manifest.select("uri").repartition(shuffle_partitions(manifest.sparkSession))
     df = files.mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     idf = F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    pairs = F.array_sort(F.collect_list(F.struct("term", idf.alias("idf"))))
+    pairs = F.array_sort(F.collect_set(F.struct("term", idf.alias("idf"))))  # a set: a query's rows may repeat a term
     return terms.join(df.hint("merge"), "term").groupBy("query_id").agg(pairs.alias("p")).select("query_id", F.col("p.term").alias("terms"), F.col("p.idf").alias("idf"))
 
 
+def _take(off: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the slices `at` of an offset array, and the slice number of each."""
+    n = off[at + 1] - off[at]
+    which = np.repeat(np.arange(len(at)), n)
+    return np.arange(n.sum()) + np.repeat(off[at] - np.cumsum(n) + n, n), which
+
+
 class Shard:
     def __init__(self, raw: bytes, mean_length: float):
         with np.load(io.BytesIO(raw)) as z:
-            self.doc_ids, self.known, self.terms = z["doc_ids"], z["known"], z["terms"]
-            lens, term, doc, tf = z["lens"], z["term"], z["doc"].astype(np.int64), z["tf"].astype(np.float64)
-        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[doc] / mean_length))
-        order = np.argsort(term, kind="stable")
-        self.t_doc, self.t_part = doc[order], part[order]
-        self.t_off = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(self.terms)))])
-        # largest part of each (term, block)
-        sorted_term, block = term[order].astype(np.int64), self.t_doc // BLOCK
-        # the most frequent terms also as rows over all documents
-        df = np.diff(self.t_off)
+            self.doc_ids, self.known, self.terms, self.doc, self.tf = (z[k] for k in ("doc_ids", "known", "terms", "doc", "tf"))
+            df, lens = z["df"].astype(np.int64), z["lens"]
+        self.norm = K1 * (1 - B + B * lens / mean_length)
+        self.off = np.concatenate([[0], np.cumsum(df)])
+        self.part = self._part(self.tf.astype(np.float32), self.norm.astype(np.float32)[self.doc])
+        self.blocks = -(-len(lens) // BLOCK)
         frequent = np.argsort(-df, kind="stable")[:DENSE]
-        frequent = frequent[df[frequent] * 32 >= len(lens)]
-        self.row, self.dense = np.full(len(self.terms), -1), np.zeros((len(frequent), len(lens)))
-        self.row[frequent] = np.arange(len(frequent))
-        for r, f in enumerate(frequent.tolist()):
-            self.dense[r, self.t_doc[self.t_off[f] : self.t_off[f + 1]]] = self.t_part[self.t_off[f] : self.t_off[f + 1]]
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (sorted_term[1:] != sorted_term[:-1]) | (block[1:] != block[:-1])
-        at = np.flatnonzero(fresh)
-        self.b_block, self.b_max = block[at], np.maximum.reduceat(self.t_part, at) if len(at) else self.t_part
-        self.b_off = np.concatenate([[0], np.cumsum(np.bincount(sorted_term[at], minlength=len(self.terms)))])
-        self.t_max = np.maximum.reduceat(self.t_part, self.t_off[:-1]) if len(self.terms) else self.t_part
+        frequent = frequent[df[frequent] * FREQUENT >= len(lens)]
+        self.column = np.full(len(df), -1)
+        self.column[frequent] = np.arange(len(frequent))
+        pos, which = _take(self.off, frequent)
+        dense = np.zeros((self.blocks * BLOCK, len(frequent)), np.float32)
+        dense[self.doc[pos], which] = self.part[pos]
+        self.dense = dense.reshape(self.blocks, BLOCK, len(frequent))
+        self.most = self.dense.max(1)  # of each block and frequent term
+        self.dense_tf = np.zeros((len(lens), len(frequent)), self.tf.dtype)
+        self.dense_tf[self.doc[pos], which] = self.tf[pos]
 
     @staticmethod
-    def _take(off: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the slices `at` of an offset array, and the slice number of each."""
-        n = off[at + 1] - off[at]
-        which = np.repeat(np.arange(len(at)), n)
-        return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(off[at], n), which
-
-    def top(self, terms: np.ndarray, idf: np.ndarray, k: int, threshold: float) -> list[tuple[int, float]]:
-        """(doc_id, score) of the k best documents here that reach the threshold."""
-        at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
-        here = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        t, w = at[here], idf[here]
-        if not len(t):
-            return []
-        most = w * self.t_max[t]
-        order = np.lexsort((most, self.row[t] < 0))  # frequent terms first, then by what they may add
-        t, w, reach = t[order], w[order], np.cumsum(most[order])
-        row = self.row[t]
-        found_d, found_s = np.zeros(0, np.int64), np.zeros(0)
-
-        def partial(lo: int) -> np.ndarray:
-            pos, which = self._take(self.t_off, t[lo:])
-            return np.bincount(self.t_doc[pos], self.t_part[pos] * w[lo:][which], len(self.doc_ids))
-
-        def kth(part: np.ndarray, bar: float) -> float:
-            """The k-th largest of what is known of the scores: no less is needed."""
-            return max(bar, float(np.partition(part, len(part) - k)[len(part) - k])) if len(part) >= k else bar
-
-        # without a threshold from an earlier round, a first one from what the rarest terms give
-        n = self.t_off[t + 1] - self.t_off[t]
-        if threshold <= 0:
-            threshold = kth(partial(max(0, len(t) - max(1, int(np.searchsorted(np.cumsum(n[::-1]), SEEDS))))), threshold)
-        # the frequent terms before `pivot` stay below the threshold together
-        pivot = min(int(np.searchsorted(reach[row >= 0], threshold - SLACK, side="left")), len(t) - 1)
-        part = partial(pivot)
-        threshold = kth(part, threshold)
-        docs = np.flatnonzero(part)
-        bound = part[docs]
-        if pivot:
-            pos, which = self._take(self.b_off, t[:pivot])
-            bound = bound + np.bincount(self.b_block[pos], self.b_max[pos] * w[:pivot][which], len(self.doc_ids) // BLOCK + 1)[docs // BLOCK]
-        ahead = np.flatnonzero(bound >= threshold - SLACK)
-        ahead = ahead[np.argsort(-bound[ahead], kind="stable")]
-        for lo in range(0, len(ahead), BLOCK):
-            batch = ahead[lo : lo + BLOCK]
-            batch = batch[bound[batch] >= threshold - SLACK]
-            if not len(batch):
-                break
-            these = docs[batch]
-            found_d = np.concatenate([found_d, these])
-            found_s = np.concatenate([found_s, np.round(part[these] + w[:pivot] @ self.dense[np.ix_(row[:pivot], these)], SCORE_DIGITS)])
-            best = np.lexsort((self.doc_ids[found_d], -found_s))[:k]
-            found_d, found_s = found_d[best], found_s[best]
-            if len(best) == k:
-                threshold = max(threshold, float(found_s[-1]))
-        ok = (found_s >= threshold - SLACK) & (found_s > 0)
-        return [(int(self.doc_ids[d]) if self.known[d] else None, float(s)) for d, s in zip(found_d[ok], found_s[ok])]
+    def _part(tf, norm):
+        return tf * (K1 + 1) / (tf + norm)
+
+    def top(self, queries: list[tuple[np.ndarray, np.ndarray, float]], k: int) -> list[list[tuple[int | None, float]]]:
+        """(doc_id, score) of the k best documents here that reach the query's threshold. queries: terms, idf, threshold."""
+        weights, rare = np.zeros((len(queries), self.dense.shape[2])), []
+        for row, (terms, idf, _) in zip(weights, queries):
+            at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
+            here = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
+            at, w = at[here], idf[here]
+            column = self.column[at]
+            row[column[column >= 0]] = w[column >= 0]
+            rare.append((at[column < 0], w[column < 0]))
+        light = weights.astype(np.float32)
+        bounds = light @ self.most.T
+        out: list[list[tuple[int | None, float]]] = [[]] * len(queries)
+        # queries that have their best block in one place need much the same blocks
+        order = np.argsort(bounds.argmax(1), kind="stable") if bounds.shape[1] else np.zeros(0, np.int64)
+        for lo in range(0, len(order), QUERY_BATCH):
+            some = order[lo : lo + QUERY_BATCH]
+            lists = [self._list(*rare[i]) for i in some]
+            sums = np.stack([np.bincount(self.doc[pos], self.part[pos] * w, self.blocks * BLOCK) for pos, w in lists])
+            whole = bounds[some] + sums.reshape(len(some), self.blocks, BLOCK).max(2)
+            slack = SLACK + SHARE * whole.max(1)
+            least = np.array([queries[i][2] for i in some]) - slack
+            read = np.flatnonzero((whole >= least[:, None]).any(0))
+            docs = (read[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            scores = (self.dense[read].reshape(len(docs), -1) @ light[some].T).T + sums[:, docs]
+            for j, i in enumerate(some):
+                ahead = np.flatnonzero((scores[j] >= least[j]) & (scores[j] > 0))
+                if len(ahead) > k:
+                    near = scores[j][ahead]
+                    ahead = ahead[near >= np.partition(near, len(near) - k)[len(near) - k] - 2 * slack[j]]
+                if len(ahead):
+                    out[i] = self._exact(docs[ahead], weights[i], *lists[j], k)
+        return out
+
+    def _list(self, terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the terms' postings, and the weight of each."""
+        pos, which = _take(self.off, terms)
+        return pos, idf[which]
+
+    def _exact(self, found: np.ndarray, weights: np.ndarray, pos: np.ndarray, idf: np.ndarray, k: int) -> list[tuple[int | None, float]]:
+        """The k best of the documents found, scored in 64 bits."""
+        mine = np.zeros(self.blocks * BLOCK, bool)
+        mine[found] = True
+        mine = np.flatnonzero(mine[self.doc[pos]])
+        pos, idf = pos[mine], idf[mine]
+        score = np.bincount(np.searchsorted(found, self.doc[pos]), self._part(self.tf[pos].astype(float), self.norm[self.doc[pos]]) * idf, len(found))
+        score = np.round(score + self._part(self.dense_tf[found].astype(float), self.norm[found][:, None]) @ weights, SCORE_DIGITS)
+        best = np.lexsort((self.doc_ids[found], self.known[found], -score))[:k]
+        return [(int(self.doc_ids[d]) if self.known[d] else None, s) for d, s in zip(found[best].tolist(), score[best].tolist())]
 
 
 def _best(rows: DataFrame, k: int) -> DataFrame:
@@ -228,32 +266,36 @@ def search(queries: DataFrame, docs: DataFrame, k: int = TOP_K) -> DataFrame:
     stats = manifest.agg(F.sum("n_docs"), F.sum("words"), F.count(F.lit(1))).first()
     n_docs, mean, n_shards = stats[0] or 0, max(1e-9, (stats[1] or 0) / max(1, stats[0] or 0)), stats[2]
     weighted = written(weighted_queries(query_terms(queries), manifest, n_docs), "bm25-queries")
+    n_slices = max(1, -(-weighted.count() // QUERY_SLICE))
+    weighted = weighted.withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(n_slices)).cast("int"))
     place = F.row_number().over(Window.orderBy(F.xxhash64("uri"))) / F.lit(max(1, n_shards))  # a row per shard
     placed = written(manifest.select("uri", place.alias("place")), "bm25-places")
     best, done = None, 0.0
     for until in ROUNDS:
         asked = weighted.withColumn("bar", F.lit(0.0))
         if best is not None:
-            bars = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("b"))
-            asked = weighted.join(bars.hint("merge"), "query_id", "left").withColumn("bar", F.coalesce("b", F.lit(0.0))).drop("b")
+            bars = best.where(F.col("rank") == k).select(F.col("query_id").alias("q"), F.col("score").alias("b"))
+            asked = weighted.join(bars.hint("merge"), F.col("query_id").eqNullSafe(F.col("q")), "left").withColumn("bar", F.coalesce("b", F.lit(0.0))).drop("q", "b")
         folder = scratch_dir(spark, "bm25-asked")
-        asked.write.parquet(folder)
+        asked.repartition(n_slices, "slice").write.partitionBy("slice").parquet(folder)
 
         def look(batches, folder=folder):
+            at = None
             for batch in batches:
-                for uri in batch["uri"].to_pylist():
-                    shard = Shard(read_bytes(uri), mean)
-                    fs, path = pafs.FileSystem.from_uri(folder)
-                    for part in pads.dataset(path, format="parquet", filesystem=fs).to_batches(batch_size=256):
-                        out = []
-                        for q, t, w, bar in zip(part["query_id"].to_pylist(), part["terms"], part["idf"], part["bar"].to_pylist()):
-                            hits = shard.top(t.values.to_numpy().view(np.uint64), w.values.to_numpy(), k, bar)
-                            out += [(q, d, s) for d, s in hits]
+                for uri, part in zip(batch["uri"].to_pylist(), batch["slice"].to_pylist()):
+                    fs, path = pafs.FileSystem.from_uri(f"{folder}/slice={part}")
+                    if fs.get_file_info(path).type == pafs.FileType.NotFound:
+                        continue  # no query of that number
+                    if at != uri:
+                        shard, at = Shard(read_bytes(uri), mean), uri
+                    for some in pads.dataset(path, format="parquet", filesystem=fs).to_batches(batch_size=QUERIES_READ):
+                        asks = [(t.values.to_numpy().view(np.uint64), w.values.to_numpy(), bar) for t, w, bar in zip(some["terms"], some["idf"], some["bar"].to_pylist())]
+                        out = [(q, d, s) for q, hits in zip(some["query_id"].to_pylist(), shard.top(asks, k)) for d, s in hits]
                         if out:
                             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
 
-        files = placed.where((F.col("place") > done) & (F.col("place") <= until)).select("uri").repartition(shuffle_partitions(spark))
-        rows = files.mapInArrow(look, "query_id long, doc_id long, score double")
+        pairs = placed.where((F.col("place") > done) & (F.col("place") <= until)).select("uri", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))).alias("slice"))
+        rows = pairs.repartition(shuffle_partitions(spark)).sortWithinPartitions("uri").mapInArrow(look, "query_id long, doc_id long, score double")
         if best is not None:
             rows = rows.unionByName(best.select("query_id", "doc_id", "score"))
         best, done = written(_best(rows, k), "bm25-best"), until

@@ -188,15 +188,16 @@ def brute_bm25(docs, queries, k=10):
     return out
 
 
-@pytest.mark.parametrize("shard", [200, 10**6])
-def test_search_by_brute_force(corpus, spark, shard, monkeypatch):
+@pytest.mark.parametrize("shard,docs_,slice_", [(200, 10**6, 7), (10**6, 10**6, 2048), (10**6, 17, 5)])
+def test_search_by_brute_force(corpus, spark, shard, docs_, slice_, monkeypatch):
     rng = random.Random(3)
     docs = [(i, words_of("en", rng, rng.randint(0, 40)) + (f" rare{i % 37}" if i % 5 == 0 else "")) for i in range(300)]
     docs += [(300 + i, docs[7][1]) for i in range(15)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    monkeypatch.setattr(op8_search, "SHARD_POSTINGS", shard)
     monkeypatch.setattr(op8_search.build_index, "__defaults__", (shard,))
-    queries = [(d, t) for d, t in docs if d % 10 == 0] + [(9999, "rare3 rare5 nothing")]
+    for name, value in {"SHARD_DOCS": docs_, "QUERY_SLICE": slice_, "QUERY_BATCH": 4, "DENSE": 12, "ORDER_TERMS": 9}.items():
+        monkeypatch.setattr(op8_search, name, value)
+    queries = [(d, t) for d, t in docs if d % 10 == 0] + [(9999, "rare3 rare5 nothing"), (8888, " ".join(t for _, t in docs))]
     got = collections.defaultdict(dict)
     for r in op8_search.search(spark.createDataFrame(queries, "query_id long, text string"), df).collect():
         got[r["query_id"]][r["rank"]] = (r["doc_id"], r["score"])
@@ -206,8 +207,11 @@ def test_search_by_brute_force(corpus, spark, shard, monkeypatch):
 
 
 def test_search_odd_rows(tricky, empty):
-    q = tricky.selectExpr("doc_id as query_id", "text").where("query_id is not null").distinct()
+    q = tricky.selectExpr("doc_id as query_id", "text", "size as term")
     got = op8_search.search(q, tricky).collect()
+    assert len(got) == len({(r["query_id"], r["rank"]) for r in got})  # repeated query rows are one query
+    assert set(got) == set(op8_search.search(q.distinct().union(q), tricky).collect())
+    assert [r["doc_id"] for r in got if r["query_id"] is None and r["rank"] == 1] == [None]
     found = {r["query_id"] for r in got}
     assert 0 not in found and 1 not in found and {5, 6, 9, 12} <= found
     best = {r["query_id"]: r["doc_id"] for r in got if r["rank"] == 1}
