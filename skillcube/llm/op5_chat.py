@@ -4,15 +4,17 @@ A conversation is the concatenation of its turns, in order of (turn, role, text)
 
     <s>[INST] role [/INST] text</s>
 
-Each text is rendered at the lowest escape level at which the parser gives the turn back unchanged:
-0 as it is, 1 with control strings and entities escaped, 2 with every `&`, `<` and `[` escaped; roles
-are always at level 2. One parser reads all levels, since it undoes entities everywhere. The joined
-turns are parsed once more and compared with their source; where they differ all texts go to level 2,
-which leaves no character that a control string starts with.
-
-Null texts and roles are empty, null turns come first, repeated turns stay; a null conv_id is a
-conversation of its own. An empty table gives no rows. Long conversations are rendered in chunks of
-turns, so that only the finished strings of a conversation meet in one row.
+The grammar has no control string (<s>, </s>, [INST], [/INST]) within a role or a text: the parser takes a turn
+that holds one for no turn. Each text is rendered at the lowest escape level at which the parser gives
+the turn back unchanged: 0 as it is (no control strings, no entities), 1 with control strings and `&`
+escaped, 2 with every `&`, `<` and `[` escaped; roles are always at level 2. One parser reads all levels,
+since it undoes entities everywhere. The joined turns are parsed once more and compared with their
+source; where they differ all texts go to level 2, which leaves no character that a control string starts with.
+
+Null texts and roles are empty, null turns come first, turns with one number are in order of role and
+text, repeated turns stay; a null conv_id is a conversation of its own. Extra columns are left aside. An empty table
+gives no rows. Long conversations are rendered in chunks of turns, so that only the finished strings
+of a conversation meet in one row; very long texts are cut and escaped like others.
 """
 
 from __future__ import annotations
@@ -53,13 +55,15 @@ def render(role: Column, escaped: Column) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """array<struct<role, text>>; a segment outside the grammar gives a null element."""
+    """array<struct<role, text>>; a segment outside the grammar, as one with a control string inside, gives a null element."""
     parts = F.split(formatted, CLOSE, -1)
 
     def turn(s: Column) -> Column:
         body = F.substr(s, F.lit(len(OPEN) + 1))
         at = F.instr(body, ROLE_END)
-        return F.when(s.startswith(OPEN) & (at > 0), F.struct(unescape(F.substr(body, F.lit(1), at - 1)).alias("role"), unescape(F.substr(body, at + len(ROLE_END))).alias("text")))
+        text = F.substr(body, at + len(ROLE_END))
+        clean = ~(body.contains("<s>") | body.contains("[INST]") | text.contains("[/INST]"))
+        return F.when(s.startswith(OPEN) & (at > 0) & clean, F.struct(unescape(F.substr(body, F.lit(1), at - 1)).alias("role"), unescape(text).alias("text")))
 
     return F.transform(F.slice(parts, 1, F.size(parts) - 1), turn)
 
@@ -112,11 +116,18 @@ def _spans(formatted: Column) -> Column:
     return F.aggregate(F.slice(parts, 1, F.size(parts) - 1), start, step, lambda acc: acc.spans)
 
 
+def masked(formatted: Column, spans: Column) -> Column:
+    """The text under the spans, unescaped, end to end. In four bytes a code point a cut costs what it cuts."""
+
+    def cut(raw):
+        return F.array_join(F.transform(spans, lambda s: unescape(F.decode(F.substr(raw, (s.start * 4 + 1).cast("int"), (s.length * 4).cast("int")), "UTF-32"))), "")
+
+    return F.element_at(F.transform(F.array(F.encode(formatted, "UTF-32")), cut), 1)  # one element: encoded once
+
+
 def digests(formatted: DataFrame) -> DataFrame:
-    """What the formatted strings say when read back."""
-    turns = formatted.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t.role == LOSS_ROLE), lambda t: t.text), "")
-    turns = turns.withColumn("loss", loss)
+    """What the formatted strings and their loss masks say when read back."""
+    turns = formatted.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), masked(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     return turns.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -143,7 +154,7 @@ WITH rows AS (
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), levels AS (
   SELECT *, replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;') AS role2,
-    replace(replace(replace(text, '&#91;', '['), '&lt;', '<'), '&amp;', '&') = text AND NOT contains(text, '</s>') AS plain,
+    replace(replace(replace(text, '&#91;', '['), '&lt;', '<'), '&amp;', '&') = text AND NOT (contains(text, '<s>') OR contains(text, '</s>') OR contains(text, '[INST]') OR contains(text, '[/INST]')) AS plain,
     replace(replace(replace(replace(replace(text, '&', '&amp;'), '<s>', '&lt;s>'), '</s>', '&lt;/s>'), '[INST]', '&#91;INST]'), '[/INST]', '&#91;/INST]') AS text1
   FROM rows
 ), shown AS (
