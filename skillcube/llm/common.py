@@ -1,4 +1,4 @@
-"""Shared pieces: the scratch folder, written tables, range buckets, files that tasks open."""
+"""Shared pieces: the scratch folder, written tables, ranges of keys, files that tasks open."""
 
 from __future__ import annotations
 
@@ -49,31 +49,34 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_range_bucket(df: DataFrame, key: str, buckets: int, out: str = "bucket") -> DataFrame:
-    """Adds `out`, an int that grows with the numeric column `key` (nulls: 0), splitting it about evenly.
+def range_bounds(df: DataFrame, keys: list[str], parts: int) -> list[tuple]:
+    """The least keys of about `parts` even ranges of the rows in order of `keys` (nulls first), as Spark's range partitioning cuts them.
 
-    The split points come from a quantile sketch and are literals of the plan, so a recomputed
-    task deals its rows out as the first attempt did.
+    Only the key columns move, and a row per range comes to the driver. Rows with equal keys stay together, so the
+    keys should tell rows apart (an id and a hash of the text).
     """
-    if buckets <= 1:
-        return df.withColumn(out, F.lit(0))
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.approxQuantile(key, probs, min(0.01, 0.1 / buckets)))) if df.columns else []
-    if not cuts:
+    rows = df.select(*keys).repartitionByRange(parts, *[F.asc_nulls_first(k) for k in keys])
+    first = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*keys)).alias("first")).select("first.*").collect()
+    return sorted(map(tuple, first), key=lambda t: [(x is not None, x or 0) for x in t])
+
+
+def with_range(df: DataFrame, keys: list[str], bounds: list[tuple], out: str = "bucket") -> DataFrame:
+    """Adds `out` (int): the number of the last bound that the row's keys reach (0 below all), by binary search.
+
+    The bounds are a table of one row, so a recomputed task deals its rows out as the first attempt did.
+    """
+    if len(bounds) < 2:
         return df.withColumn(out, F.lit(0))
-    # binary search in a literal array: the number of cuts below the key
-    k, lo = F.col(key).cast("double"), F.lit(0)
-    arr, step = F.array(*map(F.lit, cuts)), 1 << (len(cuts).bit_length() - 1)
+    kind = "array<struct<" + ",".join(f"`{k}`:bigint" for k in keys) + ">>"
+    one = F.broadcast(df.sparkSession.createDataFrame([(bounds[1:],)], f"_bounds {kind}"))
+    arr, k, n = F.col("_bounds"), F.struct(*[F.col(c).cast("long") for c in keys]), len(bounds) - 1
 
-    def probe(acc, s):
-        nxt = acc + s
-        return F.when((nxt <= len(cuts)) & (F.element_at(arr, F.greatest(F.least(nxt, F.lit(len(cuts))), F.lit(1))) < k), nxt).otherwise(acc)
+    def probe(acc, step):
+        nxt = acc + step
+        return F.when((nxt <= n) & (F.element_at(arr, F.greatest(F.least(nxt, F.lit(n)), F.lit(1))) <= k), nxt).otherwise(acc)
 
-    steps = []
-    while step:
-        steps.append(F.lit(step))
-        step >>= 1
-    return df.withColumn(out, F.when(k.isNull(), 0).otherwise(F.aggregate(F.array(*steps), lo, probe)))
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(n.bit_length()))])
+    return df.join(one).withColumn(out, F.aggregate(steps, F.lit(0), probe)).drop("_bounds")
 
 
 def slices(batches, rows: int = 500):
@@ -105,3 +108,10 @@ def move(src: str, dst: str) -> None:
         return
     fs.create_dir(b.rsplit("/", 1)[0], recursive=True)
     fs.move(a, b)
+
+
+def remove(uri: str) -> None:
+    """Deletes a folder, if it is there."""
+    fs, path = pafs.FileSystem.from_uri(uri)
+    if fs.get_file_info(path).type == pafs.FileType.Directory:
+        fs.delete_dir(path)

@@ -1,7 +1,8 @@
 """Deterministic sharded WARC writer and its reader.
 
-Records go in order of page_id. Their places are fixed by the data alone: a shard is a run of pages
-whose stored bytes, counted over all pages in order, fall in one window of SHARD_BYTES; within a shard
+Records go in order of page_id (equal ids in order of a hash of the html). Their places are fixed by the data alone: a shard is a
+run of pages whose stored bytes, counted over all pages in order, fall in one window of shard_bytes (a SHARDS-th of all
+bytes, between LEAST_SHARD and MOST_SHARD); within a shard
 the writer rolls to a new file when the compressed size passes ROLL_BYTES. Headers, record ids and
 digests are derived from the row, dates are fixed, and every record is a gzip member of its own, so
 reruns give the same bytes under the same names.
@@ -9,10 +10,11 @@ reruns give the same bytes under the same names.
 Of pages with equal payloads of at least MIN_REVISIT_BYTES the one with the smallest page_id is a
 response; the others are revisits that name it and store no payload. Payloads move through one shuffle.
 A task writes files under temporary names of its attempt; the manifest that Spark commits says which
-attempt counts; those files are then renamed, and the final manifest is written last.
+attempt counts; those files are then renamed, the final manifest is written, and the temporary folder goes last.
 
-Null html is an empty payload. Null page_ids come first. Repeated rows give a record each: of equal
-pages the first is the response. Line breaks in urls are percent-encoded. An empty table gives no file.
+Null html is an empty payload. Null page_ids come first. Pages of one id that fill more than a shard are cut like others. Repeated rows
+give a record each: of equal pages the first is the response. Line breaks in urls are percent-encoded. A very long page is a record
+like any other, held by its task as a whole. Extra columns are left aside. An empty table gives no file.
 """
 
 from __future__ import annotations
@@ -22,19 +24,19 @@ import re
 import uuid
 import zlib
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import move, open_output, read_bytes, scratch_dir, shuffle_partitions, table, with_range_bucket, written
+from .common import move, open_output, range_bounds, read_bytes, remove, scratch_dir, shuffle_partitions, table, with_range, written
 
 MIN_REVISIT_BYTES = 100
-SHARD_BYTES, ROLL_BYTES, RECORD_BYTES = 16 << 20, 4 << 20, 600
+SHARDS, LEAST_SHARD, MOST_SHARD = 1_000, 16 << 20, 1 << 30
+ROLL_BYTES, RECORD_BYTES = 128 << 20, 600
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # name space of URLs
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+KEYS = ["page_id", "h"]
 MANIFEST = "shard long, seq int, temp string, final string, records long, bytes long, sha256 string"
 
 
@@ -88,45 +90,42 @@ def members(raw: bytes):
 
 
 def _meta(pages: DataFrame) -> DataFrame:
-    """Small columns: page_id, digest, n_bytes, refers (struct of the response's page_id, null for a first)."""
+    """Small columns: page_id, h, digest, n_bytes, refers (struct of the response's page_id, null for a first)."""
     body = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    meta = written(pages.select("page_id", F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("n_bytes")), "warc-meta")
+    meta = written(pages.select("page_id", "h", F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("n_bytes")), "warc-meta")
     same = meta.where(F.col("n_bytes") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("page_id").isNotNull().alias("k"), "page_id")).alias("first"))
     same = same.where("copies > 1").select("digest", F.col("first.page_id").alias("first"), F.lit(True).alias("copied"))
     return meta.join(same, "digest", "left").withColumn("refers", F.coalesce(F.col("copied"), F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first")))
 
 
-def _shards(meta: DataFrame, buckets: int) -> DataFrame:
-    """(page_id, bytes) in order, cut by running total: rows (lo, shard), the first page_id of each shard."""
-    stored = meta.select("page_id", (F.when(F.col("refers"), 0).otherwise(F.col("n_bytes")) + RECORD_BYTES).alias("bytes"))
-    rows = written(with_range_bucket(stored, "page_id", buckets), "warc-order")
+def _shards(meta: DataFrame, buckets: int) -> list[tuple]:
+    """The first (page_id, h) of each shard, by running totals of stored bytes in order."""
+    stored = meta.select("page_id", "h", (F.when(F.col("refers"), 0).otherwise(F.col("n_bytes")) + RECORD_BYTES).alias("bytes"))
+    total = stored.agg(F.sum("bytes")).first()[0] or 0
+    shard_bytes = min(MOST_SHARD, max(LEAST_SHARD, total // SHARDS))
+    rows = written(with_range(stored, KEYS, range_bounds(stored, KEYS, buckets)), "warc-order")
     sums = rows.groupBy("bucket").agg(F.sum("bytes").alias("b"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = F.broadcast(sums.select("bucket", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("base")))  # a row per bucket
-    within = F.sum("bytes").over(Window.partitionBy("bucket").orderBy("page_id").rangeBetween(Window.unboundedPreceding, -1))
-    placed = rows.join(base, "bucket").withColumn("shard", F.floor((F.col("base") + F.coalesce(within, F.lit(0))) / SHARD_BYTES).cast("long"))
-    return placed.groupBy("shard").agg(F.min("page_id").alias("lo"))
+    within = F.sum("bytes").over(Window.partitionBy("bucket").orderBy(F.asc_nulls_first("page_id"), "h").rowsBetween(Window.unboundedPreceding, -1))
+    placed = rows.join(base, "bucket").withColumn("shard", F.floor((F.col("base") + F.coalesce(within, F.lit(0))) / shard_bytes).cast("long"))
+    # a row per shard, 1 GB of archive at scale
+    return [tuple(r["first"]) for r in placed.groupBy("shard").agg(F.min(F.struct(*KEYS)).alias("first")).orderBy("shard").collect()]
 
 
 def write_warc(pages: DataFrame, roll_bytes: int = ROLL_BYTES) -> tuple[str, DataFrame]:
     """Writes the archives; returns their folder and the manifest (a row per file)."""
     spark = pages.sparkSession
-    pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).withColumn("h", F.xxhash64("html"))
     n, folder = shuffle_partitions(spark), scratch_dir(spark, "warc")
     meta = written(_meta(pages), "warc-types")
-    # one row per SHARD_BYTES of archive: its first page_id
-    cuts = sorted((r["lo"], r["shard"]) for r in _shards(meta, n).where("lo is not null").collect())
-    bounds = spark.sparkContext.broadcast([lo for lo, _ in cuts[1:]])
-
-    @F.pandas_udf("long")
-    def shard_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(np.array(bounds.value, "int64"), ids.to_numpy("int64"), side="right"))
+    cuts = _shards(meta, n)
 
     # what is known of copies comes before the page itself, in the page's shard
-    copied = meta.where("copied").select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.col("digest").alias("html"), F.col("first").alias("first"), "refers").distinct()
-    both = pages.select("page_id", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("first"), F.lit(False).alias("refers")).unionByName(copied)
+    copied = meta.where("copied").select("page_id", "h", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.col("digest").alias("html"), F.col("first").alias("first"), "refers").distinct()
+    both = pages.select("page_id", "h", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("first"), F.lit(False).alias("refers")).unionByName(copied)
     shards = max(1, len(cuts))
-    rows = both.withColumn("shard", F.when(F.col("page_id").isNull(), 0).otherwise(shard_of(F.coalesce("page_id", F.lit(0))))).repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "kind", "html", "url")
+    rows = with_range(both, KEYS, cuts, "shard").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "h", "kind", "html", "url")
 
     def write(batches):
         out, shard, seq, state = None, None, 0, {}
@@ -182,6 +181,7 @@ def write_warc(pages: DataFrame, roll_bytes: int = ROLL_BYTES) -> tuple[str, Dat
     manifest = staged.repartition(shards).mapInPandas(commit, MANIFEST).drop("temp").withColumnRenamed("final", "uri")
     path = f"{folder}/_manifest"
     manifest.write.parquet(path)
+    remove(f"{folder}/_temporary")
     return folder, spark.read.schema(manifest.schema).parquet(path)
 
 

@@ -1,15 +1,19 @@
 """Context-triggered piecewise hashing of texts, and likeness of fingerprints by edit distance.
 
 A rolling hash over the last WINDOW bytes ends a chunk wherever it meets a trigger value for the block
-size; each chunk gives one character of the signature. The block size is the smallest BLOCK_MIN * 2**k
-that would cut the text into at most SIGNATURE chunks, halved while it gives under a quarter of them; a second signature at twice the size lets
+size, and a chunk without one ends after LONGEST block sizes; each chunk gives one character of the signature.
+The block size is the smallest BLOCK_MIN * 2**k that would cut the text into at most SIGNATURE chunks, doubled while it
+gives more than twice as many and halved while it gives under a quarter of them, so that a signature has
+at most 2 * SIGNATURE characters whatever the text; a second signature at twice the size lets
 fingerprints of neighbouring block sizes be compared. Likeness: of the signatures at a block size both
 have, 1 - (insertions + deletions) / (both lengths), if they share a run of COMMON characters (or are
 that short and equal in part: see `likeness`), else 0; equal fingerprints have likeness 1.
 
-Null texts are empty: their fingerprint has empty signatures, which equal each other only. Documents
-are put in order of descending id (nulls last, equal ids by text) by range buckets, with the first
-document of a bucket sent to the one before as well, so texts move once. An empty table gives no rows.
+Null texts are empty: their fingerprint has empty signatures, which equal each other only. Texts of few distinct windows (one
+word repeated) have few triggers and are cut by length. Very long texts are hashed in pieces of PIECE_BYTES. Documents
+are put in order of descending id (nulls last, equal ids by a hash of the text) by ranges, with the first
+document of a range sent to the one before as well, so texts move once. Equal rows are each other's next. Extra columns are left
+aside. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, slices, table, with_range_bucket
+from .common import range_bounds, shuffle_partitions, slices, table, with_range
 
-WINDOW, BLOCK_MIN, SIGNATURE, COMMON = 7, 3, 64, 5
+WINDOW, BLOCK_MIN, SIGNATURE, COMMON, LONGEST = 7, 3, 64, 5, 4
 PIECE_BYTES = 1 << 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
@@ -52,9 +56,21 @@ def _triggers(raw: bytes, size: int) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
+def _ends(raw: bytes, size: int) -> np.ndarray:
+    """Ends of all chunks at a block size, the last one at the end of the text."""
+    found = _triggers(raw, size)
+    ends = found if len(found) and found[-1] == len(raw) else np.append(found, len(raw))
+    starts = np.append(0, ends[:-1])
+    parts = (ends - starts + LONGEST * size - 1) // (LONGEST * size)
+    if parts.max() == 1:
+        return ends
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    return np.minimum(np.repeat(starts, parts) + (nth + 1) * LONGEST * size, np.repeat(ends, parts))
+
+
 def _signature(raw: bytes, ends: list[int]) -> str:
     out, at = [], 0
-    for end in ends if ends and ends[-1] == len(raw) else [*ends, len(raw)]:
+    for end in ends:
         out.append(ALPHABET[(zlib.crc32(raw[at:end]) * 0x9E3779B1 >> 20) & 63])
         at = end
     return "".join(out)
@@ -68,13 +84,16 @@ def fingerprint(text: str) -> str:
     size = BLOCK_MIN
     while size * SIGNATURE < len(raw):
         size *= 2
-    while True:
-        ends = _triggers(raw, size)
-        if len(ends) >= SIGNATURE // 4 or size == BLOCK_MIN:
+    ends = _ends(raw, size)
+    while len(ends) > 2 * SIGNATURE:
+        size *= 2
+        ends = _ends(raw, size)
+    while len(ends) < SIGNATURE // 4 and size > BLOCK_MIN:
+        finer = _ends(raw, size // 2)
+        if len(finer) > 2 * SIGNATURE:
             break
-        size //= 2
-    twice = _triggers(raw, 2 * size)
-    return f"{size}:{_signature(raw, ends.tolist())}:{_signature(raw, twice.tolist())}"
+        size, ends = size // 2, finer
+    return f"{size}:{_signature(raw, ends.tolist())}:{_signature(raw, _ends(raw, 2 * size).tolist())}"
 
 
 def _shared(a: str, b: str) -> int:
@@ -123,26 +142,31 @@ def edited(text: str, following: str) -> str:
 OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
-def with_next(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows (bucket, order, own, doc_id, text): each bucket's rows, then the row that follows its last one."""
-    desc = with_range_bucket(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (-F.col("doc_id").cast("double")).alias("_neg")), "_neg", buckets)
-    # nulls stand last, in a bucket of their own
-    desc = desc.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(buckets)).otherwise(F.col("bucket"))).drop("_neg")
-    heads = sorted((r["bucket"], r["top"]) for r in desc.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect())
-    # a row per bucket at most: bucket, its first doc_id, the bucket before (the last one before the first)
-    before = [(b, top, heads[i - 1][0]) for i, (b, top) in enumerate(heads)]
-    spark = docs.sparkSession
-    small = F.broadcast(spark.createDataFrame(before, "hb int, top long, prev int"))
-    joined = desc.join(small, F.col("bucket") == F.col("hb"), "left")
+def with_next(docs: DataFrame, buckets: int) -> tuple[DataFrame, int]:
+    """Rows (bucket, own, doc_id, text, h): each range's rows, then the row that follows its last one; and the number of ranges."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # ascending keys for descending ids, nulls last
+    keys = {"k": F.col("doc_id").isNull().cast("long"), "d": F.bitwise_not("doc_id"), "h": F.xxhash64("text")}
+    rows = rows.withColumns(keys)
+    bounds = range_bounds(rows, [*keys], buckets)
+    if not bounds:
+        return rows.withColumn("bucket", F.lit(0)).withColumn("own", F.lit(True)), 1
+    n = len(bounds)
+    rows = with_range(rows, [*keys], bounds)
+    first = F.broadcast(docs.sparkSession.createDataFrame([(i, *b) for i, b in enumerate(bounds)], "hb int, hk long, hd long, hh long"))  # a row per range
+    rows = rows.join(first, F.col("bucket") == F.col("hb"))
+    leads = (F.col("k") == F.col("hk")) & F.col("d").eqNullSafe(F.col("hd")) & (F.col("h") == F.col("hh"))
     here = F.struct(F.col("bucket").alias("b"), F.lit(True).alias("own"))
-    copies = F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.array(here, F.struct(F.col("prev").alias("b"), F.lit(False).alias("own")))).otherwise(F.array(here))
-    return joined.select("doc_id", "text", F.explode(copies).alias("c")).select(F.col("c.b").alias("bucket"), F.col("c.own").alias("own"), "doc_id", "text")
+    before = F.struct(F.pmod(F.col("bucket") - 1, F.lit(n)).alias("b"), F.lit(False).alias("own"))
+    copies = F.when(leads, F.array(here, before)).otherwise(F.array(here))
+    rows = rows.select("doc_id", "text", "h", F.explode(copies).alias("c"))
+    return rows.select(F.col("c.b").alias("bucket"), F.col("c.own").alias("own"), "doc_id", "text", "h"), n
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """A row per document, as the registered query returns it."""
-    n = shuffle_partitions(docs.sparkSession)
-    rows = with_next(docs, n).repartitionById(n + 1, F.col("bucket")).sortWithinPartitions("bucket", F.desc("own"), F.desc_nulls_last("doc_id"), "text")
+    rows, n = with_next(docs, shuffle_partitions(docs.sparkSession))
+    rows = rows.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", F.desc("own"), F.desc_nulls_last("doc_id"), "h", "text")
 
     def run(batches):
         held, done = None, False  # the row that waits for its follower: (doc_id, text, fingerprint); rows after the first sentinel
@@ -156,11 +180,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         bucket = None
         for batch in slices(batches, 200):
             out = []
-            for b, own, k, t in zip(*(batch[c].to_pylist() for c in ("bucket", "own", "doc_id", "text"))):
+            for b, own, k, raw in zip(*(batch[c].to_pylist() for c in ("bucket", "own", "doc_id")), batch["text"]):
                 if b != bucket:
                     bucket, held, done = b, None, False
                 if done:
                     continue
+                t = raw.as_py()
                 now = (k, t, fingerprint(t))
                 if held is not None:
                     out.append(row(held, now))
