@@ -1,7 +1,7 @@
 """One shard of token ids: raw payload, sorted keys, and a minimal perfect hash from key to record.
 
 Layout (little-endian): magic, then lengths of the sections, then the sections:
-payload ids | record offsets (int64, records + 1) | keys (int64) | hash levels | slot table.
+payload ids | record offsets (int64, records + 1) | keys (int64) | hash levels | slot table | head.
 Rows without a key come first; they are reached by position only.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pyarrow.fs as pafs
 
 MAGIC = b"IDSHARD1"
 _HEAD = struct.Struct("<8s10q")
@@ -91,27 +92,29 @@ def head(width: int, payload_bytes: int, counts: list[int]) -> bytes:
 HEAD_BYTES = _HEAD.size
 
 
-class Shard:
-    """A shard read back: constant-time access by key, checked by the stored fingerprint."""
+class _Index:
+    """What the sections after the keys say: from a key to its records, checked by the stored fingerprint."""
 
-    def __init__(self, raw: bytes):
-        # the header stands at the end, so that the payload can be streamed out first
-        magic, width, payload, n, self.n_null, n_levels, n_rest, n_distinct, *_ = _HEAD.unpack(raw[-HEAD_BYTES:])
+    def _sections(self, head: bytes):
+        # the head stands at the end, so that the payload can be streamed out first
+        magic, width, self.payload, self.n, self.n_null, self.n_levels, self.n_rest, self.n_distinct, *_ = _HEAD.unpack(head)
         if magic != MAGIC:
             raise ValueError("not a shard of token ids")
-        self.dtype, at = f"<u{width}", payload
-        self.ids = np.frombuffer(raw, self.dtype, payload // width)
+        self.dtype, self.width = f"<u{width}", width
+        self.keys_at = self.payload + 8 * (self.n + 1)
+        self.index_at = self.keys_at + 8 * (self.n - self.n_null)
 
+    def _index(self, raw: bytes, at: int):
         def take(dtype, count):
             nonlocal at
             a = np.frombuffer(raw, dtype, count, at)
             at += a.nbytes
             return a
 
-        self.offsets, self.keys, sizes = take("<i8", n + 1), take("<i8", n - self.n_null), take("<i8", n_levels).tolist()
+        sizes = take("<i8", self.n_levels).tolist()
         bits = np.unpackbits(take(np.uint8, (sum(sizes) + 7) // 8), count=sum(sizes)).astype(bool)
-        self.mph = PerfectHash(sizes, bits, take("<u8", n_rest))
-        self.table = take([("fingerprint", "<u4"), ("count", "<u4"), ("record", "<i8")], n_distinct)
+        self.mph = PerfectHash(sizes, bits, take("<u8", self.n_rest))
+        self.table = take([("fingerprint", "<u4"), ("count", "<u4"), ("record", "<i8")], self.n_distinct)
 
     def records(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First record and number of records of each key (-1, 0: the key isn't here)."""
@@ -126,5 +129,43 @@ class Shard:
         first, count = self.records(np.array([key], np.int64))
         return [self.record(int(first[0]) + i) for i in range(int(count[0]))]
 
+
+class Shard(_Index):
+    """A shard read back as a whole."""
+
+    def __init__(self, raw: bytes):
+        self._sections(raw[-HEAD_BYTES:])
+        self.ids = np.frombuffer(raw, self.dtype, self.payload // self.width)
+        self.offsets = np.frombuffer(raw, "<i8", self.n + 1, self.payload)
+        self.keys = np.frombuffer(raw, "<i8", self.n - self.n_null, self.keys_at)
+        self._index(raw, self.index_at)
+
     def record(self, i: int) -> np.ndarray:
         return self.ids[self.offsets[i] : self.offsets[i + 1]]
+
+
+class Remote(_Index):
+    """A shard in its place: the index is read once; then a key costs its slot and two ranged reads per record.
+
+    A fingerprint of 32 bits takes one in 2 ** 32 foreign keys for one of the shard's, so the stored key is compared as well.
+    """
+
+    def __init__(self, uri: str):
+        fs, path = pafs.FileSystem.from_uri(uri)
+        self.file = fs.open_input_file(path)
+        size = self.file.size()
+        self._sections(self._read(size - HEAD_BYTES, HEAD_BYTES))
+        self._index(self._read(self.index_at, size - HEAD_BYTES - self.index_at), 0)
+
+    def _read(self, at: int, n: int) -> bytes:
+        return self.file.read_at(n, at)
+
+    def get(self, key: int) -> list[np.ndarray]:
+        first, count = self.records(np.array([key], np.int64))
+        if count[0] and np.frombuffer(self._read(self.keys_at + 8 * (int(first[0]) - self.n_null), 8), "<i8")[0] != key:
+            return []
+        return super().get(key)
+
+    def record(self, i: int) -> np.ndarray:
+        lo, hi = np.frombuffer(self._read(self.payload + 8 * i, 16), "<i8").tolist()
+        return np.frombuffer(self._read(lo * self.width, (hi - lo) * self.width), self.dtype)

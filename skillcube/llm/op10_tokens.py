@@ -1,10 +1,14 @@
 """Token-ID output: shards of raw ids in key order, each with a minimal perfect hash index.
 
-Rows are range-bucketed by key, sorted, encoded and streamed to files of bounded payload, so a task
-holds one shard at most. A file gets a name of its own per attempt; the manifest, a table that Spark
+Rows are dealt out by ranges of (key, hash of the text), sorted, encoded and streamed to files of bounded payload, so a task
+holds one shard at most, whatever key repeats. A file gets a name of its own per attempt; the manifest, a table that Spark
 commits, says which files count. Null texts have no ids but the end id. Rows without a key come
-first; equal keys stay apart as records of one index entry (ordered by text). An empty table gives
-an empty manifest.
+first; equal keys stay apart as records of one index entry of each file that has some (in order of a hash of the text, then
+the text). A very long text is one record and may exceed a file's usual size. Extra columns are left aside. An empty table
+gives an empty manifest.
+
+`lookup` deals keys out by ranges, finds a key's files by binary search in the files' sorted key ranges, and reads of a file its index,
+then of each record its two offsets and its ids.
 """
 
 from __future__ import annotations
@@ -14,11 +18,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import idfile
-from .common import open_output, read_bytes, scratch_dir, shuffle_partitions, slices, table, with_range_bucket, written
+from .common import open_output, read_bytes, scratch_dir, shuffle_partitions, slices, table, written
 from .tokens import encoder
 
 SHARD_BYTES = 32 << 20
@@ -30,12 +36,16 @@ def write_ids(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
     """Writes the shards; returns the manifest: a row per file, in key order by (bucket, seq), with `start`."""
     spark = docs.sparkSession
     folder, n = scratch_dir(spark, "ids"), shuffle_partitions(spark)
-    rows = with_range_bucket(docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")), "key", n)
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    order = [F.asc_nulls_first("key"), F.xxhash64("text")]
 
     def write(batches):
+        from pyspark import TaskContext
+
+        bucket = TaskContext.get().partitionId()
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.dtype).tobytes()
-        out, keys, nulls, lengths, size, seq, bucket, name = None, [], 0, [], 0, 0, 0, ""
+        out, keys, nulls, lengths, size, seq, name = None, [], 0, [], 0, 0, ""
 
         def close():
             nonlocal out, keys, nulls, lengths, size, seq
@@ -48,13 +58,13 @@ def write_ids(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
             return pa.RecordBatch.from_pydict({f.split()[0]: [v] for f, v in zip(MANIFEST.split(", "), row)}, schema=SCHEMA)
 
         for batch in slices(batches):
-            for k, t, b in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), batch["bucket"].to_pylist()):
-                if out is not None and size >= shard_bytes and (not keys or keys[-1] != k):
+            for k, t in zip(batch["key"].to_pylist(), batch["text"]):
+                if out is not None and size >= shard_bytes:
                     yield close()
                 if out is None:
-                    bucket, name = b, f"{folder}/{b:06d}-{seq:04d}-{uuid.uuid4().hex}.ids"
+                    name = f"{folder}/{bucket:06d}-{seq:04d}-{uuid.uuid4().hex}.ids"
                     out = open_output(name)
-                raw = enc.encode(t) + end
+                raw = enc.encode(t.as_py()) + end
                 out.write(raw)
                 size += len(raw)
                 lengths.append(len(raw) // enc.width)
@@ -66,10 +76,10 @@ def write_ids(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
             yield close()
 
     SCHEMA = pa.schema([("bucket", pa.int32()), ("seq", pa.int32()), ("uri", pa.string()), *[(c, pa.int64()) for c in ("n_records", "n_tokens", "n_null", "min_key", "max_key", "bytes")]])
-    files = rows.repartitionById(n, F.col("bucket")).sortWithinPartitions(F.asc_nulls_first("key"), "text").mapInArrow(write, MANIFEST)
-    files = written(files, "ids-manifest")
-    before = Window.orderBy("bucket", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    files = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").mapInArrow(write, MANIFEST)
+    files = written(files, "ids-files")
+    before = Window.orderBy("bucket", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    return written(files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))), "ids-manifest")
 
 
 def read_ids(manifest: DataFrame) -> DataFrame:
@@ -97,18 +107,32 @@ def read_ids(manifest: DataFrame) -> DataFrame:
 
 
 def lookup(manifest: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Ids of the given keys: (key, ids). Each key goes to the file whose key range holds it."""
-
-    def fetch(pdf):
-        shard = idfile.Shard(read_bytes(pdf.uri.iloc[0]))
-        import pandas as pd
-
-        out = [(k, ids.astype(np.int64).tolist()) for k in pdf.key.tolist() for ids in shard.get(k)]
-        return pd.DataFrame(out, columns=["key", "ids"])
+    """Ids of the given keys: (key, ids), a row per record; a key that no file has, and null, gives none."""
+    tables = manifest.inputFiles()
+
+    def fetch(batches):
+        if not tables:
+            return
+        fs = pafs.FileSystem.from_uri(tables[0])[0]
+        m = pads.dataset([pafs.FileSystem.from_uri(t)[1] for t in tables], format="parquet", filesystem=fs).to_table(columns=["bucket", "seq", "uri", "min_key", "max_key"])
+        m = m.filter(m["min_key"].is_valid()).sort_by([("bucket", "ascending"), ("seq", "ascending")])
+        lows, highs, uris = m["min_key"].to_numpy(), m["max_key"].to_numpy(), m["uri"]
+        at, shard = -1, None
+        for batch in batches:
+            wanted = np.sort(batch["key"].to_numpy())
+            first, last = np.searchsorted(highs, wanted), np.searchsorted(lows, wanted, side="right")
+            rows = sorted((f, k) for k, lo, hi in zip(wanted.tolist(), first.tolist(), last.tolist()) for f in range(lo, hi))
+            found = []
+            for f, k in rows:
+                if f != at:
+                    at, shard = f, idfile.Remote(uris[f].as_py())
+                found += [(k, ids.astype(np.int64)) for ids in shard.get(k)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([ids for _, ids in found], pa.list_(pa.int64()))], names=["key", "ids"])
 
     wanted = keys.select(F.col(key).cast("long").alias("key")).where("key is not null").distinct()
-    m = manifest.select("uri", "min_key", "max_key")
-    return wanted.join(m, F.col("key").between(F.col("min_key"), F.col("max_key"))).groupBy("uri").applyInPandas(fetch, "key long, ids array<long>")
+    wanted = wanted.repartitionByRange(shuffle_partitions(manifest.sparkSession), "key").sortWithinPartitions("key")
+    return wanted.mapInArrow(fetch, "key long, ids array<long>")
 
 
 def query(spark, sf_dir):

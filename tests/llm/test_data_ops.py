@@ -3,8 +3,11 @@
 import collections
 import gzip
 import hashlib
+import math
+import pathlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -12,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skillcube.llm import idfile, op2_warc, op4_packing, op5_chat, op7_mixing, op10_tokens
-from skillcube.llm.common import read_bytes, with_range_bucket
+from skillcube.llm.common import range_bounds, read_bytes, with_range
 from skillcube.llm.tokens import Encoder
 
 from .conftest import TRICKY
@@ -33,6 +36,22 @@ def test_encoder_gives_the_librarys_ids(tokenizer):
         assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == ids, repr(t)
 
 
+def test_encoder_on_every_letter_with_every_mark(tokenizer):
+    enc = Encoder(tokenizer)
+    marks = [chr(c) for c in range(0x530) if unicodedata.combining(chr(c))]
+    texts = [" ".join(f"{chr(c)}{m}{'a' if i % 2 else ''}" for i, m in enumerate(marks)) for c in range(0x530)]
+    for t, ids in zip(texts, library_ids(tokenizer, texts)):
+        assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == ids, repr(t[:2])
+
+
+def test_encoder_on_random_texts(tokenizer):
+    enc, rng = Encoder(tokenizer), random.Random(11)
+    letters = [chr(c) for c in range(0x530)] + ["İ", "̱", "̇", "ſ", "ß", "’", "'", " "] * 20
+    texts = ["".join(rng.choices(letters, k=rng.randint(1, 12))) for _ in range(20_000)]
+    for t, ids in zip(texts, library_ids(tokenizer, texts)):
+        assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == ids, repr(t)
+
+
 def test_encoder_forgets(tokenizer, monkeypatch):
     monkeypatch.setattr("skillcube.llm.tokens.WORD_CACHE", 5)
     enc, texts = Encoder(tokenizer), ["one two three four", "five six seven", "one five nine ten", "two"]
@@ -54,7 +73,7 @@ def test_perfect_hash():
 def test_token_files(tricky, tokenizer, shard_bytes):
     manifest = op10_tokens.write_ids(tricky, tokenizer, shard_bytes=shard_bytes)
     got = op10_tokens.read_ids(manifest).orderBy("start").collect()
-    rows = sorted(((r["doc_id"], r["text"]) for r in tricky.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    rows = [(r["doc_id"], r["text"]) for r in tricky.orderBy(F.asc_nulls_first("doc_id"), F.xxhash64("text")).collect()]
     start = 0
     for r, (k, t), ids in zip(got, rows, library_ids(tokenizer, [t for _, t in rows]), strict=True):
         a = np.array([*ids, 1], "<u4")
@@ -67,18 +86,38 @@ def test_token_files(tricky, tokenizer, shard_bytes):
     assert ids[5] == [*library_ids(tokenizer, [TRICKY[5]])[0], 1]
 
 
+def test_token_files_roll_inside_a_key(spark, tokenizer):
+    docs = spark.createDataFrame([(7 if i % 3 else i, f"word{i} " * 30) for i in range(90)] + [(None, f"none{i}") for i in range(20)], "doc_id long, text string").repartition(4)
+    manifest = op10_tokens.write_ids(docs, tokenizer, shard_bytes=300)
+    assert max(r["bytes"] for r in manifest.collect()) < 5000 and manifest.where("min_key <= 7 and max_key >= 7").count() > 10
+    got = collections.defaultdict(list)
+    for r in op10_tokens.lookup(manifest, spark.createDataFrame([(k,) for k in [*range(-5, 100), 7]], "doc_id long")).collect():
+        got[r["key"]].append(r["ids"])
+    want = collections.defaultdict(list)
+    rows = [r for r in docs.collect() if r["doc_id"] is not None]
+    for r, ids in zip(rows, library_ids(tokenizer, [r["text"] for r in rows])):
+        want[r["doc_id"]].append([*ids, 1])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    back = op10_tokens.read_ids(manifest).orderBy("start").collect()
+    assert len(back) == 110 and [r["start"] for r in back[1:]] == [r["start"] + r["n_tokens"] for r in back[:-1]]
+
+
 def test_token_files_of_nothing(empty, tokenizer):
     assert op10_tokens.read_ids(op10_tokens.write_ids(empty, tokenizer)).count() == 0
 
 
-def test_range_buckets(spark):
-    df = spark.createDataFrame([(i * i - 50,) for i in range(200)] + [(None,)], "k long")
+def test_ranges(spark):
+    rows = [(i * i - 50, i) for i in range(200)] + [(None, i) for i in range(100)] + [(7, i) for i in range(150)]
+    df = spark.createDataFrame(rows, "k long, h long").repartition(5)
     for n in (1, 2, 7):
-        rows = with_range_bucket(df, "k", n).collect()
-        order = sorted((r for r in rows if r["k"] is not None), key=lambda r: r["k"])
-        assert [r["bucket"] for r in order] == sorted(r["bucket"] for r in order) and max(r["bucket"] for r in rows) == n - 1
-        assert [r["bucket"] for r in rows if r["k"] is None] == [0]
-        assert max(collections.Counter(r["bucket"] for r in rows).values()) < 2.5 * 201 / n
+        bounds = range_bounds(df, ["k", "h"], n)
+        assert len(bounds) == n
+        got = sorted((r["k"] is not None, r["k"] or 0, r["h"], r["bucket"]) for r in with_range(df, ["k", "h"], bounds).collect())
+        assert [x[3] for x in got] == sorted(x[3] for x in got) and len({x[3] for x in got}) == n
+        for i, b in enumerate(bounds):  # each range begins at its bound
+            assert min(x[:3] for x in got if x[3] == i) == (b[0] is not None, b[0] or 0, b[1])
+        assert max(collections.Counter(x[3] for x in got).values()) < 2.5 * len(rows) / n
+    assert range_bounds(df.limit(0), ["k", "h"], 3) == [] and with_range(df, ["k", "h"], []).where("bucket <> 0").count() == 0
 
 
 def check_packing(rows, capacity):
@@ -179,6 +218,25 @@ def test_chat_leaves_plain_text_alone(spark):
     assert op5_chat.format_conversations(df).first()["formatted"] == "<s>[INST] user [/INST] a < b & c [d]</s><s>[INST] assistant [/INST] ok &lt;/s></s>"
 
 
+def test_chat_escapes_every_control_string(spark):
+    texts = ["[INST]", "<s>", "a [/INST] b", "[INST] do it [/INST] <s> x", "</s", "<</s>", "&lt;s>", "😀</s>é"]
+    rows = [(1, i, "assistant", t) for i, t in enumerate(texts)]
+    out = op5_chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    r = out.first()
+    inside = [x.split(" [/INST] ", 1)[1] for x in r["formatted"].split("</s>")[:-1]]
+    assert len(inside) == len(texts) and not [t for t in inside for c in op5_chat.CONTROLS if c in t]
+    assert inside[:3] == ["&#91;INST]", "&lt;s>", "a &#91;/INST] b"]
+    spans = [r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss_spans"]]
+    assert spans == inside
+    assert out.select(op5_chat.masked(F.col("formatted"), F.col("loss_spans"))).first()[0] == "".join(texts)
+
+
+def test_chat_mask_decides_the_loss(spark):
+    out = op5_chat.format_conversations(spark.createDataFrame([(1, 0, "user", "héllo"), (1, 1, "assistant", "a😀b<s>")], "conv_id long, turn long, role string, text string"))
+    moved = out.withColumn("loss_spans", F.transform("loss_spans", lambda s: F.struct((s.start + 1).alias("start"), (s.length - 1).alias("length"))))
+    assert op5_chat.digests(moved).first()["loss_chars"] == 5 and op5_chat.digests(out).first()["loss_chars"] == 6
+
+
 def test_chat_of_nothing(talks):
     assert op5_chat.digests(op5_chat.format_conversations(talks.limit(0))).count() == 0
 
@@ -220,9 +278,53 @@ def test_mixing(mixed):
     for r in rows:
         s = source[r["doc_id"]][0]
         assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(want[s]) and abs(taken[s] - want[s]) <= 1
-    again = {r["doc_id"]: r["taken"] for r in op7_mixing.mixed_counts(mixed.repartition(2)).collect()}
-    assert sum(again.values()) == sum(r["taken"] for r in rows)
-    assert {r["doc_id"]: r["taken"] for r in op7_mixing.mixed_counts(mixed).collect()} == {r["doc_id"]: r["taken"] for r in rows}
+        assert r["taken"] == sum(x["words"] for x in r["shards"])
+
+
+def test_mixing_reruns_agree(mixed, monkeypatch):
+    """Whatever the layout, with many buckets and shards; equal rows share out the same numbers."""
+    monkeypatch.setattr(op7_mixing, "ROWS_PER_BUCKET", 30)
+    monkeypatch.setattr(op7_mixing, "SHARD_WORDS", 5000)
+    docs = mixed.union(mixed.where("doc_id % 7 = 0")).union(mixed.where("doc_id % 9 = 0").withColumn("text", F.concat("text", F.lit(" more"))))
+    runs = [collections.Counter(map(str, op7_mixing.mixed_counts(d).collect())) for d in (docs, docs.repartition(3), docs.repartition(7, "text"), docs.coalesce(1))]
+    assert runs[0] == runs[1] == runs[2] == runs[3]
+
+
+def test_shard_counts_are_multinomial(mixed, spark, monkeypatch):
+    rows = [(None, 0, 40_000, 60_000.0), ("a", 1, 200_000, 90_001.0), ("b", 2, 7, 14.0), ("c", 3, 0, 0.0)]
+    by = spark.createDataFrame(rows, "source string, source_rank int, source_size long, target double")
+    shards, block = 12, 16
+    drawn = op7_mixing.draws(by, shards, block)
+    got = collections.defaultdict(dict)
+    for r in drawn.collect():
+        got[r["source_rank"]][r["shard"]] = r["n"]
+    want = {0: 2500 + 1250, 1: math.ceil(90_001 / block), 2: 2}
+    assert {k: sum(v.values()) for k, v in got.items()} == want
+    for k in (0, 1):  # chi-square of 11 degrees: 99.9 % lie under 31.3
+        e = want[k] / shards
+        assert sum((got[k].get(h, 0) - e) ** 2 / e for h in range(shards)) < 31.3
+    slots = op7_mixing.slots(drawn, block).collect()
+    per = collections.Counter((r["shard"], r["source_rank"]) for r in slots)
+    assert per == {(h, k): n for k, v in got.items() for h, n in v.items()}
+    for h in range(shards):
+        places = sorted(r["position"] for r in slots if r["shard"] == h)
+        assert places == list(range(len(places)))
+    assert max(collections.Counter((r["source_rank"], r["epoch"], r["block"]) for r in slots).values()) == 1
+    took = collections.Counter()
+    for r in slots:
+        took[r["source_rank"]] += r["take"]
+    assert took == {0: 60_000, 1: 90_001, 2: 14}
+
+
+def test_mix_files(mixed, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(op7_mixing, "SHARD_WORDS", 20_000)
+    op7_mixing.write_mix(mixed, f"file://{tmp_path}/mix")
+    files = spark.read.parquet(f"file://{tmp_path}/mix")
+    words = collections.Counter()
+    for r in files.collect():
+        words[r["doc_id"], r["_shard"]] += len(r["text"].split())
+    want = {(r["doc_id"], x["shard"]): x["words"] for r in op7_mixing.mixed_counts(mixed).collect() for x in r["shards"]}
+    assert words == want and len({h for _, h in want}) > 3
 
 
 def test_mixed_texts(mixed):
@@ -273,6 +375,7 @@ def test_archives(spark, roll):
     assert sorted(files.values()) == sorted(r["sha256"] for r in again.collect()) and len(files) == (1 if roll > 1000 else len(files)) and (roll > 1000 or len(files) > 3)
     order = [h.get("Page-ID") for u in sorted(files) for h, _, _ in op2_warc.parse(gzip.decompress(read_bytes(u)))]
     assert order[0] is None and [int(x) for x in order[1:]] == sorted(int(x) for x in order[1:])
+    assert not pathlib.Path(folder.removeprefix("file://"), "_temporary").exists()
     assert not [u for u in files if "_temporary" in u] and all(u.startswith(folder) for u in files)
 
 
@@ -283,6 +386,18 @@ def test_damaged_archive_is_noticed(spark):
         list(op2_warc.parse(raw.replace(b"\r\n\r\npayload", b"\r\n\r\npayloae")))
 
 
+def test_hot_page_ids_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(op2_warc, "LEAST_SHARD", 5_000)
+    rows = [(None, f"u{i}", f"null id {i} " * 20) for i in range(60)] + [(7, f"u{i}", f"seven {i} " * 20) for i in range(60)] + [(i, "u", "same page again " * 20) for i in range(8, 40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    _, manifest = op2_warc.write_warc(pages)
+    assert manifest.where("records > 0").count() > 8 and manifest.agg(F.max("records")).first()[0] < 30
+    back = op2_warc.read_warc(manifest)
+    assert back.count() == len(rows) and back.where("record_type = 'revisit' and refers_to = 8").count() == 31
+    texts = collections.Counter(bytes(r["payload"]).decode() for r in back.where("payload is not null").collect())
+    assert texts == collections.Counter({t for _, _, t in rows})
+
+
 def test_archive_of_nothing(spark):
     _, manifest = op2_warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"))
     assert op2_warc.read_warc(manifest).count() == 0

@@ -256,6 +256,32 @@ def test_rolling_hash_is_local():
     assert set(op9_ctph._triggers(raw, 12)) <= set(whole)
 
 
+def test_signatures_are_bounded_and_cut_dull_texts():
+    dull = {"word": "word " * 4000, "letter": "a" * 300_000, "lines": "0123456789abcdef\n" * 250_000, "pair": "ab" * 50_000}
+    for name, t in dull.items():
+        f = op9_ctph.fingerprint(t)
+        assert all(len(s) <= 2 * op9_ctph.SIGNATURE for s in f.split(":")[1:]), name
+        assert op9_ctph.likeness(f, op9_ctph.fingerprint(t + "x" * 50)) > 0.8, name
+    rng = random.Random(8)
+    for n in (1, 2, 30, 200, 3000, 70_000):
+        t = "".join(rng.choices("abcdefgh ", k=n))
+        f = op9_ctph.fingerprint(t)
+        assert all(1 <= len(s) <= 2 * op9_ctph.SIGNATURE for s in f.split(":")[1:])
+        raw, size = t.encode(), int(f.split(":")[0])
+        ends = op9_ctph._ends(raw, size).tolist()
+        assert ends[-1] == len(raw) and ends == sorted(set(ends)) and max(b - a for a, b in zip([0, *ends], ends)) <= 4 * size
+        assert set(op9_ctph._triggers(raw, size).tolist()) <= set(ends)
+
+
+def test_piecewise_hash_of_hot_ids(spark):
+    rows = [(None, f"text {i} of no id " * 9) for i in range(70)] + [(5, f"text {i} of five " * 9) for i in range(70)] + [(i, f"own {i} " * 30) for i in range(9, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = op9_ctph.fingerprints(df).collect()
+    order = [r["text"] for r in df.orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text")).collect()]
+    want = collections.Counter(hashlib.sha256(op9_ctph.edited(t, order[(i + 1) % len(order)]).encode()).hexdigest() for i, t in enumerate(order))
+    assert collections.Counter(r["edited_sha256"] for r in got) == want
+
+
 def test_piecewise_hash_odd_rows(tricky, empty):
     rows = op9_ctph.fingerprints(tricky).collect()
     assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r["doc_id"]) for r in tricky.collect())
