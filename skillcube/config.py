@@ -36,6 +36,26 @@ class Splits:
         return out
 
 
+@dataclass(frozen=True)
+class Event:
+    """A yes-or-no event of a weekly mean: anomaly or physical space, beyond (gt) or below (lt) a threshold."""
+
+    name: str
+    variable: str
+    space: str = "anomaly"
+    comparison: str = "gt"
+    threshold: float = 0.0
+
+
+#: The calibration events, with thresholds of 40 degrees C in kelvin and of 50 mm a day in m.
+EVENTS = (
+    Event("t2m_anom_positive", "2m_temperature", "anomaly", "gt", 0.0),
+    Event("precip_anom_positive", PRECIPITATION, "anomaly", "gt", 0.0),
+    Event("extreme_heat_40C", "2m_temperature", "physical", "gt", 313.15),
+    Event("heavy_rain_50mm", PRECIPITATION, "physical", "gt", 0.050),
+)
+
+
 @dataclass(frozen=True)
 class Config:
     targets: tuple[str, ...] = ("2m_temperature", PRECIPITATION)
@@ -54,6 +74,10 @@ class Config:
     gate_metric: str = "crpss_vs_prob"
     gate_threshold: float = 0.0
     reliability_bins: int = 10
+    events: tuple[Event, ...] = EVENTS
+    members: int = 16
+    member_source: str = "auto"
+    noise_std: float = 0.1
 
     @property
     def target_vars(self) -> tuple[str, ...]:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from skillcube.config import Config
 from skillcube.operators import climatology, splits, windows
+from skillcube.sources import cube
 
 
 @dataclass(frozen=True)
@@ -41,11 +43,36 @@ def write(built: Built, folder: str) -> None:
     built.norm.write.mode("overwrite").parquet(f"{folder}/norm")
 
 
+def load(spark: SparkSession, folder: str) -> Built:
+    """What `write` stored; FileNotFoundError if it isn't there."""
+    anomalies, clim, norm = (cube.read_cube(spark, f"{folder}/{name}") for name in ("anomalies", "climatology", "norm"))
+    return Built(anomalies, anomalies, clim, norm)
+
+
 def samples(anomalies: DataFrame, norm: DataFrame, cfg: Config, split: str) -> DataFrame:
-    """Model samples of a split: strided daily inits for train and val, Monday inits for test."""
+    """Model samples of a split, each of cfg.channels by cells: strided daily inits for train and val, Monday inits for test."""
     z = climatology.standardize(splits.only(anomalies, split), norm)
+    weeks, lead = cfg.history_weeks, max(cfg.lead_weeks)
     if split == "test":
-        w = windows.weekly_windows(windows.weekly_spine(windows.weekly_mean(z)), cfg.history_weeks, cfg.lead_weeks)
+        spine = windows.weekly_spine(windows.weekly_mean(z), cfg.input_vars)
+        w = windows.weekly_windows(windows.require_length(spine, "week", weeks + lead), weeks, cfg.lead_weeks)
     else:
-        w = windows.daily_windows(windows.daily_spine(z), cfg.history_weeks, cfg.lead_weeks, cfg.train_stride_days)
+        w = windows.daily_windows(windows.daily_spine(z, cfg.input_vars), weeks, cfg.lead_weeks, cfg.train_stride_days)
+        w = windows.inside_blocks(w, cfg.splits, 7 * (weeks - 1) + 6, 7 * lead + 6)
     return windows.samples(w, cfg)
+
+
+def shuffled(samples: DataFrame, seed: int, epoch: int = 0) -> DataFrame:
+    """Samples in an order of their own for each (seed, epoch), as `place` (from 0), the same however they are stored.
+
+    A row per init, so the numbering is a window over as many rows as there are days.
+    """
+    by = [c for c in ("split",) if c in samples.columns]
+    order = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), F.lit(epoch), "init"), "init")
+    places = samples.select(*by, "init").withColumn("place", F.row_number().over(order) - 1)
+    return samples.join(places, [*by, "init"])
+
+
+def batches(samples: DataFrame, size: int) -> DataFrame:
+    """`batch`: consecutive places in batches of `size`, the last one shorter."""
+    return samples.withColumn("batch", F.floor(F.col("place") / size).cast("int"))

@@ -63,6 +63,56 @@ STEPS = {
 }
 
 
+def _mesh_sql(nside: int) -> str:
+    """HEALPix pixel centres: id, lon, lat."""
+    bits = range(nside.bit_length() - 1)
+    x, y = (" + ".join(f"((q >> {2 * b + odd}) & 1) * {1 << b}" for b in bits) for odd in (0, 1))
+    return f"""SELECT id, degrees(phi) AS lon, 90 - degrees(acos(z)) AS lat FROM (
+      SELECT *, (j - (shift + 1) * 0.5) * (pi() / 2) / per AS phi FROM (
+        SELECT * REPLACE (CASE WHEN j > 4 * per THEN j - 4 * per WHEN j < 1 THEN j + 4 * per ELSE j END AS j) FROM (
+          SELECT *, (off * per + x - y + 1 + shift) / 2 AS j,
+            CASE WHEN i < {nside} THEN 1 - per * per / (3.0 * {nside * nside}) WHEN i > {3 * nside} THEN per * per / (3.0 * {nside * nside}) - 1 ELSE ({2 * nside} - i) * (2.0 / (3.0 * {nside})) END::DOUBLE AS z FROM (
+            SELECT *, CASE WHEN i < {nside} THEN i WHEN i > {3 * nside} THEN {4 * nside} - i ELSE {nside} END AS per, CASE WHEN i < {nside} OR i > {3 * nside} THEN 0 ELSE (i - {nside}) % 2 END AS shift FROM (
+              SELECT *, CASE WHEN face < 4 THEN 2 WHEN face < 8 THEN 3 ELSE 4 END * {nside} - x - y - 1 AS i, CASE WHEN face // 4 = 1 THEN 2 * (face % 4) ELSE 2 * (face % 4) + 1 END AS off FROM (
+                SELECT id, id // {nside * nside} AS face, {x} AS x, {y} AS y FROM (SELECT id, id % {nside * nside} AS q FROM (SELECT unnest(range({12 * nside * nside})) AS id)))))))) """
+
+
+def _near_sql(source: str, to: str, k: int) -> str:
+    """The k nearest of source for each of to: to_id, from_id, rank, dist."""
+    return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY to_id ORDER BY dist, from_id) AS rank FROM (
+      SELECT {to}.id AS to_id, {source}.id AS from_id, 2 * asin(least(1.0, sqrt(sin(radians({to}.lat - {source}.lat) / 2) ** 2 + cos(radians({source}.lat)) * cos(radians({to}.lat)) * sin(radians({to}.lon - {source}.lon) / 2) ** 2))) AS dist FROM {to}, {source})) WHERE rank <= {k}"""
+
+
+_IDW = "sum(value / (dist ** 2 + 1e-12)) / sum(1 / (dist ** 2 + 1e-12))"
+for _n in (2, 4):
+    STEPS[f"hp{_n}"] = _mesh_sql(_n)
+    STEPS[f"fine{_n}"] = _near_sql("cells", f"hp{_n}", 4)
+    STEPS[f"coarse{_n}"] = _near_sql(f"hp{_n}", "cells", 4)
+STEPS["there8"], STEPS["back8"] = _near_sql("cells", "hp4", 8), _near_sql("hp4", "cells", 8)
+STEPS["onmesh"] = f"SELECT to_id AS from_id, {_IDW} AS value FROM there8 JOIN (SELECT id AS from_id, value FROM cells) USING (from_id) GROUP BY ALL"
+STEPS["returned"] = f"SELECT to_id AS id, {_IDW} AS f FROM back8 JOIN onmesh USING (from_id) GROUP BY ALL"
+STEPS["waving"] = "SELECT id, lat, lon, name, CASE WHEN name = 'wave_k3' THEN cos(3 * radians(lon)) * cos(radians(lat)) ELSE cos(6 * radians(lon)) * cos(radians(lat)) END AS value FROM cells, (SELECT unnest(['wave_k3', 'wave_k6']) AS name)"
+for _n in (2, 4):
+    STEPS[f"lifted{_n}"] = f"SELECT to_id AS from_id, name, {_IDW} AS value FROM fine{_n} JOIN (SELECT id AS from_id, name, value FROM waving) USING (from_id) GROUP BY ALL"
+    STEPS[f"landed{_n}"] = f"SELECT to_id AS id, name, {_IDW} AS f FROM coarse{_n} JOIN lifted{_n} USING (from_id) GROUP BY ALL"
+STEPS["phys"] = "SELECT * FROM (SELECT *, least(dayofyear(init + 7 * lead), last_doy) AS doy FROM test, last_doy) LEFT JOIN clim USING (variable, cell_id, doy)"
+STEPS["zrolled"] = STEPS["rolled"].replace("LEFT JOIN tagged", "LEFT JOIN z")
+STEPS["zwindows"] = "SELECT split, variable, cell_id, time AS init, pos, n, lag(rolled, 7) OVER w AS h0, rolled AS h1, " + ", ".join(f"lead(rolled, {7 * k + 6}) OVER w AS t{k}" for k in LEADS) + f" FROM zrolled WINDOW w AS (PARTITION BY {SERIES} ORDER BY time)"
+
+
+def _back(x: str) -> str:
+    return f"(CASE WHEN variable = {P} THEN exp({x} + clim) - 1 ELSE {x} + clim END)"
+
+
+def _event_sql(name: str, variable: str, space: str, op: str, bar: float) -> str:
+    value = _back if space == "physical" else str
+    hits = " + ".join(f"coalesce(CAST({value(f'm{i}')} {op} {bar} AS INT), 0)" for i in range(5))
+    return f"SELECT '{name}' AS event, ({hits}) / CAST(5 AS DOUBLE) AS p, CAST({value('truth')} {op} {bar} AS INT) AS y FROM {'phys' if space == 'physical' else 'test'} WHERE variable = {variable} AND {value('truth')} IS NOT NULL"
+
+
+STEPS["happened"] = " UNION ALL ".join(_event_sql(*e) for e in (("quantity_above_season", "'quantity'", "anomaly", ">", 0.0), ("rain_below_season", P, "anomaly", "<", -0.005), ("high_quantity", "'quantity'", "physical", ">", 26.0), ("little_rain", P, "physical", "<", 0.049)))
+
+
 def _needs(text: str, upto: int | None = None) -> set[str]:
     """Steps that a text names, with what they need in turn; a step builds on earlier ones only."""
     words, out = set(re.findall(r"\w+", text)), set()
@@ -107,7 +157,7 @@ ORACLE_SQL = {
     "lead_targets": sql(f"SELECT split, variable, cell_id, init, {r('current')}, lead, {r('truth')} FROM points"),
     "valid_init_weeks": sql("SELECT split, variable, cell_id, count(*) AS n, min(week) AS first, max(week) AS last FROM ahead WHERE pos < n - 6 GROUP BY ALL"),
     "history_windows": sql(f"SELECT split, variable, cell_id, week AS init, round(m1, 6) + 0.0 AS h0, round(m0, 6) + 0.0 AS h1, {r(*_T)} FROM ahead WHERE pos >= 1 AND pos < n - 6"),
-    "daily_init_windows": sql(f"SELECT variable, cell_id, init, {r(*_H, *_T)} FROM (SELECT variable, cell_id, time AS init, pos, n, lag(rolled, 7) OVER w AS h0, rolled AS h1, " + ", ".join(f"lead(rolled, {7 * k + 6}) OVER w AS t{k}" for k in LEADS) + " FROM rolled WHERE split = 'train' WINDOW w AS (PARTITION BY variable, cell_id ORDER BY time)) WHERE pos >= 13 AND pos <= n - 49 AND (pos - 13) % 3 = 0", 5),
+    "daily_init_windows": sql(f"SELECT split, variable, cell_id, init, {r(*_H, *_T)} FROM (SELECT split, variable, cell_id, time AS init, pos, n, lag(rolled, 7) OVER w AS h0, rolled AS h1, " + ", ".join(f"lead(rolled, {7 * k + 6}) OVER w AS t{k}" for k in LEADS) + " FROM rolled WHERE split <> 'test' WINDOW w AS (PARTITION BY split, variable, cell_id ORDER BY time)) WHERE pos >= 13 AND pos <= n - 49", 5),
     "season_channel": sql("SELECT time, round(CAST(CAST(cos(2 * pi() * dayofyear(time) / 365.25) AS FLOAT) AS DOUBLE), 5) + 0.0 AS season FROM (SELECT DISTINCT time FROM tagged)"),
     "climatology_forecast": sql("SELECT variable, lead, count(*) AS n, 0.0::DOUBLE AS total FROM weekly, (SELECT CAST(unnest(range(1, 7)) AS INTEGER) AS lead) WHERE split = 'test' GROUP BY ALL"),
     "persistence_forecast": sql(f"SELECT variable, cell_id, week AS init, lead, {r('value')} FROM weekly, (SELECT CAST(unnest(range(1, 7)) AS INTEGER) AS lead) WHERE split = 'test'"),
@@ -128,4 +178,18 @@ ORACLE_SQL = {
     "decision_gate": sql("SELECT coalesce(bool_and(coalesce(crpss_vs_prob > 0, false)), false) AS passed FROM evaluated WHERE lead IN (3, 4)"),
     "haversine_knn": sql(f"SELECT to_id, CAST(rank AS INTEGER) AS rank, {r('dist')} FROM knn"),
     "idw_interp": sql("SELECT to_id AS id, round(sum(value / (dist ** 2 + 1e-12)) / sum(1 / (dist ** 2 + 1e-12)), 6) + 0.0 AS value FROM knn GROUP BY ALL"),
+    "idw_roundtrip_rmse": sql(f"SELECT round(sqrt(sum({W} * (f - value) ** 2) / sum({W})), 6) + 0.0 AS rmse FROM returned JOIN cells USING (id)"),
+    "packed_samples": sql("SELECT init, CAST(2 * count(*) + count(*) // 2 AS INTEGER) AS n_input, CAST(6 * count(*) AS INTEGER) AS n_target, round(sum(coalesce(CAST(CAST(h0 AS FLOAT) AS DOUBLE), 0) + coalesce(CAST(CAST(h1 AS FLOAT) AS DOUBLE), 0)) + count(*) // 2 * CAST(CAST(cos(2 * pi() * dayofyear(init) / 365.25) AS FLOAT) AS DOUBLE), 3) + 0.0 AS input_sum, round(sum(" + " + ".join(f"coalesce(CAST(CAST({t} AS FLOAT) AS DOUBLE), 0)" for t in _T) + "), 3) + 0.0 AS target_sum FROM zwindows WHERE split = 'train' AND pos >= 13 AND pos <= n - 49 GROUP BY init", 5),
+    "drawn_members": sql("SELECT CAST(m AS INTEGER) AS member, variable AS channel, count(*) AS n, round(avg(value * (1 + m / 10)), 5) + 0.0 AS mean FROM weekly, (SELECT CAST(unnest(range(3)) AS DOUBLE) AS m) WHERE split = 'test' AND value IS NOT NULL GROUP BY ALL"),
+    "forecast_join": sql("SELECT variable, cell_id, init, lead, 5 AS n, round((m0 + m1 + m2 + m3 + m4) / 5, 6) + 0.0 AS mean, round(truth, 6) + 0.0 AS truth FROM test"),
+    "forecast_scores": sql(f"SELECT variable, lead, {r('crps_model', 'crps_clim_det', 'crps_clim_prob', 'crpss_vs_det', 'crpss_vs_prob', 'acc_mean', 'rmse_mean', 'spread_error_ratio')} FROM evaluated"),
+    "event_reliability": sql(f"SELECT event, CAST(b AS INTEGER) AS bin, round(CAST([{', '.join(_CENTERS)}] AS DOUBLE[])[b + 1], 6) + 0.0 AS center, round(avg(y) FILTER (pos = b), 6) + 0.0 AS observed, count(*) FILTER (pos = b) AS n FROM (SELECT event, y, " + " + ".join(f"CAST(p >= CAST({e} AS DOUBLE) AS INT)" for e in _EDGES) + " AS pos FROM happened), (SELECT unnest(range(10)) AS b) GROUP BY ALL"),
+    "level_flattening": "SELECT 'l_quantity_' || l_linenumber AS variable, count(*) AS n, round(avg(l_quantity), 4) + 0.0 AS mean FROM lineitem WHERE l_linenumber IN (1, 2) GROUP BY ALL UNION ALL SELECT 'l_extendedprice_3', count(*), round(avg(l_extendedprice), 4) + 0.0 FROM lineitem WHERE l_linenumber = 3 HAVING count(*) > 0",
+    "year_range": sql("SELECT variable, count(*) AS n, min(time) AS first, max(time) AS last, round(avg(value), 6) + 0.0 AS mean FROM daily WHERE year(time) BETWEEN 1996 AND 1997 GROUP BY 1"),
+    "stored_cube": sql("SELECT split, variable, count(*) AS n, count(DISTINCT cell_id) AS cells, round(avg(value), 6) + 0.0 AS mean FROM tagged WHERE split <> 'val' GROUP BY ALL"),
+    "sample_batches": sql("SELECT CAST(place // 16 AS INTEGER) AS batch, count(*) AS n, CAST(min(place) AS INTEGER) AS first, CAST(max(place) AS INTEGER) AS last FROM (SELECT row_number() OVER (ORDER BY init) - 1 AS place FROM (SELECT DISTINCT init FROM zwindows WHERE split = 'val' AND pos >= 13 AND pos <= n - 49)) GROUP BY ALL", 5),
+    "healpix_pixels": sql(f"SELECT to_id AS id, from_id AS pix, CAST(from_id // 4 AS BIGINT) AS parent, {r('lon', 'lat', 'dist')} FROM (SELECT * FROM coarse4 WHERE rank = 1) JOIN hp4 ON hp4.id = from_id"),
+    "wave_fields": sql(f"SELECT id, name, {r('value')} FROM waving"),
+    "loss_by_resolution": sql(" UNION ALL ".join(f"SELECT {n} AS nside, name, round(sqrt(sum({W} * (f - value) ** 2) / sum({W})), 6) + 0.0 AS rmse, round(sqrt(sum({W} * (f - value) ** 2) / sum({W})) / any_value(span), 6) + 0.0 AS relative FROM landed{n} JOIN waving USING (id, name) JOIN (SELECT name, max(value) - min(value) AS span FROM waving GROUP BY 1) USING (name) WHERE {BOX} GROUP BY ALL" for n in (2, 4))),
+    "spherical_twins": sql("SELECT id, round(cos(radians(lat)) * cos(radians(lon)), 6) + 0.0 AS x, round(cos(radians(lat)) * sin(radians(lon)), 6) + 0.0 AS y, round(sin(radians(lat)), 6) + 0.0 AS z FROM cells"),
 }

@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skillcube.config import PRECIPITATION, Box, Config, Splits
+from skillcube.config import PRECIPITATION, Box, Config, Event, Splits
 from skillcube.functions import columns as C
 from skillcube.jobs import build, evaluate
 from skillcube.operators import climatology, forecasts, geometry, metrics, splits, windows
+from skillcube.session import shared_folder
 from skillcube.sources import cube
 
 LEADS = (1, 2, 3, 4, 5, 6)
 #: The tables' years; the box holds cells 5 to 14, any longitude.
-CFG = Config(targets=("quantity", PRECIPITATION), surface_predictors=(), level_predictors=(), splits=Splits((1995, 1998), (1999, 1999), (2000, 2001)), box=Box(-35.0, 10.0, 0.0, 360.0), lead_weeks=LEADS)
+EVENTS = (
+    Event("quantity_above_season", "quantity", "anomaly", "gt", 0.0),
+    Event("rain_below_season", PRECIPITATION, "anomaly", "lt", -0.005),
+    Event("high_quantity", "quantity", "physical", "gt", 26.0),
+    Event("little_rain", PRECIPITATION, "physical", "lt", 0.049),
+)
+CFG = Config(events=EVENTS, targets=("quantity", PRECIPITATION), surface_predictors=(), level_predictors=(), splits=Splits((1995, 1998), (1999, 1999), (2000, 2001)), box=Box(-35.0, 10.0, 0.0, 360.0), lead_weeks=LEADS)
 MEMBERS = 5
 
 
@@ -129,8 +136,8 @@ def history_windows(spark, sf):
 
 
 def daily_init_windows(spark, sf):
-    rows = windows.daily_windows(windows.daily_spine(splits.only(_tagged(spark, sf, 5), "train")), 2, LEADS, 3)
-    return _r(rows.select("variable", "cell_id", "init", *[F.col("history")[k].alias(f"h{k}") for k in range(2)], *[F.col("targets")[k - 1].alias(f"t{k}") for k in LEADS]))
+    rows = windows.daily_windows(windows.daily_spine(_tagged(spark, sf, 5).where("split <> 'test'")), 2, LEADS, CFG.train_stride_days)
+    return _r(rows.select("split", "variable", "cell_id", "init", *[F.col("history")[k].alias(f"h{k}") for k in range(2)], *[F.col("targets")[k - 1].alias(f"t{k}") for k in LEADS]))
 
 
 def season_channel(spark, sf):
@@ -255,11 +262,104 @@ def idw_roundtrip_rmse(spark, sf):
     return _r(geometry.weighted_rmse(back.join(cells.select("id", "lat", F.col("value").alias("o")), "id")))
 
 
-def tile_noise_members(spark, sf):
-    """Perturbed weekly fields on a grid of 5 by 5 cells, with the identity as predictor."""
+def _fields(spark, sf):
+    """Weekly test fields on a grid of 5 by 5 cells."""
     w = splits.only(_weekly(spark, sf), "test")
-    fields = w.select(F.col("week").alias("sample"), F.col("variable").alias("channel"), F.floor(F.col("cell_id") / 5).cast("int").alias("lat_idx"), (F.col("cell_id") % 5).alias("lon_idx"), "value")
-    return _r(forecasts.ensemble(fields, [lambda x: x], (0, 1, 2, 3), 0.1).groupBy("member", "channel").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")))
+    return w.select(F.col("week").alias("sample"), F.col("variable").alias("channel"), F.floor(F.col("cell_id") / 5).cast("int").alias("lat_idx"), (F.col("cell_id") % 5).alias("lon_idx"), "value")
+
+
+def tile_noise_members(spark, sf):
+    """Perturbed weekly fields, with the identity as predictor."""
+    return _r(forecasts.ensemble(_fields(spark, sf), [lambda x: x], (0, 1, 2, 3), 0.1).groupBy("member", "channel").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")))
+
+
+def _scaled(batches, members):
+    """A stand-in for a model with noise of its own: member m is the field times 1 + m / 10."""
+    import pandas as pd
+
+    for pdf in batches:
+        yield pd.concat([pdf.assign(member=m, value=pdf["value"] * (1 + m / 10)) for m in range(members)])
+
+
+def drawn_members(spark, sf):
+    """Members that a model draws itself, chosen as the source."""
+    fields = _fields(spark, sf).where("value is not null")
+    out = forecasts.members_of(fields, CFG.with_(members=3), fields.withColumn("member", F.lit(0)).schema, noisy=_scaled)
+    return _r(out.groupBy("member", "channel").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")), 5)
+
+
+def _stored(spark, sf, built):
+    """The lagged ensemble as a table of standardized forecasts, a row per member."""
+    spine = windows.weekly_spine(windows.weekly_mean(splits.only(built.anomalies, "test")))
+    points = forecasts.lagged(spine, MEMBERS, LEADS).drop("split", "truth")
+    rows = points.select("variable", "cell_id", "lat", "lon", "init", "lead", F.posexplode("members").alias("member", "value"))
+    return climatology.standardize(rows, built.norm)
+
+
+def forecast_join(spark, sf):
+    b = _built(spark, sf)
+    points = evaluate.stored_points(_stored(spark, sf, b), b, CFG)
+    return _r(points.select("variable", "cell_id", "init", "lead", F.size("members").alias("n"), metrics.ensemble_mean(F.col("members")).alias("mean"), "truth"))
+
+
+def forecast_scores(spark, sf):
+    b = _built(spark, sf)
+    return _r(evaluate.score(evaluate.stored_points(_stored(spark, sf, b), b, CFG), b.anomalies, CFG))
+
+
+def event_reliability(spark, sf):
+    return _r(evaluate.event_reliability(_lagged(spark, sf), _built(spark, sf).climatology, CFG))
+
+
+def level_flattening(spark, sf):
+    """Order lines with their line number as level."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_linenumber").cast("int").alias("level"), F.col("l_shipdate").alias("time"), "l_quantity", "l_extendedprice")
+    long = lines.unpivot(["level", "time"], ["l_quantity", "l_extendedprice"], "variable", "value")
+    flat = cube.flatten_levels(long, [("l_quantity", (1, 2)), ("l_extendedprice", (3,))])
+    return _r(flat.groupBy("variable").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")), 4)
+
+
+def year_range(spark, sf):
+    d = cube.years(_daily(spark, sf), (1996, 1997))
+    return _r(d.groupBy("variable").agg(F.count(F.lit(1)).alias("n"), F.min("time").alias("first"), F.max("time").alias("last"), F.avg("value").alias("mean")))
+
+
+def stored_cube(spark, sf):
+    """Written by split and read again, one split at a time."""
+    path = shared_folder(spark, "cube")
+    cube.write_cube(_tagged(spark, sf), path)
+    parts = [cube.read_cube(spark, path, CFG, split=s) for s in ("train", "test")]
+    return _r(parts[0].unionByName(parts[1]).groupBy("split", "variable").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cell_id").alias("cells"), F.avg("value").alias("mean")))
+
+
+def sample_batches(spark, sf):
+    """Validation samples in a seeded order, cut into batches of 16."""
+    b = _built(spark, sf, 5)
+    s = build.batches(build.shuffled(build.samples(b.anomalies, b.norm, CFG, "val"), seed=7), 16)
+    return s.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"), F.max("place").alias("last"))
+
+
+def healpix_pixels(spark, sf):
+    """The pixel centre nearest to each cell, and the pixel that holds it on a mesh four times coarser."""
+    mesh = geometry.healpix(spark, 4)
+    near = geometry.knn(mesh.withColumnRenamed("pix", "id"), _cells(spark, sf), 1)
+    return _r(near.join(mesh, F.col("from_id") == F.col("pix")).select(F.col("to_id").alias("id"), "pix", geometry.coarser(F.col("pix"), 4).alias("parent"), "lon", "lat", "dist"))
+
+
+def wave_fields(spark, sf):
+    return _r(geometry.waves(_cells(spark, sf)).where("name <> 'noise'"))
+
+
+def loss_by_resolution(spark, sf):
+    """Round-trip loss of the waves at the cells of the box."""
+    got = geometry.loss_by_resolution(geometry.points_of(spark, _daily(spark, sf)), spark, (2, 4), 4, CFG.box)
+    return _r(got.where("name <> 'noise'"))
+
+
+def spherical_twins(spark, sf):
+    """Unit vectors of the cells."""
+    v = C.unit_vector(F.col("lat"), F.col("lon"))
+    return _r(_cells(spark, sf).select("id", v["x"].alias("x"), v["y"].alias("y"), v["z"].alias("z")))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -268,5 +368,7 @@ QUERIES = {f.__name__: f for f in (
     rolling7, lead_targets, valid_init_weeks, history_windows, daily_init_windows, season_channel, packed_samples,
     climatology_forecast, persistence_forecast, baseline_scores, woy_pool, crps_biased, crps_fair, crps_woy_climatology, crpss, fair_crps_loss, weighted_mse,
     rank_histogram, spread_error_ratio, event_probability, reliability_curve, reliability_ranks, evaluation_scores, decision_gate,
-    haversine_knn, idw_interp, idw_roundtrip_rmse, tile_noise_members,
+    haversine_knn, idw_interp, idw_roundtrip_rmse, tile_noise_members, drawn_members,
+    forecast_join, forecast_scores, event_reliability, level_flattening, year_range, stored_cube, sample_batches,
+    healpix_pixels, wave_fields, loss_by_resolution, spherical_twins,
 )}

@@ -79,3 +79,13 @@ def physical(rows: DataFrame, clim: DataFrame, day: str = "time", column: str =
     """Anomaly plus the climatology of `day`, precipitation back from log1p; adds `physical`."""
     out = _with_clim(rows, clim, F.col(day))
     return out.withColumn("physical", C.expm1_precipitation(F.col("variable"), F.col(column) + F.col("clim"))).drop("clim")
+
+
+def physical_points(points: DataFrame, clim: DataFrame) -> DataFrame:
+    """Points (members and truth as anomalies) in physical units: each with the climatology of its target week's Monday."""
+    rows = _with_clim(points.withColumn("_day", F.date_add("init", F.col("lead") * 7)), clim, F.col("_day"))
+
+    def back(x):
+        return C.expm1_precipitation(F.col("variable"), x + F.col("clim"))
+
+    return rows.withColumn("members", F.transform("members", back)).withColumn("truth", back(F.col("truth"))).drop("clim", "_day")

@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skillcube.config import Config
 from skillcube.functions import columns as C
+from skillcube.operators import metrics
 
 POINT = ["variable", "cell_id", "lat", "lon", "init", "lead"]
 
@@ -34,20 +36,28 @@ def near_weeks(spark, window: int) -> DataFrame:
 
 
 def woy_pool(train_weekly: DataFrame, window: int) -> DataFrame:
-    """variable, cell_id, target_woy, members: training weeks near each week of the year, sorted.
+    """variable, cell_id, target_woy, members (sorted), apart: training weeks near each week of the year.
 
     A row of the series goes to the few weeks it is near, by an equality join on its own week; a pool
-    holds at most 2 * window + 1 weeks of each year.
+    holds at most 2 * window + 1 weeks of each year. apart: the members' part of the CRPS, which no truth changes.
     """
     near = F.broadcast(near_weeks(train_weekly.sparkSession, window))
     rows = train_weekly.withColumn("woy", F.weekofyear("week").cast("int")).join(near, "woy")
-    return rows.groupBy("variable", "cell_id", "target_woy").agg(F.array_sort(F.collect_list("value")).alias("members"), F.count_if(F.col("value").isNull()).alias("n_missing"))
+    pool = rows.groupBy("variable", "cell_id", "target_woy").agg(F.array_sort(F.collect_list("value")).alias("members"), F.count_if(F.col("value").isNull()).alias("n_missing"))
+    return pool.withColumn("apart", metrics.apart(F.col("members")))
 
 
-def with_pool(truth: DataFrame, pool: DataFrame) -> DataFrame:
-    """Points (init, lead, truth) with the pool of their target's week as members."""
+def with_pool(truth: DataFrame, pool: DataFrame, fair: bool = True) -> DataFrame:
+    """Points (init, lead, truth) with crps: that of the pool of their target's week, in the same columns.
+
+    The points of a pool are gathered first (an init of that week and a lead each), so a pool's members meet them in one row.
+    """
     at = F.weekofyear(F.date_add("init", F.col("lead") * 7)).cast("int")
-    return truth.withColumn("target_woy", at).join(pool, ["variable", "cell_id", "target_woy"]).drop("target_woy", "n_missing")
+    keys, rest = ["variable", "cell_id", "target_woy"], [c for c in truth.columns if c not in ("variable", "cell_id")]
+    groups = truth.withColumn("target_woy", at).groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("points"))
+    score = F.transform("points", lambda p: p.withField("crps", metrics.crps_from(F.col("members"), F.col("apart"), p.truth, fair)))
+    rows = groups.join(pool.drop("n_missing"), keys).select("variable", "cell_id", F.explode(score).alias("p"))
+    return rows.select("variable", "cell_id", *[f"p.{c}" for c in (*rest, "crps")])
 
 
 def lagged(spine: DataFrame, members: int, leads) -> DataFrame:
@@ -101,3 +111,28 @@ def ensemble(fields: DataFrame, predictors: list[Predictor], seeds, std: float)
 def batched(predict: Callable, schema: str) -> Predictor:
     """A model as a predictor: `predict` maps an iterator of pandas batches of samples, in Arrow transfer."""
     return lambda samples: samples.mapInPandas(predict, schema)
+
+
+def drawn(samples: DataFrame, predict: Callable, schema: str, members: int) -> DataFrame:
+    """Members from a model's own noise: `predict` maps (pandas batches of samples, members) to rows with a column member.
+
+    Samples stream through in Arrow batches, so a task holds one batch with its members.
+    """
+    if members < 1:
+        raise ValueError("an ensemble needs a member")
+    return samples.mapInPandas(lambda batches: predict(batches, members), schema)
+
+
+def members_of(samples: DataFrame, cfg: Config, schema: str, noisy: Callable | None = None, predictors: list[Predictor] = ()) -> DataFrame:
+    """An ensemble from the source that cfg.member_source names: 'internal' (`noisy` draws cfg.members itself) or 'perturbed' fields
+    (a predictor per member, in turn); 'auto' takes the first that is there."""
+    source = cfg.member_source
+    if source == "auto":
+        source = "internal" if noisy is not None else "perturbed"
+    if source == "internal":
+        if noisy is None:
+            raise ValueError("no model draws members itself")
+        return drawn(samples, noisy, schema, cfg.members)
+    if source != "perturbed":
+        raise ValueError(f"unknown member source: {source!r}")
+    return ensemble(samples, list(predictors), range(cfg.members), cfg.noise_std)

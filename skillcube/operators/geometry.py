@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from skillcube.functions import columns as C
 
-#: Points of the `from` side that are broadcast; a grid of 0.25 degrees has 1,038,240.
-MOST_POINTS = 2_000_000
+#: Levels of the cubes that points are put in: edges of 4 (all of the sphere and more) down to a half kilometre.
+COARSEST, FINEST = -2, 13
 #: Ring and longitude offset of the twelve base pixels of the HEALPix scheme (fixed values).
 RING, OFFSET = (2, 2, 2, 2, 3, 3, 3, 3, 4, 4, 4, 4), (1, 3, 5, 7, 0, 2, 4, 6, 1, 3, 5, 7)
 
@@ -54,16 +54,36 @@ def coarser(pix: Column, factor: int) -> Column:
     return F.floor(pix / factor).cast("long")
 
 
+def _cubes(points: DataFrame, level: Column) -> DataFrame:
+    """Adds ix, iy, iz: the cube of edge 2 ** -level that holds the point's unit vector."""
+    v = C.unit_vector(F.col("lat"), F.col("lon"))
+    scale = F.pow(F.lit(2.0), level)
+    return points.withColumns({f"i{x}": F.floor(v[x] * scale).cast("int") for x in "xyz"})
+
+
 def knn(source: DataFrame, to: DataFrame, k: int) -> DataFrame:
     """to_id, from_id, rank (from 1), dist (radians): the k nearest points of `source` for each of `to`.
 
-    Both have id, lon, lat. Meshes are of fixed size, which is checked before `source` is broadcast; ties
-    go to the smaller id.
+    Both have id, lon, lat; ties go to the smaller id. Points lie in cubes of halving edges around their unit
+    vectors. Where a target's own cube holds k source points, all of its nearest lie within that cube's
+    diagonal, so in the cubes of twice the edge around it: the finest such level is searched, by equality of cubes. A
+    target without such a cube (few or far source points) searches the coarsest level, where the neighbours hold everything.
     """
-    if source.limit(MOST_POINTS + 1).count() > MOST_POINTS:
-        raise ValueError(f"more than {MOST_POINTS} source points: interpolate between coarser meshes")
-    s = F.broadcast(source.select(F.col("id").alias("from_id"), F.col("lon").alias("flon"), F.col("lat").alias("flat")))
-    d = to.select(F.col("id").alias("to_id"), "lon", "lat").join(s).withColumn("dist", C.haversine(F.col("flat"), F.col("flon"), F.col("lat"), F.col("lon")))
+    levels = range(COARSEST, FINEST + 1)
+    cube = ["level", "ix", "iy", "iz"]
+
+    def at(points: DataFrame, of) -> DataFrame:
+        rows = points.withColumn("level", F.explode(F.array(*map(F.lit, of))))
+        return _cubes(rows, F.col("level"))
+
+    many = at(source.select("lon", "lat"), levels[2:]).groupBy(*cube).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    targets = to.select(F.col("id").alias("to_id"), "lon", "lat")
+    fine = at(targets, levels[2:]).join(many, cube).groupBy("to_id").agg((F.max("level") - 1).alias("level"))
+    asked = _cubes(targets.join(fine, "to_id", "left").withColumn("level", F.coalesce("level", F.lit(COARSEST))), F.col("level"))
+    for x in "xyz":
+        asked = asked.withColumn(f"i{x}", F.explode(F.array(*[F.col(f"i{x}") + d for d in (-1, 0, 1)])))
+    held = at(source.select(F.col("id").alias("from_id"), "lon", "lat"), levels).select(*cube, "from_id", F.col("lon").alias("flon"), F.col("lat").alias("flat"))
+    d = asked.join(held, cube).withColumn("dist", C.haversine(F.col("flat"), F.col("flon"), F.col("lat"), F.col("lon")))
     near = d.withColumn("rank", F.row_number().over(Window.partitionBy("to_id").orderBy("dist", "from_id")))
     return near.where(F.col("rank") <= k).select("to_id", "from_id", "rank", "dist")
 
@@ -95,14 +115,22 @@ def waves(points: DataFrame, seed: int = 0) -> DataFrame:
     return points.select("id", each).select("id", "f.name", "f.value")
 
 
-def loss_by_resolution(points: DataFrame, spark: SparkSession, nsides=(16, 32), k: int = 8) -> DataFrame:
-    """nside, name, relative: round-trip RMSE of the waves over their range."""
+def loss_by_resolution(points: DataFrame, spark: SparkSession, nsides=(16, 32), k: int = 8, box=None) -> DataFrame:
+    """nside, name, rmse, relative: round-trip RMSE of the waves, and over their range; over all points or those in a box."""
     out, field = None, waves(points)
+    span = field.groupBy("name").agg((F.max("value") - F.min("value")).alias("span"))
     for nside in nsides:
         mesh = healpix(spark, nside).withColumnRenamed("pix", "id")
         got = round_trip(points, mesh, field, k, by=("name",)).withColumnRenamed("value", "f")
-        rows = got.join(field.withColumnRenamed("value", "o"), ["id", "name"]).join(points.select("id", "lat"), "id")
-        span = rows.groupBy("name").agg((F.max("o") - F.min("o")).alias("span"))
-        part = weighted_rmse(rows, ("name",)).join(span, "name").select(F.lit(nside).alias("nside"), "name", (F.col("rmse") / F.col("span")).alias("relative"))
+        rows = got.join(field.withColumnRenamed("value", "o"), ["id", "name"]).join(points.select("id", "lat", "lon"), "id")
+        if box is not None:
+            rows = rows.where(C.in_box(F.col("lat"), F.col("lon"), box))
+        part = weighted_rmse(rows, ("name",)).join(span, "name").select(F.lit(nside).alias("nside"), "name", "rmse", (F.col("rmse") / F.col("span")).alias("relative"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def points_of(spark: SparkSession, cube: DataFrame | None, resolution: float = 5.625) -> DataFrame:
+    """id, lon, lat: the cube's own cells, or without a cube those of an equiangular grid."""
+    cells = lonlat_grid(spark, resolution) if cube is None else cube.select("cell_id", "lon", "lat").distinct()
+    return cells.select(F.col("cell_id").alias("id"), "lon", "lat")

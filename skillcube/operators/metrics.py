@@ -24,17 +24,26 @@ def complete(members: Column) -> Column:
     return ~F.exists(members, lambda x: x.isNull())
 
 
-def crps(members: Column, truth: Column, fair: bool = False) -> Column:
-    """Mean distance to the truth less half the mean distance between members.
+def apart(members: Column) -> Column:
+    """Half the sum of all pairs' distances: over sorted members x_0 .. x_(m-1) the sum of (2 k - (m - 1)) x_k, so no pair is formed."""
+    m = F.size(members)
+    return _sum(F.transform(F.array_sort(members), lambda x, k: (2 * k - (m - 1)) * x))
 
-    Over sorted members x_0 .. x_(m-1) all pairs' distances sum to twice the sum of (2 k - (m - 1)) x_k, so
-    no pair is formed. fair: over m (m - 1) pairs in place of m * m. One member: the distance alone.
-    """
+
+def crps_from(members: Column, apart_: Column, truth: Column, fair: bool) -> Column:
+    """crps with the members' part given."""
     m = F.size(members)
     near = _sum(F.transform(members, lambda x: F.abs(x - truth))) / m
-    apart = _sum(F.transform(F.array_sort(members), lambda x, k: (2 * k - (m - 1)) * x))
     pairs = m * (m - 1) if fair else m * m
-    return F.when(complete(members) & truth.isNotNull() & (m > 0), F.when(m == 1, near).otherwise(near - apart / F.nullif(pairs, F.lit(0))))
+    return F.when(complete(members) & truth.isNotNull() & (m > 0), F.when(m == 1, near).otherwise(near - apart_ / F.nullif(pairs, F.lit(0))))
+
+
+def crps(members: Column, truth: Column, fair: bool = False) -> Column:
+    """Mean distance to the truth less half the mean distance between members.
+
+    fair: over m (m - 1) pairs in place of m * m. One member: the distance alone.
+    """
+    return crps_from(members, apart(members), truth, fair)
 
 
 def skill(model: Column, reference: Column) -> Column:
@@ -158,3 +167,27 @@ def gate(scores: DataFrame, leads, metric: str = "crpss_vs_prob", threshold: flo
     """passed: whether the metric exceeds the threshold at all the given leads; false without rows."""
     ok = F.coalesce(F.col(metric) > threshold, F.lit(False))
     return scores.where(F.col("lead").isin(*leads)).agg(F.coalesce(F.bool_and(ok), F.lit(False)).alias("passed"))
+
+
+def event_points(points: DataFrame, physical: DataFrame | None, events) -> DataFrame:
+    """event, p, y: probability and outcome of each event at each point with a truth.
+
+    points: members and truth as anomalies; physical: the same in physical units, needed for events of that space.
+    """
+    out = None
+    for space in ("anomaly", "physical"):
+        some = [e for e in events if e.space == space]
+        if not some:
+            continue
+        rows = points if space == "anomaly" else physical
+        if rows is None:
+            raise ValueError("events in physical space need physical points")
+        each = F.array(*[
+            F.when(F.col("variable") == e.variable, F.struct(F.lit(e.name).alias("event"), event_probability(F.col("members"), e.threshold, e.comparison).alias("p"), event(F.col("truth"), e.threshold, e.comparison).alias("y")))
+            for e in some
+        ])
+        part = rows.where(F.col("truth").isNotNull() & F.col("variable").isin(*{e.variable for e in some})).select(F.explode(F.filter(each, lambda x: x.isNotNull())).alias("e")).select("e.*")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no events")
+    return out

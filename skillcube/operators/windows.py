@@ -20,22 +20,48 @@ def weekly_mean(daily: DataFrame, min_days: int = 1) -> DataFrame:
     return (week.where(F.col("days") >= min_days) if min_days > 1 else week).drop("days")
 
 
-def dense(rows: DataFrame, time: str, step: str) -> DataFrame:
-    """A row for each step from the first to the last time of the split, null where there was none."""
+def dense(rows: DataFrame, time: str, step: str, variables=None) -> DataFrame:
+    """A row for each step from the first to the last time of the split, null where there was none.
+
+    With `variables` each cell of a split has a series of each of them, so that a model's input has one shape
+    whatever is missing.
+    """
     keys, by = _series(rows), [c for c in ("split",) if c in rows.columns]
     ends = rows.groupBy(*by).agg(F.min(time).alias("lo"), F.max(time).alias("hi"))  # a row per split
-    series = rows.select(*keys).distinct()
+    if variables is None:
+        series = rows.select(*keys).distinct()
+    else:
+        rows = rows.where(F.col("variable").isin(*variables))
+        series = rows.select(*[k for k in keys if k != "variable"]).distinct().withColumn("variable", F.explode(F.array(*map(F.lit, variables)))).select(*keys)
     spine = series.join(F.broadcast(ends), by) if by else series.join(F.broadcast(ends))
     spine = spine.withColumn(time, F.explode(F.sequence("lo", "hi", F.expr(f"interval {step}")))).drop("lo", "hi")
     return spine.join(rows, [*keys, time], "left")
 
 
-def weekly_spine(weekly: DataFrame) -> DataFrame:
-    return dense(weekly, "week", "7 days")
+def weekly_spine(weekly: DataFrame, variables=None) -> DataFrame:
+    return dense(weekly, "week", "7 days", variables)
+
+
+def daily_spine(daily: DataFrame, variables=None) -> DataFrame:
+    return dense(daily, "time", "1 day", variables)
+
+
+def require_length(spine: DataFrame, time: str, least: int) -> DataFrame:
+    """The spine; raises ValueError if a block has fewer steps than a window takes."""
+    by = [c for c in ("split",) if c in spine.columns]
+    for r in spine.groupBy(*by).agg(F.countDistinct(time).alias("n")).collect():  # a row per split
+        if r["n"] < least:
+            raise ValueError(f"{r['split'] if by else 'the cube'} has {r['n']} steps, a window takes {least}")
+    return spine
 
 
-def daily_spine(daily: DataFrame) -> DataFrame:
-    return dense(daily, "time", "1 day")
+def inside_blocks(windows: DataFrame, splits, first: int, last: int) -> DataFrame:
+    """The windows; one whose days, from `first` before its init to `last` after it, leave its split's block raises when computed."""
+    ok = F.lit(False)
+    for name, lo, hi in splits.blocks():
+        ok |= (F.col("split") == name) & (F.date_sub("init", first) >= F.lit(lo)) & (F.date_add("init", last) <= F.lit(hi))
+    leak = F.raise_error(F.concat(F.lit("window beyond its block: "), F.col("split"), F.lit(" "), F.col("init").cast("string")))
+    return windows.withColumn("init", F.when(ok, F.col("init")).otherwise(leak.cast("date")))
 
 
 def lead_targets(spine: DataFrame, leads) -> DataFrame:
@@ -98,13 +124,18 @@ def samples(windows: DataFrame, cfg: Config) -> DataFrame:
 
     input: per history week, oldest first, the variables in order of cfg.input_vars, each over cells in
     order of (lat, lon); then the season channel over cells. target: per lead, the target variables over
-    cells. Missing inputs are 0, missing targets stay null.
+    cells. Missing inputs are 0, missing targets stay null. Each cell needs a row of each variable (see `dense`); a sample without
+    raises when computed, as its channels would shift.
     """
     names = F.array(*map(F.lit, cfg.input_vars))
     by = [c for c in ("split",) if c in windows.columns]
     rows = windows.where(F.col("variable").isin(*cfg.input_vars)).withColumn("v", F.array_position(names, F.col("variable")).cast("int"))
     place = F.struct("v", "lat", "lon", "history", "targets")
     packed = rows.groupBy(*by, "init").agg(F.array_sort(F.collect_list(place)).alias("p"))  # a model's input: one row per sample
+    want = F.broadcast(rows.groupBy(*by).agg((F.countDistinct("cell_id") * len(cfg.input_vars)).alias("want")))  # a row per split
+    packed = packed.join(want, by) if by else packed.join(want)
+    short = F.raise_error(F.concat(F.lit("series missing from the sample of "), F.col("init").cast("string"))).cast(packed.schema["p"].dataType)
+    packed = packed.withColumn("p", F.when(F.size("p") == F.col("want"), F.col("p")).otherwise(short)).drop("want")
     cells = F.filter("p", lambda x: x.v == 1)
     season_ = F.transform(cells, lambda x: C.season(F.col("init")))
     outs = F.filter("p", lambda x: x.v <= len(cfg.target_vars))
