@@ -87,9 +87,10 @@ def draws(by_source: DataFrame, shards: int, block_words: int = BLOCK_WORDS) ->
 
 def slots(drawn: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """A row per slot: shard, position, source_rank, epoch, block, take (words, from the block's start)."""
-    n = F.lit(block_words)
+    n, tasks = F.lit(block_words), shuffle_partitions(drawn.sparkSession)
     inside = Window.partitionBy("shard").orderBy("source_rank").rowsBetween(Window.unboundedPreceding, -1)
     s = drawn.withColumn("first", F.coalesce(F.sum("n").over(inside), F.lit(0))).withColumn("shard_slots", F.sum("n").over(Window.partitionBy("shard")))
+    s = s.repartition(tasks, "source_rank", "shard")  # few bytes now, many rows next
     s = s.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     s = s.withColumn("position", permuted(F.col("first") + F.col("i"), F.col("shard_slots"), [F.lit(SEED + 2), F.col("shard")]))
     s = s.withColumn("slot", F.col("base") + F.col("i"))
