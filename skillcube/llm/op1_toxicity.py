@@ -2,15 +2,16 @@
 
 Features of a text, each present or not, hashed to 64 bits: words, pairs of neighbours, pairs with one
 word between (skip-grams), and the first 4, 5 and 6 letters of longer words. The model is fitted on at
-most TRAIN_PER_CLASS labelled rows of each class (those with the smallest hash of the id), in one task:
+most about TRAIN_PER_CLASS labelled rows and TRAIN_CHARS characters of each class (those with the smallest hash of the id), in one task:
 per-coordinate learning rates, and an L1 penalty that leaves most weights at zero. What is broadcast is
-the list of (hash, weight) that remain, at most MAX_WEIGHTS. The intercept is moved by the classes'
-true log odds, so the bound on rows doesn't shift the scores.
+the list of (hash, weight) that remain, which those bounds bound: a feature that counts occurs in MIN_DOCS of these rows. The
+intercept is moved by the classes' true log odds, so the bound on rows doesn't shift the scores.
 
-Null and empty texts have no features and score the intercept alone. Labels other than 0 and 1, and
+Null and empty texts have no features and score the intercept alone. Very long texts are scored whole. Labels other than 0 and 1, and
 labelled ids without a document, are left out of fitting. A repeated id teaches once, with its largest
 label and text, so the bound holds whatever repeats; every row is scored. Without a row of
-either class the model is empty and every score is 0.
+either class the model is empty and every score is 0; an empty table gives no rows. Extra columns are carried; `score` and `predicted` in
+the input give way to those of the result.
 """
 
 from __future__ import annotations
@@ -20,14 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
-TRAIN_PER_CLASS, MAX_WEIGHTS, MIN_DOCS = 5_000, 100_000, 3
+TRAIN_PER_CLASS, TRAIN_CHARS, MIN_DOCS = 5_000, 64_000_000, 3
 ALPHA, BETA, L1, L2, EPOCHS = 0.15, 1.0, 1.5, 0.1, 4
 THRESHOLD = 0.3
+BATCH = 500  # rows of an Arrow batch in fitting, where a row holds a text or its features
 FOLDS, HELD_OUT = 4, 2
 WORD = re.compile(r"[^\W_]+")
 WORD_CACHE = 400_000
@@ -85,12 +88,14 @@ def fit_ftrl(features: list[np.ndarray], labels: np.ndarray, alpha=ALPHA, beta=B
     """(hashes, weights, intercept) of the coordinates that L1 leaves; features: distinct hashes per row."""
     if not len(features):
         return np.zeros(0, _U), np.zeros(0), 0.0
-    names, count = np.unique(np.concatenate(features), return_counts=True)
-    names = names[count >= MIN_DOCS]
+    names = np.concatenate(features)
+    names.sort()
+    first = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else np.zeros(0, np.int64)
+    names = names[first[np.diff(np.append(first, len(names))) >= MIN_DOCS]]
     rows = []
     for f in features:
         at = np.minimum(np.searchsorted(names, f), max(0, len(names) - 1))
-        rows.append(at[names[at] == f] if len(names) else at[:0])
+        rows.append((at[names[at] == f] if len(names) else at[:0]).astype(np.int32))
     z, n, zb, nb = np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0
 
     def weights(z, n):
@@ -106,23 +111,24 @@ def fit_ftrl(features: list[np.ndarray], labels: np.ndarray, alpha=ALPHA, beta=B
             zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / alpha * b
             nb += g * g
     w = weights(z, n)
-    top = np.argsort(-np.abs(w), kind="stable")[:MAX_WEIGHTS]
-    top = np.sort(top[w[top] != 0])
+    top = np.flatnonzero(w)
     return names[top], w[top], -zb / ((beta + nb**0.5) / alpha)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS):
     """Model from docs (doc_id, text) and labels (doc_id, label 0 or 1): (hashes, weights, intercept)."""
     labels = labels.where(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))
-    named = docs.select("doc_id").distinct().join(labels, "doc_id")
-    counts = {r["label"]: r["n"] for r in named.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts.get(0) or not counts.get(1):
+    texts = docs.groupBy("doc_id").agg(F.max(F.char_length(F.col("text").cast("string"))).alias("chars"))
+    named = written(texts.join(labels, "doc_id").select("doc_id", "label", F.coalesce("chars", F.lit(0)).alias("chars")), "toxicity-labels")
+    counts = {r["label"]: r for r in named.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")).collect()}
+    if 0 not in counts or 1 not in counts:
         return np.zeros(0, _U), np.zeros(0), -35.0
     # the hash is uniform: about per_class rows of each class lie under that share of its range
-    share = F.when(F.col("label") == 1, F.lit(min(1.0, per_class / counts[1]))).otherwise(F.lit(min(1.0, per_class / counts[0])))
+    shares = {k: min(1.0, per_class / r["n"], TRAIN_CHARS / max(1, r["chars"])) for k, r in counts.items()}
+    share = F.when(F.col("label") == 1, F.lit(shares[1])).otherwise(F.lit(shares[0]))
     at = F.xxhash64(F.lit("toxicity"), F.col("doc_id").cast("string"))
-    few = labels.withColumn("at", at).where(F.col("at").cast("double") <= (share * 2 - 1) * 2.0**63)
-    sample = docs.join(F.broadcast(few), "doc_id")  # about 2 * per_class ids
+    few = written(named.select("doc_id", "label", at.alias("at")).where(F.col("at").cast("double") <= (share * 2 - 1) * 2.0**63), "toxicity-few")
+    sample = docs.join(few, "doc_id")  # about 2 * per_class ids: Spark's own check of sizes decides how
     sample = sample.groupBy("doc_id", "label", "at").agg(F.max(F.col("text").cast("string")).alias("text"))
 
     def features(batches):
@@ -140,8 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS):
         yield pd.DataFrame({"h": [h.tobytes()], "w": [w.tobytes()], "b": [float(b)], "odds": [float(odds)]})
 
     hashed = sample.select("at", F.col("label").cast("int").alias("label"), "text").mapInPandas(features, "at long, label int, f binary")
-    row = hashed.repartition(1).mapInPandas(train, "h binary, w binary, b double, odds double").first()
-    b = row["b"] + np.log(counts[1] / counts[0]) - row["odds"]
+    row = written(hashed.repartition(1).mapInPandas(train, "h binary, w binary, b double, odds double"), "toxicity-model", BATCH).first()
+    b = row["b"] + np.log(counts[1]["n"] / counts[0]["n"]) - row["odds"]
     return np.frombuffer(bytes(row["h"]), _U), np.frombuffer(bytes(row["w"])), float(b)
 
 
@@ -165,14 +171,14 @@ class Scorer:
 
 
 def score(docs: DataFrame, model) -> DataFrame:
-    """docs with `score`. The model's size is bounded by MAX_WEIGHTS."""
+    """docs with `score`."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(held.value)
-        for texts in batches:
-            yield pd.Series([scorer.score(t) for t in texts], dtype="float64")
+        for texts in batches:  # one text at a time becomes a Python string
+            yield pa.array((scorer.score(t.as_py()) for t in texts), pa.float64())
 
     return docs.withColumn("score", of(F.col("text").cast("string")))
 

@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -69,6 +71,57 @@ def test_ftrl_equals_plain_steps():
     assert b == pytest.approx(-zb / ((be + nb**0.5) / al))
 
 
+def brute_features(text):
+    import xxhash
+
+    h = lambda w, seed: xxhash.xxh64_intdigest(w, seed)
+    w, m = re.findall(r"[^\W_]+", (text or "").lower()), 2**64
+    one = [h(x, 1) for x in w]
+    out = set(one)
+    out |= {(a * 0x9E3779B97F4A7C15 % m) ^ (b >> 1) for a, b in zip(one, one[1:])}
+    out |= {(a * 0xC2B2AE3D27D4EB4F % m) ^ (b >> 1) for a, b in zip(one, one[2:])}
+    return out | {h(x[:n], n) for x in w for n in (4, 5, 6) if len(x) > n}
+
+
+def test_toxicity_query_by_brute_force(corpus, spark, tmp_path):
+    """Training rows, their order, the model, the intercept and all scores, with plain Python in place of Spark."""
+    docs, labels = corpus
+    long = docs.union(spark.createDataFrame([(7001, "vilefool " + "th ing " * 60_000, "en", "s"), (7002, None, None, None), (7003, "", "en", "s"), (7004, "VileHead, x", "en", "s")], docs.schema))
+    long.write.parquet(f"file://{tmp_path}/documents.parquet")
+    labels.union(spark.createDataFrame([(10**6, 1), (3, 2)], "doc_id long, toxic int")).write.parquet(f"file://{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r for r in op1_toxicity.query(spark, f"file://{tmp_path}").collect()}
+    rows = long.select("doc_id", "text", F.xxhash64(F.lit("toxicity"), F.col("doc_id").cast("string")).alias("at")).collect()
+    held = lambda d: zlib.crc32(str(d).encode()) % 4 == 2
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    train = sorted((r["at"], toxic[r["doc_id"]], r["text"]) for r in rows if not held(r["doc_id"]) and r["doc_id"] in toxic)
+    feats, y = [brute_features(t) for _, _, t in train], np.array([float(k) for _, k, _ in train])
+    h, w, b = op1_toxicity.fit_ftrl([np.array(sorted(f), np.uint64) for f in feats], y)
+    weight = dict(zip(h.tolist(), w.tolist()))
+    assert len(got) == len(rows)
+    for r in rows:
+        total = b + sum(weight.get(f, 0.0) for f in brute_features(r["text"]))
+        g = got[r["doc_id"]]
+        assert g["score"] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9) and g["held_out"] == held(r["doc_id"]) and g["predicted"] == int(g["score"] >= 0.3)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_toxicity_and_language_on_the_given_tables(spark):
+    sf = "/root/testdata/sf0.1"
+    scored = op1_toxicity.query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    hit = sum(r["toxic"] and r["predicted"] for r in scored)
+    assert hit / sum(r["toxic"] for r in scored) > 0.65 and hit / sum(r["predicted"] for r in scored) > 0.85
+    lang = op6_langid.query(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(lang) > 2000 and np.mean([r["lang"] == r["lang_pred"] for r in lang]) > 0.98
+
+
+def test_toxicity_bound_on_characters(corpus, monkeypatch):
+    docs, labels = corpus
+    named = labels.withColumnRenamed("toxic", "label")
+    whole = op1_toxicity.fit(docs, named)
+    monkeypatch.setattr(op1_toxicity, "TRAIN_CHARS", 3000)
+    assert len(op1_toxicity.fit(docs, named)[0]) < len(whole[0])
+
+
 def test_toxicity_odd_rows(tricky, empty, corpus):
     _, labels = corpus
     out = op1_toxicity.classify(tricky, labels, corpus[0])
@@ -86,6 +139,39 @@ def test_language_held_out(corpus):
     assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.97
 
 
+def test_language_query_by_brute_force(corpus):
+    """With sets of n-grams in place of the filters; the filters' own false positives move a score by little."""
+    docs, _ = corpus
+    learn = [r for r in docs.where(~op6_langid.held_out()).collect()]
+
+    def grams(t):
+        cut = "".join(c if c.isalpha() else " " for c in t.lower())
+        words = [f" {w} " for w in cut.split()]
+        return [w[i : i + n] for n in (3, 4) for w in words for i in range(len(w) - n + 1)]
+
+    share = {}
+    for lang in sorted({r["lang"] for r in learn}):
+        rows = [set(grams(r["text"])) for r in learn if r["lang"] == lang]
+        share[lang] = {g: n / len(rows) for g, n in collections.Counter(g for s in rows for g in s).items()}
+    best = collections.Counter()
+    for s in share.values():
+        best |= collections.Counter(s)
+    known = {lang: {g for g, v in s.items() if v >= op6_langid.MIN_SHARE and v >= best[g] * op6_langid.OF_BEST} for lang, s in share.items()}
+    got, off = op6_langid.predict(docs, op6_langid.fit(docs.where(~op6_langid.held_out()))).collect(), []
+    for r in got:
+        count = {lang: sum(g in k for g in grams(r["text"])) for lang, k in known.items()}
+        off.append(abs(r["score"] - max(count.values()) / sum(count.values())))
+        assert r["lang_pred"] == max(count, key=count.get)
+    assert max(off) < 0.1 and np.mean(off) < 0.02
+
+
+def test_rare_lang_values_teach_nothing(corpus, monkeypatch):
+    docs, _ = corpus
+    monkeypatch.setattr(op6_langid, "MOST_LANGUAGES", 50)
+    dirty = docs.withColumn("lang", F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("x"), F.col("doc_id").cast("string"))).otherwise(F.col("lang")))
+    assert op6_langid.fit(dirty).languages == ["de", "en", "fr"]
+
+
 def test_language_odd_rows(tricky, empty, corpus):
     f = op6_langid.fit(corpus[0])
     out = op6_langid.predict(tricky, f).collect()
@@ -360,3 +446,40 @@ def test_near_copies_odd_rows(tricky, empty):
     got = collections.Counter(r["text"] for r in out.collect())
     assert got[None] == 1 and not got[""] and got["a"] == 1 and got["null id"] == 1
     assert near_copies.one_per_group(empty).count() == 0
+
+
+def test_stages_on_odd_rows(tricky, empty, spark, tmp_path):
+    """All columns back, whatever their names; no crash on nulls, repeats and long texts; nothing from nothing."""
+    import corpus_pipeline
+
+    long = tricky.union(tricky.limit(1).withColumn("doc_id", F.lit(77).cast("long")).withColumn("text", F.lit("eau que " * 100_000)))
+    spark.createDataFrame([(4, 0), (5, 1), (9, 0), (None, 1)], "doc_id long, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, long, f"file://{tmp_path}")
+        assert out.columns == tricky.columns, name
+        assert {r["doc_id"] for r in out.collect()} <= {r["doc_id"] for r in long.collect()}, name
+        assert stage(spark, empty, f"file://{tmp_path}").count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, f"file://{tmp_path}").count() == 0
+
+
+def test_near_duplicates_query_by_brute_force(spark, tmp_path):
+    rng = random.Random(21)
+    base = [[f"w{rng.randrange(300)}" for _ in range(rng.randint(3, 200))] for _ in range(40)]
+    texts = [" ".join(b) for b in base] + [" ".join(b[:-1] + ["new"]) for b in base if len(b) > 120] + [" ".join(base[k % 40]) for k in range(60)] + [None, "", "a", "A", "x y"]
+    rows = list(enumerate(texts, 5))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")
+    fp = {d: brute_simhash(t) for d, t in rows}
+    root = {d: d for d in fp}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in fp:
+        for b in fp:
+            if a < b and (fp[a] ^ fp[b]).bit_count() <= 2 and find(a) != find(b):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in op3_simhash.query(spark, f"file://{tmp_path}").collect()}
+    assert got == {d: (f"{f:016x}", find(d)) for d, f in fp.items()}
