@@ -6,14 +6,17 @@ give a popcount per language; each is corrected for that language's false positi
 and the largest corrected share decides.
 
 n-grams are of 3 and 4 letters of the lower-cased words with a blank at either end. Filters are filled
-from at most TRAIN_PER_LANGUAGE labelled rows of each language (smallest hash of the id): a language
-contains an n-gram if MIN_SHARE of its rows do and that share is at least OF_BEST of the largest; the
-MAX_GRAMS with the largest shares are kept per language, which bounds the broadcast table.
+from at most about TRAIN_PER_LANGUAGE labelled rows and TRAIN_CHARS characters of each language (smallest hash of the id): a language
+contains an n-gram if MIN_SHARE of its rows do and that share is at least OF_BEST of the largest. So a language has at most
+1 / MIN_SHARE times as many n-grams as its rows have on average. A lang value learns if it has a MOST_LANGUAGES-th of the labelled rows
+or more; so there are MOST_LANGUAGES of them at most.
 
 Null texts and texts without a letter are `und` with score 0. A text with letters of which no n-gram
 is known gets the language with the most labelled rows, with that language's share of them as score
-(`und` where there is none). Rows without lang teach nothing. Ties go to the language first in order. Whatever is in lang,
-doc_id and other columns is not looked at in prediction.
+(`und` where there is none). Very long texts are counted whole, some CHUNK_CHARS at a time. Rows without lang teach nothing; repeated
+rows teach as often as they occur. Ties go to the language first in order. Whatever is in lang, doc_id and other columns is not looked
+at in prediction; extra columns are carried, `lang_pred`, `score` and `known` give way to those of the result. An empty table gives no
+rows and teaches nothing.
 
 The score compares languages with each other, so it is never under one over their number. Whether a text is in any of
 them is told by `known`: the share of its n-grams that its language contains, against a bar set on labelled rows.
@@ -25,17 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
-TRAIN_PER_LANGUAGE, MAX_GRAMS, MIN_SHARE, OF_BEST = 2_000, 20_000, 0.01, 0.2
+TRAIN_PER_LANGUAGE, TRAIN_CHARS, MIN_SHARE, OF_BEST = 2_000, 32_000_000, 0.01, 0.2
+MOST_LANGUAGES = 4_096
 BITS_PER_GRAM, HASHES = 16, 3
 GRAMS = (3, 4)
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
 CHUNK_CHARS = 500_000
+BATCH = 500  # texts that are Python strings at a time
 #: A text is in its language if it knows more than 0 and BAR_OF times the share that all but LOW of the language's labelled rows reach.
 BAR_OF, LOW = 0.5, 0.01
 
@@ -154,14 +160,19 @@ class Filters:
 
 
 def _sample(rows: DataFrame, per_language: int) -> tuple[dict[str, int], DataFrame | None]:
-    """Labelled rows of each language, and (lang, text) of about per_language of each."""
+    """Labelled rows of each language that learns, and (lang, text) of about per_language of each."""
     named = rows.where("lang is not null and text is not null")
-    totals = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    by = named.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars"))
+    by = written(by, "langid-counts")
+    least = (by.agg(F.sum("n")).first()[0] or 0) / MOST_LANGUAGES
+    learned = by.where(F.col("n") >= least)  # MOST_LANGUAGES rows at most
+    totals = {r["lang"]: r["n"] for r in learned.collect()}
     if not totals:
         return totals, None
-    share = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, min(1.0, per_language / n))])
+    share = F.least(F.lit(1.0), per_language / F.col("n"), TRAIN_CHARS / F.greatest(F.lit(1), F.col("chars")))
     at = F.xxhash64(F.lit("language"), F.col("doc_id").cast("string")).cast("double")
-    return totals, named.where(at <= (F.element_at(share, F.col("lang")) * 2 - 1) * 2.0**63).select("lang", "text")
+    few = named.join(F.broadcast(learned.select("lang", share.alias("share"))), "lang")
+    return totals, few.where(at <= (F.col("share") * 2 - 1) * 2.0**63).select("lang", "text")
 
 
 def fit(rows: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Filters:
@@ -187,8 +198,7 @@ def fit(rows: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Filters:
     shares = counted.join(F.broadcast(sizes), "lang").withColumn("share", F.col("n") / F.col("rows")).where(F.col("share") >= MIN_SHARE)
     best = F.max("share").over(Window.partitionBy("h"))
     chosen = shares.withColumn("best", best).where(F.col("share") >= F.col("best") * OF_BEST)
-    top = Window.partitionBy("lang").orderBy(F.desc("share"), "h")
-    got = chosen.withColumn("k", F.row_number().over(top)).where(F.col("k") <= MAX_GRAMS).select("lang", "h").toPandas()
+    got = chosen.select("lang", "h").toPandas()
     languages = sorted(totals)
     by = {lang: g["h"].to_numpy(np.int64).view(_U) for lang, g in got.groupby("lang")}
     return Filters(languages, [by.get(lang, np.zeros(0, _U)) for lang in languages], [totals[lang] for lang in languages])
@@ -208,11 +218,12 @@ def judged(docs: DataFrame, filters: Filters) -> DataFrame:
     """docs with lang_pred, score and known."""
     held = docs.sparkSession.sparkContext.broadcast(filters)
 
-    @F.pandas_udf("lang_pred string, score double, known double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double, known double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            names, scores, known = held.value.judge([None if t is None else t for t in texts])
-            yield pd.DataFrame({"lang_pred": names, "score": scores, "known": known})
+            parts = [held.value.judge(texts.slice(lo, BATCH).to_pylist()) for lo in range(0, len(texts), BATCH)]
+            columns = [pa.array([n for p in parts for n in p[0]], pa.string()), *(pa.array(np.concatenate([p[k] for p in parts] or [[]]), pa.float64()) for k in (1, 2))]
+            yield pa.StructArray.from_arrays(columns, ["lang_pred", "score", "known"])
 
     names = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "known")]
     return docs.select(*names, of(F.col("text").cast("string")).alias("_p")).select(*names, "_p.lang_pred", "_p.score", "_p.known")
@@ -220,16 +231,7 @@ def judged(docs: DataFrame, filters: Filters) -> DataFrame:
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     """docs with lang_pred and score."""
-    held = docs.sparkSession.sparkContext.broadcast(filters)
-
-    @F.pandas_udf("lang_pred string, score double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            names, scores = held.value.predict([None if t is None else t for t in texts])
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
-
-    names = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*names, of(F.col("text").cast("string")).alias("_p")).select(*names, "_p.lang_pred", "_p.score")
+    return judged(docs, filters).drop("known")
 
 
 def in_language(docs: DataFrame, filters: Filters, least: dict[str, float]) -> DataFrame:
