@@ -3,12 +3,14 @@
 Equal fingerprints fall together first, so copies cost one row. Distinct fingerprints are put in
 cells by the population counts of their four 16-bit parts; the parts' count differences sum to a
 lower bound of the Hamming distance, so only cells within the radius are compared. A cell with many
-fingerprints is cut by hash into tiles of about TILE. A pair of tiles is compared in numpy: exclusive
-or, bit counts. Of the links found in a pair of tiles a spanning forest is kept (their components are
+fingerprints is cut by hash into tiles of about TILE. Pairs of tiles are listed by number and spread
+over the tasks before each gets its two tiles by number, so a dense cell's pairs don't meet in one task. A pair
+of tiles is compared in numpy: exclusive or, bit counts. Of the links found in a pair of tiles a spanning forest is kept (their components are
 the same, and a large group of near copies yields rows in proportion to its size).
 
-Null and empty texts have fingerprint 0 and link like any other; null doc_ids are carried, and give a
-component its id only where it has no other; repeated rows are returned each.
+Null and empty texts have fingerprint 0 and link like any other; a very long text's shingles are hashed some at a time; null
+doc_ids are carried, and give a component its id only where it has no other (a component of null ids alone has null);
+repeated rows are returned each; extra columns are left aside. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -92,25 +94,29 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     cell = sum((F.bit_count(F.shiftrightunsigned("fp", p * part).bitwiseAND(2**part - 1)) * (part + 1) ** p for p in range(PARTS)), F.lit(0))
     rows = distinct.select("fp", cell.cast("int").alias("cell"))
     # at most (part + 1) ** PARTS rows: 83,521
-    sizes = F.broadcast(rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("cuts")))
-    tiles = rows.join(sizes, "cell").withColumn("cut", F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int"))
+    sizes = written(rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("cuts")), "simhash-cells")
+    tiles = rows.join(F.broadcast(sizes), "cell").withColumn("cut", F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int"))
     tiles = written(tiles.groupBy("cell", "cut").agg(F.collect_list("fp").alias("fps")), "simhash-tiles")
     offsets = F.array(*[F.lit(sum(d[p] * (part + 1) ** p for p in range(PARTS))) for d in _offsets(radius)])
     # a carry between parts would name a cell whose counts differ by more: its pairs are compared too, and fail
-    near = tiles.select(F.col("cell").alias("from"), F.col("cut").alias("from_cut"), F.col("fps").alias("left"), F.explode(offsets).alias("d"))
-    near = near.select((F.col("from") + F.col("d")).alias("cell"), "from", "from_cut", "left")
-    pairs = near.join(tiles, "cell").where((F.col("cell") != F.col("from")) | (F.col("cut") >= F.col("from_cut")))
+    near = sizes.select(F.col("cell").alias("cell_a"), F.col("cuts").alias("cuts_a"), F.explode(offsets).alias("d")).withColumn("cell_b", F.col("cell_a") + F.col("d"))
+    near = near.join(F.broadcast(sizes.select(F.col("cell").alias("cell_b"), F.col("cuts").alias("cuts_b"))), "cell_b")
+    pairs = near.select("cell_a", "cell_b", "cuts_b", F.explode(F.sequence(F.lit(0), F.col("cuts_a") - 1)).alias("cut_a"))
+    first = F.when(F.col("cell_a") == F.col("cell_b"), F.col("cut_a")).otherwise(0)
+    pairs = pairs.select("cell_a", "cell_b", "cut_a", F.explode(F.sequence(first, F.col("cuts_b") - 1)).alias("cut_b"))
+    left, right = (tiles.select(F.col("cell").alias(f"cell_{s}"), F.col("cut").alias(f"cut_{s}"), F.col("fps").alias(f"fps_{s}")) for s in "ab")
+    pairs = pairs.join(left, ["cell_a", "cut_a"]).join(right, ["cell_b", "cut_b"])
 
     def compare(batches):
         for pdf in batches:
             a, b = [], []
-            for left, right in zip(pdf["left"], pdf["fps"]):
+            for left, right in zip(pdf["fps_a"], pdf["fps_b"]):
                 x, y = _forest(np.asarray(left, np.int64), np.asarray(right, np.int64), radius)
                 a += x
                 b += y
             yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    return pairs.select("left", "fps").mapInPandas(compare, "a long, b long")
+    return pairs.select("fps_a", "fps_b").mapInPandas(compare, "a long, b long")
 
 
 def _roots(rows: DataFrame, radius: int) -> DataFrame:
