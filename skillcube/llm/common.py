@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_WORD = r"[^\x20\x09-\x0D]+"
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +39,19 @@ def clear_scratch(spark: SparkSession) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df, stored as a table in the scratch folder and read again: cuts lineage, survives lost executors."""
-    path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
+def written(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
+    """df, stored as a table in the scratch folder and read again: cuts lineage, survives lost executors.
+
+    batch_rows: rows of an Arrow batch meanwhile, where rows are large.
+    """
+    path, conf = scratch_dir(df.sparkSession, label), df.sparkSession.conf
+    usual = conf.get(ARROW_ROWS)
+    if batch_rows:
+        conf.set(ARROW_ROWS, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(ARROW_ROWS, usual)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
