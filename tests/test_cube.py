@@ -185,7 +185,117 @@ def test_nested_children_are_near_their_parent(spark):
 def test_interpolation(spark):
     pts = geometry.lonlat_grid(spark, 11.25).select(F.col("cell_id").alias("id"), "lon", "lat")
     mesh = geometry.healpix(spark, 8).withColumnRenamed("pix", "id")
-    flat = geometry.round_trip(pts, mesh, pts.select("id", F.lit(2.71828).alias("value")))
-    assert flat.agg(F.max(F.abs(F.col("value") - 2.71828))).first()[0] < 1e-9
+    flat = geometry.round_trip(pts, mesh, pts.select("id", F.lit(-17.25).alias("value")))
+    assert flat.agg(F.max(F.abs(F.col("value") + 17.25))).first()[0] < 1e-9
     loss = {(r["nside"], r["name"]): r["relative"] for r in geometry.loss_by_resolution(pts, spark, (4, 8)).collect()}
     assert loss[8, "wave_k3"] <= loss[4, "wave_k3"] < 0.2 and loss[8, "wave_k3"] < loss[8, "noise"]
+
+
+def angles(a, b):
+    """Great-circle angles between rows of (lon, lat) in degrees."""
+    u, v = (np.stack([np.cos(np.radians(p[:, 1])) * np.cos(np.radians(p[:, 0])), np.cos(np.radians(p[:, 1])) * np.sin(np.radians(p[:, 0])), np.sin(np.radians(p[:, 1]))], 1) for p in (a, b))
+    return np.arccos(np.clip(u @ v.T, -1, 1))
+
+
+@pytest.mark.parametrize("n,k", [(3, 5), (40, 3), (900, 8)])
+def test_neighbours_by_brute_force(spark, n, k):
+    """Even and clustered points, points at the poles and across the date line, fewer points than asked for."""
+    r = np.random.default_rng(n)
+    src = np.column_stack([r.uniform(0, 360, n), np.degrees(np.arcsin(r.uniform(-1, 1, n)))])
+    src[: n // 3] = [[77.0, 28.0]] + r.normal(0, 0.05, (n // 3, 2))
+    to = np.vstack([np.column_stack([r.uniform(-180, 180, 60), r.uniform(-90, 90, 60)]), src[:5], [[0, 90], [123, -90], [359.99, 0], [77.0, 28.0]]])
+    frame = lambda p: spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "id long, lon double, lat double")
+    got = {}
+    for row in geometry.knn(frame(src), frame(to), k).collect():
+        got.setdefault(row["to_id"], {})[row["rank"]] = (row["from_id"], row["dist"])
+    want = angles(to, src)
+    for i in range(len(to)):
+        assert sorted(got[i]) == list(range(1, min(k, n) + 1))
+        best = np.sort(want[i])[:k]
+        assert np.allclose([got[i][j + 1][1] for j in range(len(best))], best, atol=1e-7)
+        assert len({f for f, _ in got[i].values()}) == len(best)
+
+
+def test_published_loss_of_the_full_grid(spark):
+    """The waves' round-trip error over their range in the evaluation box, on the 5.625-degree grid."""
+    pts = geometry.points_of(spark, None)
+    loss = {(r["nside"], r["name"]): r["relative"] for r in geometry.loss_by_resolution(pts, spark, (16, 32), 8, Config().box).where("name <> 'noise'").collect()}
+    assert all(0.006 < loss[16, w] < 0.030 for w in ("wave_k3", "wave_k6")) and all(0.0015 < loss[32, w] < 0.010 for w in ("wave_k3", "wave_k6"))
+
+
+def holed(spark, cells=3, days=400, start=date(2010, 1, 1)):
+    """A cube of two variables in which one variable lacks a cell altogether."""
+    rows = [(v, c, float(c), 0.0, start + timedelta(days=d), 100.0 * i + c + d / 1000) for i, v in enumerate(("2m_temperature", PRECIPITATION)) for c in range(cells) for d in range(days) if (i, c) != (1, 1)]
+    return spark.createDataFrame(rows, CUBE)
+
+
+SMALL = Config(surface_predictors=(), level_predictors=(), lead_weeks=(1, 2), splits=Splits((2010, 2010), (2011, 2011), (2012, 2012)))
+
+
+def test_samples_keep_their_shape(spark):
+    z = splits.tagged(holed(spark), SMALL.splits)
+    norm = spark.createDataFrame([(v, 0.0, 1.0) for v in SMALL.targets], "variable string, mean double, std double")
+    s = build.samples(z, norm, SMALL, "train").orderBy("init").collect()
+    assert {len(r["input"]) for r in s} == {(2 * 2 + 1) * 3} and {len(r["target"]) for r in s} == {2 * 2 * 3}
+    first = s[0]["input"]
+    assert [round(x) for x in first[:3]] == [0, 1, 2] and [round(x) for x in first[3:6]] == [100, 0, 102]  # the lacking cell is 0 in its place
+    assert s[0]["target"][4] is None and s[0]["target"][3] is not None
+    packed = windows.samples(windows.daily_windows(windows.daily_spine(splits.only(z, "train")), 2, (1, 2)), SMALL)
+    with pytest.raises(Exception, match="series missing"):
+        packed.collect()
+
+
+def test_short_blocks_and_leaks_are_refused(spark):
+    z = splits.tagged(holed(spark, days=730 + 10), SMALL.splits)
+    norm = spark.createDataFrame([(v, 0.0, 1.0) for v in SMALL.targets], "variable string, mean double, std double")
+    with pytest.raises(ValueError, match="steps"):
+        build.samples(z, norm, SMALL, "test")
+    w = windows.daily_windows(windows.daily_spine(splits.only(z, "train"), SMALL.input_vars), 2, (1, 2))
+    assert windows.inside_blocks(w, SMALL.splits, 13, 20).count() == w.count() > 0
+    with pytest.raises(Exception, match="beyond its block"):
+        windows.inside_blocks(w.withColumn("init", F.date_add("init", 1)), SMALL.splits, 13, 20).collect()
+
+
+def test_sample_order_and_batches(spark):
+    s = spark.range(50).select(F.date_add(F.lit("2010-01-01").cast("date"), F.col("id").cast("int")).alias("init"), F.lit("x").alias("input"))
+    place = lambda d: {r["init"]: r["place"] for r in d.collect()}
+    a = place(build.shuffled(s, 3))
+    assert sorted(a.values()) == list(range(50)) and a == place(build.shuffled(s.repartition(7), 3))
+    assert a != place(build.shuffled(s, 4)) and a != place(build.shuffled(s, 3, epoch=1))
+    sizes = {r["batch"]: r["count"] for r in build.batches(build.shuffled(s, 3), 16).groupBy("batch").count().collect()}
+    assert sizes == {0: 16, 1: 16, 2: 16, 3: 2}
+
+
+def test_commands(spark, tmp_path):
+    """From a stored cube to scores, histograms, curves and the gate of a stored forecast."""
+    from skillcube.jobs import cli
+
+    days = spark.range(6 * 366).select(F.date_add(F.lit("2005-01-01").cast("date"), F.col("id").cast("int")).alias("time")).where("time < '2011-01-01'")
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("cell_id"), F.lit(10.0 * i).alias("lat"), F.lit(70.0 + i).alias("lon")) for i in range(3)])).alias("c")
+    rows = days.select("time", cells).select("time", "c.*", F.explode(F.array(F.lit("2m_temperature"), F.lit(PRECIPITATION))).alias("variable"))
+    noise = C.gaussian(F.lit(1), F.col("time"), F.col("cell_id"), F.col("variable"))
+    value = F.when(F.col("variable") == PRECIPITATION, F.abs(noise) / 50).otherwise(300 + noise * 8)
+    rows.select("variable", "cell_id", "lat", "lon", F.col("time").cast("timestamp").alias("time"), value.alias("value")).write.parquet(str(tmp_path / "cube"))
+    (tmp_path / "cfg.json").write_text('{"surface_predictors": [], "level_predictors": [], "lead_weeks": [1, 2], "gate_leads": [1], "splits": {"train": [2005, 2008], "val": [2009, 2009], "test": [2010, 2010]}, "box": {"lat_min": 5.0, "lat_max": 40.0, "lon_min": 65.0, "lon_max": 100.0}}')
+    base = ["--settings", str(tmp_path / "cfg.json"), "--out"]
+    cli.main(["build", "--cube", str(tmp_path / "cube"), *base, str(tmp_path / "data")])
+    cli.main(["baselines", "--data", str(tmp_path / "data"), *base, str(tmp_path / "base")])
+    table = spark.read.csv(str(tmp_path / "base/baselines"), header=True, inferSchema=True).collect()
+    assert [(r["variable"], r["lead_week"]) for r in table] == [(v, k) for v in ("2m_temperature", PRECIPITATION) for k in (1, 2)]
+    cli.main(["samples", "--data", str(tmp_path / "data"), "--split", "test", *base, str(tmp_path / "samples")])
+    assert spark.read.parquet(str(tmp_path / "samples")).agg(F.max(F.size("input"))).first()[0] == 15
+    b = build.load(spark, str(tmp_path / "data"))
+    z = climatology.standardize(windows.weekly_mean(splits.only(b.anomalies, "test")), b.norm)
+    spread = F.explode(F.array(*[F.struct(F.lit(l).alias("lead"), F.lit(m).alias("member"), (C.gaussian(F.lit(m), F.col("week"), F.col("cell_id"), F.col("variable"), F.lit(l)) / 3).alias("value")) for l in (1, 2) for m in range(6)])).alias("f")
+    z.select("variable", "cell_id", "lat", "lon", F.col("week").alias("init"), spread).select("variable", "cell_id", "lat", "lon", "init", "f.*").write.parquet(str(tmp_path / "forecast"))
+    cli.main(["evaluate", "--data", str(tmp_path / "data"), "--forecast", str(tmp_path / "forecast"), *base, str(tmp_path / "results")])
+    read = lambda name: spark.read.csv(str(tmp_path / "results" / name), header=True, inferSchema=True)
+    scores = read("scores").collect()
+    assert len(scores) == 4 and all(r["crps_model"] > 0 and r["crpss_vs_det"] is not None for r in scores)
+    assert read("rank_histogram").groupBy("variable", "lead").count().where("count <> 7").count() == 0
+    assert {r["event"] for r in read("event_reliability").collect()} == {"t2m_anom_positive", "precip_anom_positive", "extreme_heat_40C", "heavy_rain_50mm"}
+    assert read("gate").count() == 1
+    with pytest.raises(FileNotFoundError):
+        cli.main(["baselines", "--data", str(tmp_path / "nowhere"), *base, str(tmp_path / "x")])
+    with pytest.raises(SystemExit):
+        cli.main(["evaluate", "--data", str(tmp_path / "data"), *base, str(tmp_path / "x")])

@@ -1,11 +1,15 @@
+import collections
 import itertools
 import math
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skillcube.config import Config, Event
 from skillcube.functions import columns as C
+from skillcube.jobs import evaluate
 from skillcube.operators import forecasts, metrics
 
 SCHEMA = "variable string, lead int, lat double, lon double, init int, members array<double>, truth double"
@@ -46,9 +50,11 @@ def test_fair_loss_needs_two_members(spark):
 
 
 def test_skill(spark):
-    df = spark.createDataFrame([(0.5, 1.0), (0.8, 0.8), (1.2, 1.0), (0.5, 0.0), (0.5, float("nan"))], "m double, r double")
-    got = [r[0] for r in df.select(metrics.skill(F.col("m"), F.col("r"))).collect()]
-    assert got[:2] == [0.5, 0.0] and got[2] < 0 and got[3:] == [None, None]
+    r = np.random.default_rng(31)
+    model, ref = r.gamma(2.0, size=40), r.gamma(3.0, size=40)
+    rows = [*zip(model.tolist(), ref.tolist()), (1.0, 0.0), (1.0, float("nan")), (1.0, float("inf")), (1.0, None), (None, 1.0)]
+    got = [x[0] for x in spark.createDataFrame(rows, "m double, r double").coalesce(1).select(metrics.skill(F.col("m"), F.col("r"))).collect()]
+    assert np.allclose(got[:40], (ref - model) / ref) and got[40:] == [None] * 5
 
 
 def test_pair_scores(spark):
@@ -67,27 +73,65 @@ def test_rank_histogram_ties_and_bins(spark):
     assert h == {0: pytest.approx(1 / 3), 1: pytest.approx(1 / 3), 2: pytest.approx(4 / 3), 3: 0.0}
 
 
-def test_rank_histogram_shapes(spark):
-    r = np.random.default_rng(0)
-    flat = [x["count"] for x in metrics.rank_histogram(points(spark, r.normal(size=(4000, 20)), r.normal(size=4000))).collect()]
-    assert len(flat) == 21 and all(0.3 / 21 < c / 4000 < 2 / 21 for c in flat)
-    u = {x["rank"]: x["count"] for x in metrics.rank_histogram(points(spark, 0.1 * r.normal(size=(500, 5)), r.normal(size=500))).collect()}
-    assert min(u[0], u[5]) > max(u[k] for k in range(1, 5))
-
-
-def test_spread_error(spark):
-    r = np.random.default_rng(2)
-    assert metrics.spread_error(points(spark, 0.01 * r.normal(size=(50, 15)), np.ones(50))).first()["spread_error_ratio"] < 0.5
-    assert metrics.spread_error(points(spark, [[1], [2]], [0, 0])).first()["spread_error_ratio"] == 0.0
-    assert metrics.spread_error(points(spark, [[1, 1]], [1])).first()["spread_error_ratio"] is None
-
-
-def test_event_probability(spark):
-    df = points(spark, [[0, 2, 4, 6], [None, 4, 4, 4]], [0, 0])
-    got = df.select(metrics.event_probability(F.col("members"), 3.0), metrics.event_probability(F.col("members"), 3.0, "lt")).collect()
-    assert [tuple(r) for r in got] == [(0.5, 0.5), (0.75, 0.0)]
+def test_rank_histogram_equals_all_tie_breaks(spark):
+    """Each order of the truth among the members it ties with is as likely as another."""
+    r = np.random.default_rng(77)
+    x, y = r.integers(0, 6, (90, 4)).astype(float), r.integers(-1, 7, 90).astype(float)
+    want = np.zeros(5)
+    for m, t in zip(x, y):
+        ranks = [k for k in range(5) if (m < t).sum() <= k <= (m <= t).sum()]
+        want[ranks] += 1 / len(ranks)
+    got = {g["rank"]: g["count"] for g in metrics.rank_histogram(points(spark, x, y)).collect()}
+    assert np.allclose([got[k] for k in range(5)], want) and sum(got.values()) == pytest.approx(90)
+
+
+def test_spread_error_equals_numpy(spark):
+    for m, seed in ((2, 5), (9, 6)):
+        r = np.random.default_rng(seed)
+        x, y = r.gamma(1.5, size=(33, m)), r.gamma(1.5, size=33)
+        want = math.sqrt((m + 1) / m * x.var(1, ddof=1).mean()) / math.sqrt(((x.mean(1) - y) ** 2).mean())
+        assert metrics.spread_error(points(spark, x, y)).first()["spread_error_ratio"] == pytest.approx(want)
+    assert metrics.spread_error(points(spark, [[4], [7]], [1, 1])).first()["spread_error_ratio"] == 0.0  # no variance with one member
+    assert metrics.spread_error(points(spark, [[3, 3]], [3])).first()["spread_error_ratio"] is None  # no error
+
+
+def test_event_probability_equals_counts(spark):
+    r = np.random.default_rng(12)
+    x = [[None if r.random() < 0.2 else round(float(v), 1) for v in row] for row in r.normal(size=(25, 7))]
+    df = points(spark, x, [0] * 25).orderBy("init")
+    for bar in (0.0, 0.7):
+        got = df.select(metrics.event_probability(F.col("members"), bar), metrics.event_probability(F.col("members"), bar, "lt")).collect()
+        for row, (gt, lt) in zip(x, got):
+            assert gt == pytest.approx(sum(v is not None and v > bar for v in row) / 7) and lt == pytest.approx(sum(v is not None and v < bar for v in row) / 7)
     with pytest.raises(ValueError):
-        metrics.event_probability(F.col("members"), 3.0, "ge")
+        metrics.event_probability(F.col("members"), 1.0, "ge")
+
+
+def test_event_points_in_both_spaces(spark):
+    rows = points(spark, [[0.5, -1, 2], [-3, None, -1]], [1, -2]).union(points(spark, [[9, 9, 9]], [None]))
+    physical = rows.withColumn("members", F.transform("members", lambda x: x + 10)).withColumn("truth", F.col("truth") + 10)
+    events = [Event("up", "t"), Event("down", "t", comparison="lt", threshold=-1.5), Event("hot", "t", "physical", "gt", 10.4), Event("other", "u", "physical")]
+    got = collections.defaultdict(set)
+    for r in metrics.event_points(rows, physical, events).collect():
+        got[r["event"]].add((round(r["p"], 3), r["y"]))
+    assert got == {"up": {(0.667, 1.0), (0.0, 0.0)}, "down": {(0.0, 0.0), (0.333, 1.0)}, "hot": {(0.667, 1.0), (0.0, 0.0)}}
+    with pytest.raises(ValueError, match="physical"):
+        metrics.event_points(rows, None, events)
+    with pytest.raises(ValueError, match="no events"):
+        metrics.event_points(rows, None, [])
+
+
+def test_scores_in_one_pass_equal_the_single_ones(spark):
+    r = np.random.default_rng(4)
+    rows = [(v, l, lat, 0.0, i, [None if r.random() < 0.03 else float(x) for x in r.normal(size=5)], None if r.random() < 0.1 else float(r.normal())) for v in "ab" for l in (1, 2) for lat in (-30.0, 10.0, 50.0) for i in range(12)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(x["variable"], x["lead"]): x for x in evaluate.model_scores(df, Config()).collect()}
+    m, t = F.col("members"), F.col("truth")
+    each = df.withColumn("crps", metrics.crps(m, t, True)).withColumn("zero", F.abs(t)).withColumn("f", metrics.ensemble_mean(m)).withColumn("o", t)
+    single = {"crps_model": (metrics.spatial_mean(each, "crps"), "mean"), "crps_clim_det": (metrics.spatial_mean(each, "zero"), "mean"), "acc_mean": (metrics.pair_scores(each, "plain"), "acc"), "rmse_mean": (metrics.pair_scores(each, "plain"), "rmse"), "spread_error_ratio": (metrics.spread_error(df), "spread_error_ratio")}
+    for name, (table, column) in single.items():
+        want = {(x["variable"], x["lead"]): x[column] for x in table.collect()}
+        assert len(want) == 4 and all(got[k][name] == pytest.approx(v) for k, v in want.items()), name
 
 
 def test_reliability_bins_are_linspace_bins(spark):
@@ -116,10 +160,25 @@ def test_gate(spark):
     assert metrics.gate(df.withColumn("crpss_vs_prob", F.lit(None).cast("double")), [3]).first()["passed"] is False
 
 
-def test_pools_stay_in_season(spark):
-    weeks = spark.range(104).select(F.lit("t").alias("variable"), F.lit(0).alias("cell_id"), F.date_add(F.lit("2001-01-01").cast("date"), (F.col("id") * 7).cast("int")).alias("week"), F.col("id").cast("double").alias("value"))
-    pool = forecasts.woy_pool(weeks, 2).where("target_woy = 26").first()["members"]
-    assert len(pool) == 10 and all(abs((int(v) % 52) + 1 - 26) <= 2 for v in pool)
+def test_pools_and_their_scores_by_brute_force(spark):
+    r, start = np.random.default_rng(15), date(1997, 12, 29)  # a Monday; the record has a week 53
+    weeks = [start + timedelta(weeks=k) for k in range(330)]
+    values = [None if r.random() < 0.05 else round(float(r.normal()), 3) for _ in weeks]
+    train = spark.createDataFrame([("t", 3, w, v) for w, v in zip(weeks, values) if v is not None], "variable string, cell_id int, week date, value double")
+    pool = forecasts.woy_pool(train, 2)
+    got = {x["target_woy"]: x["members"] for x in pool.collect()}
+    ring = lambda a, b: min(abs(a - b), 52 - abs(a - b))
+    want = {k: sorted(v for w, v in zip(weeks, values) if v is not None and ring(w.isocalendar().week, k) <= 2) for k in range(1, 54)}
+    assert got == want
+    targets = [(w, l, None if r.random() < 0.1 else float(r.normal())) for w in weeks[:80] for l in (1, 6)]
+    rows = spark.createDataFrame([("t", 3, 20.0, *x) for x in targets], "variable string, cell_id int, lat double, init date, lead int, truth double")
+    for fair in (True, False):
+        scored = {(x["init"], x["lead"]): x["crps"] for x in forecasts.with_pool(rows, pool, fair).collect()}
+        assert len(scored) == len(targets)
+        for w, l, t in targets:
+            x = np.array(want[(w + timedelta(weeks=l)).isocalendar().week])
+            crps_ = None if t is None else np.abs(x - t).mean() - np.abs(x[:, None] - x).sum() / 2 / (len(x) * (len(x) - 1) if fair else len(x) ** 2)
+            assert scored[w, l] == (None if t is None else pytest.approx(crps_))
 
 
 def test_week_ring(spark):
@@ -136,3 +195,23 @@ def test_tile_noise_is_fixed_and_local(spark):
     assert [r["count"] for r in changed] == [16] * 4
     with pytest.raises(ValueError):
         forecasts.ensemble(f, [], [0], 1.0)
+
+
+def double(batches, members):
+    import pandas as pd
+
+    for pdf in batches:
+        yield pd.concat([pdf.assign(member=m, value=pdf["value"] * (m + 1)) for m in range(members)])
+
+
+def test_member_sources(spark):
+    f = spark.createDataFrame([(s, "c", i, j, float(s + i + j)) for s in range(6) for i in range(4) for j in range(4)], "sample int, channel string, lat_idx int, lon_idx int, value double")
+    schema, cfg = f.withColumn("member", F.lit(0)).schema, Config(members=3)
+    inner = forecasts.members_of(f, cfg, schema, noisy=double)
+    assert {r["member"]: r["s"] for r in inner.groupBy("member").agg(F.sum("value").alias("s")).collect()} == {m: (m + 1) * f.agg(F.sum("value")).first()[0] for m in range(3)}
+    outer = forecasts.members_of(f, cfg, schema, predictors=[lambda x: x, lambda x: x.withColumn("value", -F.col("value"))])
+    signs = {r["member"]: r["s"] > 0 for r in outer.groupBy("member").agg(F.sum("value").alias("s")).collect()}
+    assert signs == {0: True, 1: False, 2: True}
+    for bad in (dict(cfg=cfg.with_(member_source="internal")), dict(cfg=cfg.with_(member_source="odd")), dict(cfg=cfg), dict(cfg=cfg.with_(members=0), noisy=double)):
+        with pytest.raises(ValueError):
+            forecasts.members_of(f, schema=schema, **bad)
