@@ -2,9 +2,10 @@
 
 Open bins are keyed by free space in a bitset (bit f: a bin with f free tokens is open), so the
 tightest bin is one shift and one lowest-bit away. At `open_bins` the fullest bin closes first.
-Rows are dealt evenly (round robin) to as few packing tasks as `rows_per_group` allows, since each
+Rows are dealt evenly (round robin) to as few packing tasks as CHARS_PER_GROUP characters of text for each allow, since each
 task leaves its last bins part-filled; a task streams and holds no more than its open bins.
-Null texts are empty: the separator alone. Repeated rows are packed each. An empty table gives no rows.
+Null texts are empty: the separator alone. Very long texts are cut into pieces of the capacity. Rows with equal or null ids are packed
+each, equal pieces in the order they come. Extra columns are left aside. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .tokens import encoder
 CAPACITY = 2048
 SEPARATOR = 0
 OPEN_BINS = 1024
-ROWS_PER_GROUP = 200_000
+CHARS_PER_GROUP = 256_000_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
@@ -67,8 +68,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator:
         end = np.array([separator], enc.dtype).tobytes()
         for batch in slices(batches):
             rows = []
-            for k, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                ids = np.frombuffer(enc.encode(t) + end, enc.dtype).astype("<u4")
+            for k, t in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                ids = np.frombuffer(enc.encode(t.as_py()) + end, enc.dtype).astype("<u4")
                 for p, at in enumerate(range(0, len(ids), capacity)):
                     raw = ids[at : at + capacity].tobytes()
                     rows.append((k, p, at, len(raw) // 4, zlib.crc32(raw), raw if keep_ids else None))
@@ -95,9 +96,9 @@ def pack(items: DataFrame, groups: int, capacity: int = CAPACITY, open_bins: int
     return items.drop("sequence_id", "offset").repartition(groups).mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, keep_ids: bool = True, rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
-    groups = max(1, math.ceil(docs.count() / rows_per_group))
-    return pack(pieces(docs, tokenizer, keep_ids=keep_ids), groups)
+def pack_documents(docs: DataFrame, tokenizer: str, keep_ids: bool = True, chars_per_group: int = CHARS_PER_GROUP) -> DataFrame:
+    chars = docs.agg(F.sum(F.char_length(F.col("text").cast("string")) + 1)).first()[0] or 0
+    return pack(pieces(docs, tokenizer, keep_ids=keep_ids), max(1, math.ceil(chars / chars_per_group)))
 
 
 def query(spark, sf_dir):

@@ -46,14 +46,14 @@ def test_encoder_on_every_letter_with_every_mark(tokenizer):
 
 def test_encoder_on_random_texts(tokenizer):
     enc, rng = Encoder(tokenizer), random.Random(11)
-    letters = [chr(c) for c in range(0x530)] + ["İ", "̱", "̇", "ſ", "ß", "’", "'", " "] * 20
+    letters = [chr(c) for c in range(0x530)] + ["İ", "I", "̱", "̇", "ſ", "ß", "’", "'", " ", "_", "9", "$", "\u2003", "\x1d", "\x85", "\xa0"] * 20
     texts = ["".join(rng.choices(letters, k=rng.randint(1, 12))) for _ in range(20_000)]
     for t, ids in zip(texts, library_ids(tokenizer, texts)):
         assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == ids, repr(t)
 
 
 def test_encoder_forgets(tokenizer, monkeypatch):
-    monkeypatch.setattr("skillcube.llm.tokens.WORD_CACHE", 5)
+    monkeypatch.setattr("skillcube.llm.tokens.RUN_CACHE", 5)
     enc, texts = Encoder(tokenizer), ["one two three four", "five six seven", "one five nine ten", "two"]
     assert [np.frombuffer(enc.encode(t), enc.dtype).tolist() for t in texts] == library_ids(tokenizer, texts)
 
@@ -146,6 +146,17 @@ def test_packing(tricky, tokenizer):
     assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"], bytes(r["ids"])) for r in rows) == want
 
 
+def test_packing_groups_by_characters(spark, tokenizer):
+    docs = spark.createDataFrame([(i, "word " * (400 * (i % 5))) for i in range(60)] + [(None, None), (99, "long " * 120_000)], "doc_id long, text string").repartition(3)
+    counts = []
+    for chars in (10**9, 100_000):
+        rows = op4_packing.pack_documents(docs, tokenizer, False, chars).collect()
+        counts.append(check_packing(rows, 2048))
+        assert (len({r["sequence_id"] >> 40 for r in rows}) == 1) == (chars == 10**9)
+        assert sum(r["length"] for r in rows if r["doc_id"] == 99) == 120_001 and len({r["piece"] for r in rows if r["doc_id"] == 99}) == 59
+    assert counts[0] <= counts[1]
+
+
 def test_packing_is_tight_and_bounded(spark):
     rng = random.Random(1)
     items = [(i, rng.choice([rng.randint(1, 100), rng.randint(1, 2048), 2048])) for i in range(20000)]
