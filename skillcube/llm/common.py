@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -30,13 +31,31 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         spark.conf.set("spark.checkpoint.dir", root)
     if "://" not in root:
         root = f"file://{root}" if spark.sparkContext.master.startswith("local") else root
-    return f"{root.rstrip('/')}/skillcube/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    top = _SCOPES[-1] if _SCOPES else f"{root.rstrip('/')}/skillcube/{spark.sparkContext.applicationId}"
+    return f"{top}/{label}-{uuid.uuid4().hex}"
+
+
+_SCOPES: list[str] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, label: str):
+    """Scratch folders named inside are deleted at the end, so what is to stay is written elsewhere."""
+    _SCOPES.append(scratch_dir(spark, label))
+    try:
+        yield
+    finally:
+        delete(spark, _SCOPES.pop())
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes this application's scratch tables and files; results that still read them are lost."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark, "x").rsplit("/", 1)[0])
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    delete(spark, scratch_dir(spark, "x").rsplit("/", 1)[0])
 
 
 def written(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:

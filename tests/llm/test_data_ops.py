@@ -429,6 +429,16 @@ def test_pipeline(spark):
         out = stage(spark, docs.withColumn("score", F.lit("extra")), sf)
         assert out.columns == [*docs.columns, "score"], name
         assert set(r["doc_id"] for r in out.select("doc_id").collect()) <= set(rows)
+    before = set(scratch(spark))
     out = corpus_pipeline.run(spark, sf)
     check_packing(out.collect(), 2048)
     assert out.count() > 100 and toxic
+    assert [p.split("-")[0] + p.split("-")[1] for p in set(scratch(spark)) - before] == ["stagemixing"]
+
+
+def scratch(spark):
+    """This application's scratch folders."""
+    from skillcube.llm.common import scratch_dir
+
+    top = pathlib.Path(scratch_dir(spark, "x").removeprefix("file://")).parent
+    return [p.name for p in top.iterdir()] if top.exists() else []
