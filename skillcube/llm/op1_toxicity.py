@@ -33,7 +33,7 @@ THRESHOLD = 0.3
 BATCH = 500  # rows of an Arrow batch in fitting, where a row holds a text or its features
 FOLDS, HELD_OUT = 4, 2
 WORD = re.compile(r"[^\W_]+")
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 STEMS = (4, 5, 6)
 
 _U = np.uint64

@@ -40,7 +40,7 @@ BITS_PER_GRAM, HASHES = 16, 3
 GRAMS = (3, 4)
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
-CHUNK_CHARS = 500_000
+CHUNK_CHARS = 200_000
 BATCH = 500  # texts that are Python strings at a time
 #: A text is in its language if it knows more than 0 and BAR_OF times the share that all but LOW of the language's labelled rows reach.
 BAR_OF, LOW = 0.5, 0.01
