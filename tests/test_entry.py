@@ -10,7 +10,7 @@ import pytest
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-FAST = ["weekly_mean", "smoothed_climatology", "anomaly", "lead_targets", "baseline_scores", "crps_fair", "crps_woy_climatology", "rank_histogram", "reliability_curve", "evaluation_scores", "daily_init_windows", "idw_interp", "time_gap_check", "forecast_join", "forecast_scores", "event_reliability", "packed_samples", "loss_by_resolution", "healpix_pixels", "stored_cube", "sample_batches", "drawn_members"]
+FAST = ["weekly_mean", "smoothed_climatology", "anomaly", "lead_targets", "baseline_scores", "crps_fair", "crps_woy_climatology", "rank_histogram", "reliability_curve", "evaluation_scores", "daily_init_windows", "idw_interp", "time_gap_check", "forecast_scores", "event_reliability", "packed_samples", "loss_by_resolution"]
 
 
 @pytest.fixture(scope="module")
