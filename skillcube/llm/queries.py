@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_toxicity, op2_warc, op3_simhash, op4_packing, op5_chat, op6_langid, op7_mixing, op8_search, op9_ctph, op10_tokens
+from . import op1_toxicity, op2_warc, op3_simhash, op4_packing, op5_chat, op6_langid, op7_mixing, op8_search, op9_ctph, op10_tokens, op11_runs
 
 
 def _pipeline(spark, sf_dir):
@@ -23,10 +23,12 @@ QUERIES = {
     "op8_search": op8_search.query,
     "op9_ctph": op9_ctph.query,
     "op10_tokens": op10_tokens.query,
+    "op11_runs": op11_runs.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": op2_warc.SQL,
     "op5_chat": op5_chat.SQL,
     "op8_search": op8_search.SQL,
+    "op11_runs": op11_runs.SQL,
 }
