@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_toxicity, op2_warc, op3_simhash, op4_packing, op5_chat, op6_langid, op7_mixing, op8_search, op9_ctph, op10_tokens, op11_runs
+from . import op1_toxicity, op2_warc, op3_simhash, op4_packing, op5_chat, op6_langid, op7_mixing, op8_search, op9_ctph, op10_tokens, op11_runs, op12_reversed, op13_quality
 
 
 def _pipeline(spark, sf_dir):
@@ -24,6 +24,8 @@ QUERIES = {
     "op9_ctph": op9_ctph.query,
     "op10_tokens": op10_tokens.query,
     "op11_runs": op11_runs.query,
+    "op12_reversed": op12_reversed.query,
+    "op13_quality": op13_quality.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -31,4 +33,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_chat": op5_chat.SQL,
     "op8_search": op8_search.SQL,
     "op11_runs": op11_runs.SQL,
+    "op12_reversed": op12_reversed.SQL,
 }
