@@ -14,7 +14,8 @@ source; where they differ all texts go to level 2, which leaves no character tha
 Null texts and roles are empty, null turns come first, turns with one number are in order of role and
 text, repeated turns stay; a null conv_id is a conversation of its own. Extra columns are left aside. An empty table
 gives no rows. Long conversations are rendered in chunks of turns, so that only the finished strings
-of a conversation meet in one row; very long texts are cut and escaped like others.
+of a conversation meet in one row; very long texts are cut and escaped like others. The loss mask is cut from four bytes a code point, so
+a conversation may have some 500 million characters. Every code point comes back, a byte order mark (U+FEFF) at the start of a text too.
 """
 
 from __future__ import annotations
@@ -117,10 +118,14 @@ def _spans(formatted: Column) -> Column:
 
 
 def masked(formatted: Column, spans: Column) -> Column:
-    """The text under the spans, unescaped, end to end. In four bytes a code point a cut costs what it cuts."""
+    """The text under the spans, unescaped, end to end. In four bytes a code point a cut costs what it cuts.
+
+    The decoder takes one mark at the start for the byte order's, so each cut gets one: any other is text.
+    """
+    mark = F.unhex(F.lit("0000FEFF"))
 
     def cut(raw):
-        return F.array_join(F.transform(spans, lambda s: unescape(F.decode(F.substr(raw, (s.start * 4 + 1).cast("int"), (s.length * 4).cast("int")), "UTF-32"))), "")
+        return F.array_join(F.transform(spans, lambda s: unescape(F.decode(F.concat(mark, F.substr(raw, (s.start * 4 + 1).cast("int"), (s.length * 4).cast("int"))), "UTF-32"))), "")
 
     return F.element_at(F.transform(F.array(F.encode(formatted, "UTF-32")), cut), 1)  # one element: encoded once
 
