@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,22 +92,36 @@ def range_bounds(df: DataFrame, keys: list[str], parts: int) -> list[tuple]:
 
 
 def with_range(df: DataFrame, keys: list[str], bounds: list[tuple], out: str = "bucket") -> DataFrame:
-    """Adds `out` (int): the number of the last bound that the row's keys reach (0 below all), by binary search.
+    """Adds `out` (int): the number of the last bound that the row's keys (numbers, nulls first) reach (0 below all), by binary search.
 
-    The bounds are a table of one row, so a recomputed task deals its rows out as the first attempt did.
+    The bounds (some 16 bytes a key) are broadcast once and no row carries them; a recomputed task deals its rows out as the first attempt did.
     """
     if len(bounds) < 2:
         return df.withColumn(out, F.lit(0))
-    kind = "array<struct<" + ",".join(f"`{k}`:bigint" for k in keys) + ">>"
-    one = F.broadcast(df.sparkSession.createDataFrame([(bounds[1:],)], f"_bounds {kind}"))
-    arr, k, n = F.col("_bounds"), F.struct(*[F.col(c).cast("long") for c in keys]), len(bounds) - 1
+    columns = [c for k in range(len(keys)) for c in (np.array([t[k] is not None for t in bounds[1:]], np.int64), np.array([t[k] or 0 for t in bounds[1:]], np.int64))]
+    held = df.sparkSession.sparkContext.broadcast(columns)
 
-    def probe(acc, step):
-        nxt = acc + step
-        return F.when((nxt <= n) & (F.element_at(arr, F.greatest(F.least(nxt, F.lit(n)), F.lit(1))) <= k), nxt).otherwise(acc)
+    def search(*values):
+        mine = [c for v in values for c in (v.is_valid().to_numpy(zero_copy_only=False).astype(np.int64), v.fill_null(0).to_numpy(zero_copy_only=False))]
+        lo, hi = np.zeros(len(values[0]), np.int64), np.full(len(values[0]), len(held.value[0]))
+        while (between := lo < hi).any():
+            mid = (lo + hi) // 2
+            at, reached, same = np.minimum(mid, len(held.value[0]) - 1), np.zeros(len(mid), bool), np.ones(len(mid), bool)
+            for bound, x in zip(held.value, mine):
+                reached |= same & (bound[at] < x)
+                same &= bound[at] == x
+            up = between & (reached | same)
+            lo, hi = np.where(up, mid + 1, lo), np.where(between & ~up, mid, hi)
+        return pa.array(lo.astype(np.int32))
 
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range(n.bit_length()))])
-    return df.join(one).withColumn(out, F.aggregate(steps, F.lit(0), probe)).drop("_bounds")
+    return df.withColumn(out, F.arrow_udf(_of_arrays(search, len(keys)), "int")(*[F.col(k).cast("long") for k in keys]))
+
+
+def _of_arrays(f, n: int):
+    """f with n arguments whose types say that they are Arrow arrays."""
+    kinds = {1: lambda a: f(a), 2: lambda a, b: f(a, b), 3: lambda a, b, c: f(a, b, c)}
+    kinds[n].__annotations__ = {**dict.fromkeys("abc"[:n], pa.Array), "return": pa.Array}
+    return kinds[n]
 
 
 def slices(batches, rows: int = 500):
@@ -121,6 +137,11 @@ def open_output(uri: str):
     return fs.open_output_stream(path, compression=None)
 
 
+def open_input(uri: str):
+    fs, path = pafs.FileSystem.from_uri(uri)
+    return fs.open_input_stream(path, compression=None)
+
+
 def read_bytes(uri: str) -> bytes:
     fs, path = pafs.FileSystem.from_uri(uri)
     with fs.open_input_stream(path, compression=None) as f:

@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import move, open_output, range_bounds, read_bytes, remove, scratch_dir, shuffle_partitions, table, with_range, written
+from .common import move, open_input, open_output, range_bounds, remove, scratch_dir, shuffle_partitions, table, with_range, written
 
 MIN_REVISIT_BYTES = 100
 SHARDS, LEAST_SHARD, MOST_SHARD = 1_000, 16 << 20, 1 << 30
-ROLL_BYTES, RECORD_BYTES = 128 << 20, 600
+ROLL_BYTES, RECORD_BYTES, READ_BYTES = 128 << 20, 600, 4 << 20
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # name space of URLs
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -81,12 +81,20 @@ def parse(raw: bytes):
         at = end + 8 + n
 
 
-def members(raw: bytes):
-    """Decompressed gzip members, one at a time."""
-    while raw:
-        d = zlib.decompressobj(31)
-        yield d.decompress(raw) + d.flush()
-        raw = d.unused_data
+def members(stream, seen=lambda raw: None, step: int = 1 << 16):
+    """Decompressed gzip members of a stream, one at a time; seen: gets the bytes as they are read. What is left of a step is all that is copied."""
+    d, parts, begun = zlib.decompressobj(31), [], False
+    while raw := stream.read(step):
+        seen(raw)
+        while raw:
+            begun = True
+            parts.append(d.decompress(raw))
+            raw = d.unused_data
+            if d.eof:
+                yield b"".join(parts)
+                d, parts, begun = zlib.decompressobj(31), [], False
+    if begun:
+        raise ValueError("the last record is cut off")
 
 
 def _meta(pages: DataFrame) -> DataFrame:
@@ -185,36 +193,51 @@ def write_warc(pages: DataFrame, roll_bytes: int = ROLL_BYTES) -> tuple[str, Dat
     return folder, spark.read.schema(manifest.schema).parquet(path)
 
 
-def read_warc(manifest: DataFrame) -> DataFrame:
-    """A row per record: page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload (null for a revisit)."""
+def read_warc(manifest: DataFrame, payloads: bool = True) -> DataFrame:
+    """A row per record: page_id, url, record_type, payload_bytes, payload_digest, refers_to and, if asked for, payload (null for a revisit).
+
+    Files are streamed: a task holds a record, and the rows of about READ_BYTES.
+    """
+    names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"][: 7 if payloads else 6]
+    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+
+    def rows_of(uri: str, sha: str):
+        digest_of_file = hashlib.sha256()
+        with open_input(uri) as f:
+            for member in members(f, digest_of_file.update):
+                for head, http, payload in parse(member):
+                    kind, digest = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha256:")
+                    n = int(http["Content-Length"])
+                    if kind == "response" and (len(payload) != n or hashlib.sha256(payload).hexdigest() != digest):
+                        raise ValueError(f"damaged payload in {uri}")
+                    ids = [None if head.get(k) is None else int(head[k]) for k in ("Page-ID", "Refers-To-Page-ID")]
+                    yield (ids[0], head.get("WARC-Target-URI"), kind, n, digest, ids[1], payload if kind == "response" else None)[: len(names)]
+        if digest_of_file.hexdigest() != sha:
+            raise ValueError(f"{uri} differs from its manifest")
 
     def read(batches):
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
         for batch in batches:
             for uri, sha in zip(batch["uri"].to_pylist(), batch["sha256"].to_pylist()):
-                raw = read_bytes(uri)
-                if hashlib.sha256(raw).hexdigest() != sha:
-                    raise ValueError(f"{uri} differs from its manifest")
-                rows = []
-                for member in members(raw):
-                    for head, http, payload in parse(member):
-                        kind, digest = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha256:")
-                        n = int(http["Content-Length"])
-                        if kind == "response" and (len(payload) != n or hashlib.sha256(payload).hexdigest() != digest):
-                            raise ValueError(f"damaged payload in {uri}")
-                        ids = [None if head.get(k) is None else int(head[k]) for k in ("Page-ID", "Refers-To-Page-ID")]
-                        rows.append((ids[0], head.get("WARC-Target-URI"), kind, n, digest, ids[1], payload if kind == "response" else None))
-                for lo in range(0, len(rows), 500):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 500]), types)], names=names)
-
-    names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
-    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-    schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+                rows, held = [], 0
+                for row in rows_of(uri, sha):
+                    rows.append(row)
+                    held += 500 + (len(row[6] or b"") if payloads else 0)
+                    if held >= READ_BYTES:
+                        yield batch_of(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield batch_of(rows)
+
+    schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + (", payload binary" if payloads else "")
     return manifest.select("uri", "sha256").repartition(shuffle_partitions(manifest.sparkSession)).mapInArrow(read, schema)
 
 
 def query(spark, sf_dir):
     _, manifest = write_warc(table(spark, sf_dir, "pages"))
-    return read_warc(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_warc(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """
