@@ -227,23 +227,23 @@ def detect(docs: DataFrame, text: str | Column = "text", min_length: int = MIN_L
     """docs with `runs` (of word numbers, by start and period) and `collapsed` (the text without what runs repeat)."""
     window_counts(min_length, min_exponent)
     names = [c for c in docs.columns if c not in ("runs", "collapsed")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], (F.col(f"`{text}`") if isinstance(text, str) else text).cast("string").alias("collapsed"))
-    schema = StructType(rows.schema.fields[:-1]).add("runs", ArrayType(StructType().add("start", LongType()).add("length", LongType()).add("period", LongType()))).add("collapsed", StringType())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), (F.col(f"`{text}`") if isinstance(text, str) else text).cast("string").alias("collapsed"))
+    schema = StructType([rows.schema["_doc"]]).add("runs", ArrayType(StructType().add("start", LongType()).add("length", LongType()).add("period", LongType()))).add("collapsed", StringType())
     kinds = [pa.field(k, pa.int64()) for k in ("start", "length", "period")]
 
     def of(batches):
         for batch in batches:
             at = 0
-            for some in _chunks(batch.column(len(names))):
+            for some in _chunks(batch.column(1)):
                 runs, kept = detect_texts(some, min_length, min_exponent)
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(r) for r in runs])]), pa.int32())
                 flat = [x for r in runs for x in r]
                 found = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array([x[k] for x in flat], pa.int64()) for k in range(3)], fields=kinds))
-                same = batch.slice(at, len(some)).columns[:-1]
-                yield pa.RecordBatch.from_arrays([*same, found, pa.array(kept, pa.binary()).cast(pa.string())], names=[*names, "runs", "collapsed"])
+                same = batch.column(0).slice(at, len(some))
+                yield pa.RecordBatch.from_arrays([same, found, pa.array(kept, pa.binary()).cast(pa.string())], names=["_doc", "runs", "collapsed"])
                 at += len(some)
 
-    return rows.mapInArrow(of, schema)
+    return rows.mapInArrow(of, schema).select("_doc.*", "runs", "collapsed")
 
 
 def planted(doc_id: Column, text: Column) -> Column:

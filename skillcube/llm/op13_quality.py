@@ -96,24 +96,24 @@ def statistics_of(texts: list[bytes]) -> np.ndarray:
 def statistics(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """docs with STATS in place of text (or beside it)."""
     names = [c for c in docs.columns if c not in (*STATS, *(() if keep_text else ("text",)))]
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").cast("string").alias("_text"))
-    schema = StructType(rows.schema.fields[:-1])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text").cast("string").alias("_text"))
+    schema = StructType([rows.schema["_row"]])
     for s in STATS:
         schema = schema.add(s, LongType())
 
     def of(batches):
         for batch in batches:
             some, held, lo = [], 0, 0
-            for i, t in enumerate(batch.column(len(names))):
+            for i, t in enumerate(batch.column(1)):
                 some.append(t.as_buffer().to_pybytes() if t.is_valid else b"")
                 held += len(some[-1])
                 if held >= CHUNK_BYTES or i + 1 == batch.num_rows:
                     counted = statistics_of(some)
-                    columns = [*batch.slice(lo, len(some)).columns[:-1], *(pa.array(counted[:, k]) for k in range(len(STATS)))]
-                    yield pa.RecordBatch.from_arrays(columns, names=[*names, *STATS])
+                    columns = [batch.column(0).slice(lo, len(some)), *(pa.array(counted[:, k]) for k in range(len(STATS)))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["_row", *STATS])
                     some, held, lo = [], 0, i + 1
 
-    return rows.mapInArrow(of, schema)
+    return rows.mapInArrow(of, schema).select("_row.*", *STATS)
 
 
 def base_failed() -> Column:
