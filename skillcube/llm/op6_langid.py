@@ -8,12 +8,15 @@ and the largest corrected share decides.
 n-grams are of 3 and 4 letters of the lower-cased words with a blank at either end. Filters are filled
 from at most about TRAIN_PER_LANGUAGE labelled rows and TRAIN_CHARS characters of each language (smallest hash of the id): a language
 contains an n-gram if MIN_SHARE of its rows do and that share is at least OF_BEST of the largest. So a language has at most
-1 / MIN_SHARE times as many n-grams as its rows have on average. A lang value learns if it has a MOST_LANGUAGES-th of the labelled rows
-or more; so there are MOST_LANGUAGES of them at most.
+1 / MIN_SHARE times as many n-grams as its rows have on average. Every lang value learns, however rare; a share counts FEW_ROWS rows
+more than there are, so that the n-grams of a single row (a slip in lang, say) don't push out those of a language with many. The masks are made and stored in
+slices of about SLICE_LANGUAGES languages, of which the driver and a task hold one at a time, so the number of languages has no bound; a batch
+of texts goes through one slice after the other, and the best of all slices decides.
 
 Null texts and texts without a letter are `und` with score 0. A text with letters of which no n-gram
 is known gets the language with the most labelled rows, with that language's share of them as score
-(`und` where there is none). Very long texts are counted whole, some CHUNK_CHARS at a time. Rows without lang teach nothing; repeated
+(`und` where there is none). Very long texts are counted whole, in pieces of some CHUNK_CHARS cut where no letter stands (a word longer
+than that counts as several). Rows without lang teach nothing; repeated
 rows teach as often as they occur. Ties go to the language first in order. Whatever is in lang, doc_id and other columns is not looked
 at in prediction; extra columns are carried, `lang_pred`, `score` and `known` give way to those of the result. An empty table gives no
 rows and teaches nothing.
@@ -24,24 +27,25 @@ them is told by `known`: the share of its n-grams that its language contains, ag
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import io
+import json
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import open_output, read_bytes, scratch_dir, table, written
 
 TRAIN_PER_LANGUAGE, TRAIN_CHARS, MIN_SHARE, OF_BEST = 2_000, 32_000_000, 0.01, 0.2
-MOST_LANGUAGES = 4_096
+SLICE_LANGUAGES = 128
+FEW_ROWS = 5
 BITS_PER_GRAM, HASHES = 16, 3
 GRAMS = (3, 4)
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
 CHUNK_CHARS = 200_000
-BATCH = 500  # texts that are Python strings at a time
 #: A text is in its language if it knows more than 0 and BAR_OF times the share that all but LOW of the language's labelled rows reach.
 BAR_OF, LOW = 0.5, 0.01
 
@@ -87,15 +91,38 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(rows), np.concatenate(out)) if out else (np.zeros(0, np.int64), np.zeros(0, _U))
 
 
-def chunks(texts: list[str], size: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
-    lo, n = 0, 0
+def chunks(texts: Iterable[str], size: int | None = None) -> Iterator[tuple[int, list[str]]]:
+    """(number of the first, texts) of up to `size` characters together; a longer text stands alone. Texts are taken as they are needed."""
+    lo, some, n, size = 0, [], 0, size or CHUNK_CHARS
     for i, t in enumerate(texts):
-        if n and n + len(t) > size:
-            yield lo, texts[lo:i]
-            lo, n = i, 0
+        if some and n + len(t) > size:
+            yield lo, some
+            lo, some, n = i, [], 0
+        some.append(t)
         n += len(t)
-    if lo < len(texts):
-        yield lo, texts[lo:]
+    if some:
+        yield lo, some
+
+
+def pieces(text: str, size: int | None = None) -> Iterator[str]:
+    """The text in pieces of up to `size` characters, cut at characters that aren't letters where there is one."""
+    at, size = 0, size or CHUNK_CHARS
+    while len(text) - at > size:
+        end = at + size
+        cut = max(text.rfind(c, at + 1, end) for c in (" ", "\n"))
+        if cut < 0:
+            cut = next((i for i in range(end - 1, at, -1) if not text[i].isalpha()), end)
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+def hashed(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """`grams` of one of chunks' lists, piece by piece where it is one long text."""
+    if len(texts) > 1:
+        yield grams(texts)
+    else:
+        yield from (grams([p]) for p in pieces(texts[0]))
 
 
 def _positions(h: np.ndarray, size: int) -> list[np.ndarray]:
@@ -107,10 +134,8 @@ def _positions(h: np.ndarray, size: int) -> list[np.ndarray]:
 class Filters:
     """Bloom filters of several languages, sliced by bit: masks[position, word] holds 64 languages a word."""
 
-    def __init__(self, languages: list[str], grams_of: list[np.ndarray], rows: list[int]):
+    def __init__(self, languages: list[str], grams_of: list[np.ndarray]):
         self.languages = languages
-        self.usual = int(np.argmax(rows)) if rows else 0
-        self.usual_share = max(rows) / sum(rows) if rows else 0.0
         size = max(64, BITS_PER_GRAM * max(map(len, grams_of), default=0))
         self.masks = np.zeros((size, (len(languages) + 63) // 64), _U)
         self.false = np.zeros(len(languages))
@@ -128,118 +153,150 @@ class Filters:
             found = found & self.masks[at]
         return found
 
-    def counts(self, row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-        """Corrected popcounts, texts by languages."""
-        found, total = self.containing(h), np.bincount(row, minlength=n)
-        out = np.zeros((n, len(self.languages)))
-        for i, p in enumerate(self.false):
-            hits = np.bincount(row[(found[:, i // 64] >> _U(i % 64)) & _U(1) != 0], minlength=n)
-            out[:, i] = np.maximum(0, (hits - total * p) / max(1e-9, 1 - p))
-        return out
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        return self.judge(texts)[:2]
-
-    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Corrected popcounts, texts by languages, and the texts' numbers of n-grams."""
+        n = len(texts)
+        hits, total = np.zeros((n, len(self.languages))), np.zeros(n)
+        for row, h in hashed(texts):
+            found = self.containing(h)
+            total += np.bincount(row, minlength=n)
+            for i in range(len(self.languages)):
+                hits[:, i] += np.bincount(row[(found[:, i // 64] >> _U(i % 64)) & _U(1) != 0], minlength=n)
+        return np.maximum(0, (hits - total[:, None] * self.false) / np.maximum(1e-9, 1 - self.false)), total
+
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, languages=np.frombuffer(json.dumps(self.languages).encode(), np.uint8), masks=self.masks, false=self.false)
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> Filters:
+        self = cls.__new__(cls)
+        with np.load(io.BytesIO(raw)) as z:
+            self.languages, self.masks, self.false = json.loads(z["languages"].tobytes()), z["masks"], z["false"]
+        return self
+
+
+class Model:
+    """Filters in slices, each a file of the scratch folder; usual: the language with the most labelled rows, and its share of them."""
+
+    def __init__(self, uris: list[str], usual: str | None, usual_share: float):
+        self.uris, self.usual, self.usual_share = uris, usual, usual_share
+        self._held: tuple[str, Filters] | None = None
+
+    def slices(self) -> Iterator[Filters]:
+        for uri in self.uris:
+            if self._held is None or self._held[0] != uri:
+                self._held = None
+                self._held = uri, Filters.from_bytes(read_bytes(uri))
+            yield self._held[1]
+
+    def __getstate__(self):
+        return {**self.__dict__, "_held": None}
+
+    def judge(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, scores and the corrected shares of the texts' n-grams that their languages contain."""
-        names, scores, known = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-        if not self.languages:
-            return names, scores, known
-        for lo, part in chunks([t or "" for t in texts]):
-            row, h = grams(part)
-            c = self.counts(row, h, len(part))
-            best, total = c.argmax(1), c.sum(1)
-            known[lo : lo + len(part)] = c.max(1) / np.maximum(1, np.bincount(row, minlength=len(part)))
-            for i in range(len(part)):
-                if total[i] > 0:
-                    names[lo + i] = self.languages[best[i]]
-                    scores[lo + i] = c[i, best[i]] / total[i]
-                elif any(map(str.isalpha, part[i])):
-                    names[lo + i], scores[lo + i] = self.languages[self.usual], self.usual_share
+        n = len(texts)
+        names, best, total, known = [UNKNOWN] * n, np.zeros(n), np.zeros(n), np.zeros(n)
+        for filters in self.slices():
+            for lo, some in chunks(t.as_py() or "" for t in texts):
+                c, grams_ = filters.counts(some)
+                top = c.argmax(1) if c.shape[1] else np.zeros(len(some), int)
+                for i in np.flatnonzero(c.max(1, initial=0) > 0):
+                    x, name = c[i, top[i]], filters.languages[top[i]]
+                    if x > best[lo + i] or (x == best[lo + i] and name < names[lo + i]):
+                        names[lo + i], best[lo + i], known[lo + i] = name, x, x / grams_[i]
+                total[lo : lo + len(some)] += c.sum(1)
+        scores = np.divide(best, total, out=np.zeros(n), where=total > 0)
+        if self.usual is not None:
+            for i in np.flatnonzero(total == 0):
+                if any(map(str.isalpha, texts[i].as_py() or "")):
+                    names[i], scores[i] = self.usual, self.usual_share
         return names, scores, known
 
 
-def _sample(rows: DataFrame, per_language: int) -> tuple[dict[str, int], DataFrame | None]:
-    """Labelled rows of each language that learns, and (lang, text) of about per_language of each."""
-    named = rows.where("lang is not null and text is not null")
-    by = named.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars"))
-    by = written(by, "langid-counts")
-    least = (by.agg(F.sum("n")).first()[0] or 0) / MOST_LANGUAGES
-    learned = by.where(F.col("n") >= least)  # MOST_LANGUAGES rows at most
-    totals = {r["lang"]: r["n"] for r in learned.collect()}
-    if not totals:
-        return totals, None
+def learn(rows: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> tuple[Model, DataFrame]:
+    """The model from rows (doc_id, text, lang), and the sample (lang, text) it was fitted on."""
+    spark = rows.sparkSession
+    named = rows.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), "doc_id")
+    by = written(named.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars")), "langid-counts")
+    most = by.orderBy(F.desc("n"), "lang").limit(1).collect()
+    n_languages, n_rows = by.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     share = F.least(F.lit(1.0), per_language / F.col("n"), TRAIN_CHARS / F.greatest(F.lit(1), F.col("chars")))
     at = F.xxhash64(F.lit("language"), F.col("doc_id").cast("string")).cast("double")
-    few = named.join(F.broadcast(learned.select("lang", share.alias("share"))), "lang")
-    return totals, few.where(at <= (F.col("share") * 2 - 1) * 2.0**63).select("lang", "text")
-
-
-def fit(rows: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Filters:
-    """Filters from rows (doc_id, text, lang)."""
-    totals, sample = _sample(rows, per_language)
-    if not totals:
-        return Filters([], [], [])
+    few = named.join(by.select("lang", share.alias("share")), "lang")
+    sample = written(few.where(at <= (F.col("share") * 2 - 1) * 2.0**63).select("lang", "text"), "langid-sample")
+    if not most:
+        return Model([], None, 0.0), sample
 
     def count(batches):
-        for pdf in batches:
-            for lang, part in pdf.groupby("lang")["text"]:
+        for batch in batches:
+            langs = batch["lang"].to_pylist()
+            for lang in dict.fromkeys(langs):
+                texts = batch["text"].filter(pa.array([x == lang for x in langs]))
                 seen: list[np.ndarray] = []
-                for _, texts in chunks(part.tolist()):
-                    row, h = grams(texts)
+                for _, some in chunks(t.as_py() for t in texts):
+                    parts = list(hashed(some))
+                    row, h = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
                     with np.errstate(over="ignore"):
                         once = np.unique(h + row.astype(_U) * _U(0x9E3779B97F4A7C15), return_index=True)[1]
                     seen.append(h[once])
                 h, n = np.unique(np.concatenate(seen), return_counts=True)
-                yield pd.DataFrame({"lang": lang, "h": h.view(np.int64), "n": n})
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "h", "n"])
 
     sizes = sample.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    counted = sample.mapInPandas(count, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
-    shares = counted.join(F.broadcast(sizes), "lang").withColumn("share", F.col("n") / F.col("rows")).where(F.col("share") >= MIN_SHARE)
+    counted = sample.mapInArrow(count, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
+    shares = counted.join(sizes, "lang").withColumn("share", F.col("n") / (F.col("rows") + FEW_ROWS)).where(F.col("share") >= MIN_SHARE)
     best = F.max("share").over(Window.partitionBy("h"))
-    chosen = shares.withColumn("best", best).where(F.col("share") >= F.col("best") * OF_BEST)
-    got = chosen.select("lang", "h").toPandas()
-    languages = sorted(totals)
-    by = {lang: g["h"].to_numpy(np.int64).view(_U) for lang, g in got.groupby("lang")}
-    return Filters(languages, [by.get(lang, np.zeros(0, _U)) for lang in languages], [totals[lang] for lang in languages])
+    slices = -(-n_languages // SLICE_LANGUAGES)
+    number = F.pmod(F.xxhash64("lang"), F.lit(slices))
+    chosen = shares.withColumn("best", best).where(F.col("share") >= F.col("best") * OF_BEST).select("lang", "h", number.alias("slice"))
+    chosen = written(chosen, "langid-grams")
+    uris = []
+    for s in range(slices):
+        languages = sorted(r["lang"] for r in by.where(number == s).select("lang").collect())
+        got = chosen.where(F.col("slice") == s).select("lang", "h").toPandas()
+        grams_of = {lang: g["h"].to_numpy(np.int64).view(_U) for lang, g in got.groupby("lang")}
+        uris.append(f"{scratch_dir(spark, 'langid-filters')}/{s}.npz")
+        with open_output(uris[-1]) as f:
+            f.write(Filters(languages, [grams_of.get(x, np.zeros(0, _U)) for x in languages]).to_bytes())
+    return Model(uris, most[0]["lang"], most[0]["n"] / n_rows), sample
+
+
+def fit(rows: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
+    return learn(rows, per_language)[0]
 
 
-def bars(rows: DataFrame, filters: Filters, per_language: int = TRAIN_PER_LANGUAGE) -> dict[str, float]:
-    """The least known share of a text in each language, from labelled rows (doc_id, text, lang) named rightly."""
-    totals, sample = _sample(rows, per_language)
-    if not totals:
-        return {}
-    right = judged(sample, filters).where("lang = lang_pred and known > 0")
-    low = right.groupBy("lang").agg(F.percentile_approx("known", LOW).alias("low")).collect()
-    return {r["lang"]: BAR_OF * r["low"] for r in low}
+def bars(sample: DataFrame, model: Model) -> DataFrame:
+    """lang, bar: the least known share of a text in each language, from labelled rows (lang, text) named rightly."""
+    right = judged(sample, model).where("lang = lang_pred and known > 0")
+    return written(right.groupBy("lang").agg((F.percentile_approx("known", LOW) * BAR_OF).alias("bar")), "langid-bars")
 
 
-def judged(docs: DataFrame, filters: Filters) -> DataFrame:
+def judged(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred, score and known."""
-    held = docs.sparkSession.sparkContext.broadcast(filters)
+    held = docs.sparkSession.sparkContext.broadcast(model)  # names of files
 
     @F.arrow_udf("lang_pred string, score double, known double")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            parts = [held.value.judge(texts.slice(lo, BATCH).to_pylist()) for lo in range(0, len(texts), BATCH)]
-            columns = [pa.array([n for p in parts for n in p[0]], pa.string()), *(pa.array(np.concatenate([p[k] for p in parts] or [[]]), pa.float64()) for k in (1, 2))]
-            yield pa.StructArray.from_arrays(columns, ["lang_pred", "score", "known"])
+            names, scores, known = held.value.judge(texts)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores), pa.array(known)], ["lang_pred", "score", "known"])
 
     names = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "known")]
     return docs.select(*names, of(F.col("text").cast("string")).alias("_p")).select(*names, "_p.lang_pred", "_p.score", "_p.known")
 
 
-def predict(docs: DataFrame, filters: Filters) -> DataFrame:
+def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score."""
-    return judged(docs, filters).drop("known")
+    return judged(docs, model).drop("known")
 
 
-def in_language(docs: DataFrame, filters: Filters, least: dict[str, float]) -> DataFrame:
+def in_language(docs: DataFrame, model: Model, least: DataFrame) -> DataFrame:
     """The rows of docs whose text knows enough of its language's n-grams."""
     names = [F.col(f"`{c}`") for c in docs.columns]
-    rows = judged(docs.select(F.struct(*names).alias("doc"), "text"), filters)
-    bar = F.element_at(F.create_map(*[F.lit(x) for k, v in least.items() for x in (k, v)]), F.col("lang_pred")) if least else F.lit(None)
-    return rows.where((F.col("lang_pred") != UNKNOWN) & (F.col("known") > 0) & (F.col("known") >= F.coalesce(bar, F.lit(0.0)))).select("doc.*")
+    rows = judged(docs.select(F.struct(*names).alias("doc"), "text"), model).join(least.withColumnRenamed("lang", "_l"), F.col("lang_pred") == F.col("_l"), "left")
+    return rows.where((F.col("lang_pred") != UNKNOWN) & (F.col("known") > 0) & (F.col("known") >= F.coalesce("bar", F.lit(0.0)))).select("doc.*")
 
 
 def held_out() -> Column:
@@ -248,5 +305,5 @@ def held_out() -> Column:
 
 def query(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    filters = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
-    return predict(docs.select("doc_id", "text"), filters).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
+    return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

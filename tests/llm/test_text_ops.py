@@ -6,9 +6,11 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,7 +154,7 @@ def test_language_query_by_brute_force(corpus):
     share = {}
     for lang in sorted({r["lang"] for r in learn}):
         rows = [set(grams(r["text"])) for r in learn if r["lang"] == lang]
-        share[lang] = {g: n / len(rows) for g, n in collections.Counter(g for s in rows for g in s).items()}
+        share[lang] = {g: n / (len(rows) + op6_langid.FEW_ROWS) for g, n in collections.Counter(g for s in rows for g in s).items()}
     best = collections.Counter()
     for s in share.values():
         best |= collections.Counter(s)
@@ -165,11 +167,40 @@ def test_language_query_by_brute_force(corpus):
     assert max(off) < 0.1 and np.mean(off) < 0.02
 
 
-def test_rare_lang_values_teach_nothing(corpus, monkeypatch):
+def languages_of(model):
+    return sorted(x for f in model.slices() for x in f.languages)
+
+
+@pytest.mark.parametrize("per_slice", [128, 1])
+def test_every_lang_value_learns(spark, corpus, monkeypatch, per_slice):
+    """A rare language is learned whatever the others' counts, and slips in lang leave the frequent ones as they are."""
+    docs, _ = corpus
+    monkeypatch.setattr(op6_langid, "SLICE_LANGUAGES", per_slice)
+    pl = "zażółć gęślą jaźń wszystkie człowiek szczęście"
+    extra = spark.createDataFrame([(9_001, pl, "pl", "s"), (9_002, words_of("en", random.Random(3), 40), "oops", "s")], docs.schema)
+    model = op6_langid.fit(docs.unionByName(extra))
+    assert languages_of(model) == ["de", "en", "fr", "oops", "pl"] and len(model.uris) == (5 if per_slice == 1 else 1)
+    asked = docs.unionByName(extra.where("lang = 'pl'"))
+    got = op6_langid.predict(asked, model).collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.97
+    assert [r["lang_pred"] for r in got if r["lang"] == "pl"] == ["pl"]
+
+
+def test_long_texts_are_counted_in_pieces(corpus, monkeypatch):
     docs, _ = corpus
-    monkeypatch.setattr(op6_langid, "MOST_LANGUAGES", 50)
-    dirty = docs.withColumn("lang", F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("x"), F.col("doc_id").cast("string"))).otherwise(F.col("lang")))
-    assert op6_langid.fit(dirty).languages == ["de", "en", "fr"]
+    model = op6_langid.fit(docs)
+    texts = pa.array([words_of("fr", random.Random(1), 3_000), None, "x" * 5_000, "été, " * 900 + words_of("de", random.Random(2), 900), "ab"])
+    whole = model.judge(texts)
+    monkeypatch.setattr(op6_langid, "CHUNK_CHARS", 700)
+    cut = model.judge(texts)
+    assert whole[0] == cut[0] and np.allclose(np.delete(whole[1], 2), np.delete(cut[1], 2)) and np.allclose(np.delete(whole[2], 2), np.delete(cut[2], 2))
+    assert "".join(op6_langid.pieces(texts[3].as_py())) == texts[3].as_py() and max(map(len, op6_langid.pieces("y" * 5_000))) == 700
+    monkeypatch.setattr(op6_langid, "CHUNK_CHARS", 200_000)
+    long = pa.array(["wort und satz " * 1_500_000])
+    tracemalloc.start()
+    assert model.judge(long)[0][0] in ("de", "en", "fr")
+    assert tracemalloc.get_traced_memory()[1] < 120e6  # 21 million characters; by whole texts it was over a gigabyte
+    tracemalloc.stop()
 
 
 def test_language_odd_rows(tricky, empty, corpus):
@@ -186,13 +217,16 @@ def test_language_odd_rows(tricky, empty, corpus):
 def test_bloom_masks_and_correction():
     rng = np.random.default_rng(1)
     sets = [rng.integers(0, 2**63, 500).astype(np.uint64) for _ in range(70)]
-    f = op6_langid.Filters([f"l{i:02d}" for i in range(70)], sets, [1] * 70)
+    f = op6_langid.Filters([f"l{i:02d}" for i in range(70)], sets)
+    f = op6_langid.Filters.from_bytes(f.to_bytes())
     for i in (0, 63, 64, 69):
         found = f.containing(sets[i])
         assert ((found[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).all()
     other = rng.integers(0, 2**63, 20000).astype(np.uint64)
-    rate = f.counts(np.zeros(20000, np.int64), other, 1)[0] / 20000
-    assert rate.max() < 0.01 and f.false.max() < 0.05
+    found = f.containing(other)
+    rate = [((found[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(70)]
+    assert np.abs(np.array(rate) - f.false).max() < 0.01 and f.false.max() < 0.05
+    assert f.counts(["", "abc def"])[0].max() <= 4 and f.counts(["", "abc def"])[1].tolist() == [0, 10]
 
 
 def test_grams_by_hand():
