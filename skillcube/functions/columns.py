@@ -15,6 +15,11 @@ def nan_to_null(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def finite(value: Column) -> Column:
+    """Whether a value is there: not null, NaN or infinite."""
+    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+
+
 def filled(value: Column) -> Column:
     return F.coalesce(value, F.lit(0.0))
 

@@ -62,7 +62,7 @@ def pool_scores(anomalies: DataFrame, cfg: Config) -> DataFrame:
 
 def model_scores(points: DataFrame, cfg: Config) -> DataFrame:
     """What the points alone say, in one pass: sums per (variable, lead, latitude), put together by latitude weights."""
-    m, t = F.col("members"), F.col("truth")
+    m, t = F.col("members"), F.when(C.finite(F.col("truth")), F.col("truth"))
     rows = points.select("variable", "lead", "lat", t.alias("o"), F.size(m).alias("m"), metrics.crps(m, t, cfg.fair_crps).alias("crps"), metrics.ensemble_mean(m).alias("f"), metrics.ensemble_variance(m).alias("v"))
     f, o, ok = F.col("f"), F.col("o"), F.col("f").isNotNull() & F.col("o").isNotNull()
     sums = {"c": F.avg("crps"), "z": F.avg(F.abs(o)), "n": F.count_if(ok), "m": F.max(F.when(ok, F.col("m")))}
@@ -95,7 +95,7 @@ def score(points: DataFrame, anomalies: DataFrame, cfg: Config) -> DataFrame:
 
 def stored_points(standard: DataFrame, built: Built, cfg: Config) -> DataFrame:
     """Points of the box out of a stored table of standardized forecasts: a row per (variable, cell_id, lat, lon, init, lead, member)."""
-    rows = climatology.destandardize(box(standard, cfg), built.norm)
+    rows = climatology.destandardize(cube.clean(box(standard, cfg)), built.norm)
     return forecasts.gathered(rows, test_targets(built.anomalies, cfg).select(*forecasts.POINT, "truth"))
 
 
@@ -108,8 +108,8 @@ def event_reliability(points: DataFrame, clim: DataFrame, cfg: Config) -> DataFr
 def evaluate(standard: DataFrame, built: Built, cfg: Config, folder: str) -> DataFrame:
     """Scores a stored forecast: score table, rank histograms, reliability curves and the gate, written under folder."""
     points = stored_points(standard, built, cfg).persist()
-    scores = score(points, built.anomalies, cfg).persist()
-    write_csv(scores, f"{folder}/scores")
+    write_csv(score(points, built.anomalies, cfg), f"{folder}/scores")
+    scores = written_scores(points, f"{folder}/scores")
     write_csv(metrics.rank_histogram(points), f"{folder}/rank_histogram", ["variable", "lead", "rank"])
     write_csv(event_reliability(points, built.climatology, cfg), f"{folder}/event_reliability", ["event", "bin"])
     passed = metrics.gate(scores, cfg.gate_leads, cfg.gate_metric, cfg.gate_threshold)
@@ -118,6 +118,12 @@ def evaluate(standard: DataFrame, built: Built, cfg: Config, folder: str) -> Dat
     return scores
 
 
+def written_scores(points: DataFrame, path: str) -> DataFrame:
+    """The score table as written, so that nothing stays persisted for it."""
+    kinds = "variable string, lead int, crps_model double, crps_clim_det double, crps_clim_prob double, crpss_vs_det double, crpss_vs_prob double, acc_mean double, rmse_mean double, spread_error_ratio double"
+    return points.sparkSession.read.schema(kinds).csv(path, header=True)
+
+
 def write_csv(table: DataFrame, path: str, order=("variable", "lead")) -> None:
     """A small table (a row per score) as one CSV file, in order."""
     by = [c for c in order if c in table.columns]

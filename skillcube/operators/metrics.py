@@ -21,7 +21,8 @@ def _sum(values: Column) -> Column:
 
 
 def complete(members: Column) -> Column:
-    return ~F.exists(members, lambda x: x.isNull())
+    """No member is missing: null, NaN or infinite."""
+    return ~F.exists(members, lambda x: ~C.finite(x))
 
 
 def apart(members: Column) -> Column:
@@ -35,7 +36,7 @@ def crps_from(members: Column, apart_: Column, truth: Column, fair: bool) -> Col
     m = F.size(members)
     near = _sum(F.transform(members, lambda x: F.abs(x - truth))) / m
     pairs = m * (m - 1) if fair else m * m
-    return F.when(complete(members) & truth.isNotNull() & (m > 0), F.when(m == 1, near).otherwise(near - apart_ / F.nullif(pairs, F.lit(0))))
+    return F.when(complete(members) & C.finite(truth) & (m > 0), F.when(m == 1, near).otherwise(near - apart_ / F.nullif(pairs, F.lit(0))))
 
 
 def crps(members: Column, truth: Column, fair: bool = False) -> Column:
@@ -68,7 +69,7 @@ def pair_scores(pairs: DataFrame, weight: str | None = "normalized", by=SCORE) -
     RMSEs differ by the square root of the mean cosine.
     """
     w = F.lit(1.0) if weight is None else C.lat_weight(F.col("lat"))
-    both = F.col("f").isNotNull() & F.col("o").isNotNull()
+    both = C.finite(F.col("f")) & C.finite(F.col("o"))
     keys = [*by] if weight is None else [*by, "lat"]
     s = pairs.groupBy(*keys).agg(
         F.count_if(both).alias("n"),
@@ -92,7 +93,7 @@ def ensemble_variance(members: Column) -> Column:
 def spread_error(points: DataFrame, by=SCORE) -> DataFrame:
     """sqrt((m + 1) / m * mean variance) over the RMSE of the ensemble mean; null without points or error."""
     rows = points.select(*by, F.size("members").alias("m"), ensemble_mean(F.col("members")).alias("mean"), ensemble_variance(F.col("members")).alias("var"), "truth")
-    rows = rows.where("mean is not null and truth is not null and var is not null")
+    rows = rows.where(C.finite(F.col("mean")) & C.finite(F.col("truth")) & C.finite(F.col("var")))
     s = rows.groupBy(*by).agg(F.max("m").alias("m"), F.avg("var").alias("var"), F.sqrt(F.avg(F.pow(F.col("mean") - F.col("truth"), 2))).alias("rmse"))
     return s.select(*by, (F.sqrt((F.col("m") + 1) / F.col("m") * F.col("var")) / F.nullif("rmse", F.lit(0.0))).alias("spread_error_ratio"))
 
@@ -103,7 +104,7 @@ def rank_histogram(points: DataFrame, by=SCORE) -> DataFrame:
     A truth that ties with t members counts 1 / (t + 1) in each of the ranks it may take: the expected
     counts of random tie-breaking, without its draw.
     """
-    rows = points.where(complete(F.col("members")) & F.col("truth").isNotNull())
+    rows = points.where(complete(F.col("members")) & C.finite(F.col("truth")))
     below = F.size(F.filter("members", lambda x: x < F.col("truth")))
     ties = F.size(F.filter("members", lambda x: x == F.col("truth")))
     spread = rows.select(*by, F.size("members").alias("m"), ties.alias("ties"), F.explode(F.sequence(below, below + ties)).alias("rank"))
@@ -113,15 +114,15 @@ def rank_histogram(points: DataFrame, by=SCORE) -> DataFrame:
 
 
 def event_probability(members: Column, threshold: float, comparison: str = "gt") -> Column:
-    """Share of members beyond the threshold."""
+    """Share of members beyond the threshold; missing ones are not."""
     if comparison not in ("gt", "lt"):
         raise ValueError(f"unknown comparison: {comparison!r}")
-    hit = (lambda x: x > threshold) if comparison == "gt" else (lambda x: x < threshold)
+    hit = (lambda x: C.nan_to_null(x) > threshold) if comparison == "gt" else (lambda x: x < threshold)
     return F.size(F.filter(members, lambda x: F.coalesce(hit(x), F.lit(False)))) / F.size(members)
 
 
 def event(truth: Column, threshold: float, comparison: str = "gt") -> Column:
-    return F.coalesce((truth > threshold) if comparison == "gt" else (truth < threshold), F.lit(False)).cast("double")
+    return F.coalesce((C.nan_to_null(truth) > threshold) if comparison == "gt" else (truth < threshold), F.lit(False)).cast("double")
 
 
 def bin_edges(bins: int) -> list[float]:
@@ -132,7 +133,7 @@ def bin_edges(bins: int) -> list[float]:
 def reliability_curve(rows: DataFrame, bins: int = 10, by=SCORE) -> DataFrame:
     """bin, center, observed, n from columns p (probability) and y (0 or 1); observed is null in empty bins."""
     at = sum(((F.col("p") >= e).cast("int") for e in bin_edges(bins)), F.lit(0))
-    got = rows.where("p is not null and y is not null").withColumn("bin", at)
+    got = rows.where(C.finite(F.col("p")) & C.finite(F.col("y"))).withColumn("bin", at)
     counts = got.groupBy(*by, "bin").agg(F.avg("y").alias("observed"), F.count(F.lit(1)).alias("c"))
     every = counts.select(*by).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     edges = np.linspace(0.0, 1.0, bins + 1)
@@ -146,7 +147,7 @@ def reliability_ranks(points: DataFrame, bins: int = 10, by=SCORE) -> DataFrame:
     nominal = [(i + 0.5) / bins for i in range(bins)]
     each = F.array(*[F.struct(F.lit(p).alias("nominal"), F.element_at(F.array_sort("members"), F.least(F.floor(F.lit(p) * m), m - 1).cast("int") + 1).alias("bar")) for p in nominal])
     rows = points.withColumn("q", F.explode(each))
-    return rows.groupBy(*by, F.col("q.nominal").alias("nominal")).agg(F.avg(F.coalesce(F.col("truth") <= F.col("q.bar"), F.lit(False)).cast("double")).alias("observed"))
+    return rows.groupBy(*by, F.col("q.nominal").alias("nominal")).agg(F.avg(F.coalesce(C.nan_to_null(F.col("truth")) <= C.nan_to_null(F.col("q.bar")), F.lit(False)).cast("double")).alias("observed"))
 
 
 def fair_crps_loss(points: DataFrame, by=SCORE) -> DataFrame:
@@ -186,7 +187,7 @@ def event_points(points: DataFrame, physical: DataFrame | None, events) -> DataF
             F.when(F.col("variable") == e.variable, F.struct(F.lit(e.name).alias("event"), event_probability(F.col("members"), e.threshold, e.comparison).alias("p"), event(F.col("truth"), e.threshold, e.comparison).alias("y")))
             for e in some
         ])
-        part = rows.where(F.col("truth").isNotNull() & F.col("variable").isin(*{e.variable for e in some})).select(F.explode(F.filter(each, lambda x: x.isNotNull())).alias("e")).select("e.*")
+        part = rows.where(C.finite(F.col("truth")) & F.col("variable").isin(*{e.variable for e in some})).select(F.explode(F.filter(each, lambda x: x.isNotNull())).alias("e")).select("e.*")
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no events")
