@@ -1,0 +1,175 @@
+"""Attention, pyramids and fitted interpolation against numpy."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from skillcube.operators import geometry, mesh
+
+
+def arrays(spark, rows, schema):
+    return spark.createDataFrame([tuple(x.tolist() if isinstance(x, np.ndarray) else x for x in r) for r in rows], schema)
+
+
+def softmax(s):
+    e = np.exp(s - s.max(0))
+    return e / e.sum(0)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_softmax_pool_is_stable(spark, parts):
+    rng = np.random.default_rng(0)
+    heads, width, rows = 2, 3, []
+    for g in range(4):
+        for _ in range(7):
+            rows.append((g, rng.choice([-700.0, 0.5, 700.0, 699.5], heads) + rng.normal(size=heads), rng.normal(size=heads * width)))
+    odd = [(0, None, np.ones(6)), (1, np.zeros(2), None), (2, np.array([math.nan, 1.0]), np.ones(6)), (9, None, np.ones(6)), (3, np.zeros(2), np.array([1, 1, 1, 1, 1, math.inf]))]
+    df = arrays(spark, rows + odd, "g int, s array<double>, v array<double>").repartition(3)
+    got = {r["g"]: r["v"] for r in mesh.softmax_pool(df, ["g"], "s", "v", heads, width, parts).collect()}
+    assert set(got) == {0, 1, 2, 3}
+    for g, v in got.items():
+        s, x = (np.array([r[k] for r in rows if r[0] == g]) for k in (1, 2))
+        want = np.concatenate([softmax(s[:, h]) @ x[:, h * width : (h + 1) * width] for h in range(heads)])
+        assert np.allclose(v, want, rtol=1e-10)
+
+
+def unit(lon, lat):
+    lo, la = np.radians(lon), np.radians(lat)
+    return np.stack([np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)], -1)
+
+
+def norm(x):
+    return x / np.sqrt((x * x).mean(-1, keepdims=True) + mesh.RMS_EPS)
+
+
+def test_attention_interpolation(spark):
+    rng = np.random.default_rng(1)
+    dim, heads, k = 4, 2, 3
+    w = mesh.Attention(rng.normal(size=(dim, 3)).tolist(), rng.normal(size=(2 * dim, dim)).tolist(), rng.normal(size=(dim, dim)).tolist(), heads)
+    src = [(i, float(rng.uniform(0, 360)), float(rng.uniform(-80, 80)), rng.normal(size=dim)) for i in range(12)]
+    to = [(i, float(rng.uniform(0, 360)), float(rng.uniform(-80, 80))) for i in range(5)]
+    a, b = arrays(spark, src, "id int, lon double, lat double, x array<double>"), spark.createDataFrame(to, "id int, lon double, lat double")
+    edges = geometry.knn(a.drop("x"), b, k).persist()
+    got = {r["id"]: r["x"] for r in mesh.attention_interpolate(edges, a, b, w).collect()}
+    near = {i: [r["from_id"] for r in edges.collect() if r["to_id"] == i] for i in range(5)}
+    edges.unpersist()
+    q_, kv_, o_ = (np.array(m) for m in (w.to_q, w.to_kv, w.to_o))
+    for i, lon, lat in to:
+        rel = unit(lon, lat) - np.array([unit(src[j][1], src[j][2]) for j in near[i]])
+        q = (rel / np.linalg.norm(rel, axis=1, keepdims=True)) @ q_.T
+        kv = norm(np.array([src[j][3] for j in near[i]])) @ kv_.T
+        out = []
+        for h in range(heads):
+            c = slice(h * 2, h * 2 + 2)
+            out.append(softmax((q[:, c] * kv[:, :dim][:, c]).sum(1) / 2**0.5) @ kv[:, dim:][:, c])
+        assert np.allclose(got[i], o_ @ np.concatenate(out), atol=1e-10)
+    with pytest.raises(ValueError):
+        mesh.attention_interpolate(edges, a, b, mesh.Attention(w.to_q, w.to_kv, w.to_o, 3))
+
+
+def turned(x, lon, lat, theta):
+    rates = theta ** (-2 * np.arange(len(x) // 4) / (len(x) // 2))
+    angle = np.concatenate([np.radians(lon) * rates, np.radians(lat) * rates])
+    z = (x[::2] + 1j * x[1::2]) * np.exp(1j * angle)
+    return np.stack([z.real, z.imag], -1).ravel()
+
+
+@pytest.mark.parametrize("theta", [None, 10_000.0])
+def test_block_attention(spark, theta):
+    rng = np.random.default_rng(2)
+    heads, width, block = 2, 8, 4
+    rows = [(p, float(rng.uniform(0, 360)), float(rng.uniform(-80, 80)), *(rng.normal(size=heads * width) for _ in range(3))) for p in [*range(10), 13]]
+    df = arrays(spark, rows, "pix long, lon double, lat double, q array<double>, k array<double>, v array<double>").repartition(3)
+    got = {r["pix"]: r["x"] for r in mesh.block_attention(df, block, heads, width, theta).collect()}
+    assert len(got) == len(rows)
+    turn = (lambda x, r: turned(x, r[1], r[2], theta)) if theta else (lambda x, r: x)
+    for r in rows:
+        seen = [o for o in rows if o[0] // block == r[0] // block]
+        for h in range(heads):
+            c = slice(h * width, h * width + width)
+            s = np.array([turn(r[3][c], r) @ turn(o[4][c], o) / width**0.5 for o in seen])
+            assert np.allclose(got[r[0]][c], softmax(s) @ np.array([o[5][c] for o in seen]), atol=1e-9)
+    with pytest.raises(Exception, match="more than 4"):
+        mesh.block_attention(df.unionByName(df), block, heads, width).collect()
+
+
+def test_pyramid(spark):
+    rng = np.random.default_rng(3)
+    values = [(i, "a", float(v)) for i, v in enumerate(rng.normal(size=192))]
+    df = spark.createDataFrame(values, "pix long, name string, value double").repartition(5)
+    means = mesh.pyramid(df, 2, ("name",))
+    plan = means._jdf.queryExecution().sparkPlan().toString() + means._jdf.queryExecution().executedPlan().toString()
+    got = {(r["level"], r["pix"]): r["mean"] for r in means.collect()}
+    x = np.array([v for _, _, v in values])
+    for level in range(3):
+        assert np.allclose([got[level, p] for p in range(192 // 4**level)], x.reshape(-1, 4**level).mean(1))
+        assert abs(np.mean([got[level, p] for p in range(192 // 4**level)]) - x.mean()) < 1e-12
+    assert "ENSURE_REQUIREMENTS" not in plan  # the one shuffle asked for serves all levels
+    skip = mesh.skips(means, ("name",)).persist()
+    field = skip.where("level = 2").select("name", "pix", F.col("skip").alias("value"))
+    for level in (1, 0):
+        field = mesh.upsample(field, skip.where(F.col("level") == level), ("name",))
+    back = {r["pix"]: r["value"] for r in field.collect()}
+    skip.unpersist()
+    assert np.allclose([back[i] for i in range(192)], x)
+    gaps = spark.createDataFrame([(0, 1.0), (1, None), (2, math.nan), (3, 3.0), (4, None)], "pix long, value double")
+    assert sorted((r["level"], r["pix"], r["mean"], r["n"]) for r in mesh.pyramid(gaps, 1).collect()) == [(0, 0, 1.0, 1), (0, 3, 3.0, 1), (1, 0, 2.0, 2)]
+    assert mesh.pyramid(gaps.limit(0), 1).count() == 0
+
+
+def test_linear_sampling(spark):
+    rng = np.random.default_rng(4)
+    fine, coarse = (geometry.healpix(spark, n) for n in (2, 1))
+    place = mesh.relative_places(fine, coarse, 4)
+    f, c = ({r["pix"]: unit(r["lon"], r["lat"]) for r in g.collect()} for g in (fine, coarse))
+    rel = np.array([np.concatenate([f[4 * p + i] - c[p] for i in range(4)]) for p in range(12)])
+    rel = (rel - rel.mean(0)) / (rel.std(0, ddof=1) + 1e-6)
+    got = {r["pix"]: r["rel"] for r in place.collect()}
+    assert np.allclose([got[p] for p in range(12)], rel, atol=1e-8)
+    x = rng.normal(size=(48, 2))
+    to_x, to_place = rng.normal(size=(3, 8)), rng.normal(size=(3, 12))
+    rows = arrays(spark, list(zip(range(47), x)), "pix long, x array<double>")
+    down = {r["pix"]: r["x"] for r in mesh.downsample_linear(rows, 4, to_x.tolist(), to_place.tolist(), place).collect()}
+    want = norm(x.reshape(12, 8) @ to_x.T + rel @ to_place.T)
+    assert sorted(down) == list(range(11)) and np.allclose([down[p] for p in range(11)], want[:11])
+    up_x, up_place, cut = rng.normal(size=(8, 3)), rng.normal(size=(8, 12)), arrays(spark, list(zip(range(48), x)), "pix long, x array<double>")
+    up = {r["pix"]: r["x"] for r in mesh.upsample_linear(arrays(spark, list(zip(range(12), want)), "pix long, x array<double>"), cut, 4, up_x.tolist(), up_place.tolist(), place).collect()}
+    both = norm((want @ up_x.T + rel @ up_place.T).reshape(48, 2) + x)
+    assert np.allclose([up[p] for p in range(48)], both)
+
+
+def test_fitted_weights(spark):
+    """Fitted on some waves they carry other waves better than inverse distance does, and give it back where nothing is fitted."""
+    points = geometry.lonlat_grid(spark, 20.0).select(F.col("cell_id").alias("id"), "lon", "lat")
+    grid = geometry.healpix(spark, 4).withColumnRenamed("pix", "id")
+    wave = lambda p, numbers: p.select("id", "lat", F.explode(F.array(*[F.struct(F.lit(f"{n}{f.__name__}").alias("name"), (f(n * F.radians("lon")) * F.cos(F.radians("lat"))).alias("value")) for n in numbers for f in (F.cos, F.sin)])).alias("w")).select("id", "lat", "w.*")
+    edges = geometry.knn(points, grid, 4).persist()
+    fields = lambda p, numbers: wave(p, numbers).drop("lat")
+    weights = mesh.fitted_weights(edges, fields(points, (1, 2, 4, 5)), fields(grid, (1, 2, 4, 5)), 4).persist()
+    assert weights.count() == 192
+    for number in (3,):
+        truth = wave(grid, (number,)).withColumnRenamed("value", "o")
+        fitted = mesh.apply_weights(edges, weights, fields(points, (number,)), ("name",)).withColumnRenamed("value", "f")
+        plain = geometry.interpolate(edges, fields(points, (number,)), by=("name",)).withColumnRenamed("value", "f")
+        a, b = (geometry.weighted_rmse(got.join(truth, ["id", "name"])).first()["rmse"] for got in (fitted, plain))
+        assert a < 0.5 * b
+    stiff = mesh.fitted_weights(edges, fields(points, (1,)), fields(grid, (1,)), 4, ridge=1e12)
+    one = {r["to_id"]: r["weights"] for r in stiff.collect()}
+    dist = {}
+    for r in edges.collect():
+        dist.setdefault(r["to_id"], {})[r["rank"]] = r["dist"]
+    for i, w in one.items():
+        d = np.array([1 / (dist[i][r] ** 2 + 1e-12) for r in (1, 2, 3, 4)])
+        assert np.allclose(w, d / d.sum(), atol=1e-6)
+    edges.unpersist(), weights.unpersist()
+
+
+def test_solving(spark):
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 5):
+        a = rng.normal(size=(n, n))
+        a, b = a @ a.T + np.eye(n), rng.normal(size=n)
+        df = spark.createDataFrame([(np.column_stack([a, b]).tolist(),)], "m array<array<double>>")
+        assert np.allclose(df.select(mesh.solved(F.col("m"), n).alias("x")).first()["x"], np.linalg.solve(a, b))
