@@ -34,6 +34,7 @@ ROWS = "variable string, level int, cell_id int, lat double, lon double, time ti
 CELLS = "variable string, ct int, cy int, cx int, pos int, value double"
 AXES = {"time": "time", "latitude": "lat", "lat": "lat", "longitude": "lon", "lon": "lon", "level": "level"}
 UNITS = {"microseconds": 1, "milliseconds": 10**3, "seconds": 10**6, "minutes": 60 * 10**6, "hours": 3600 * 10**6, "days": 86400 * 10**6}
+BATCH_ROWS = 32_768
 CALENDARS = ("standard", "gregorian", "proleptic_gregorian")
 
 
@@ -232,11 +233,15 @@ class ZarrReader(DataSourceReader):
         level, lat, lon = np.meshgrid(axes.get("level", np.zeros(1)), np.arange(len(axes["lat"])), np.arange(len(axes["lon"])), indexing="ij")
         n = level.size
         cell = (partition.lat_from + lat.ravel()) * partition.n_lon + partition.lon_from + lon.ravel()
-        fixed = [pa.array([array.name] * n), pa.array(level.ravel().astype(np.int32)) if "level" in axes else pa.nulls(n, pa.int32()), pa.array(cell.astype(np.int32)), pa.array(axes["lat"].astype(float)[lat.ravel()]), pa.array(axes["lon"].astype(float)[lon.ravel()])]
         names = ["variable", "level", "cell_id", "lat", "lon", "time", "value"]
-        for t, row in zip(axes["time"], values):
-            times = pa.array(np.full(n, t, "datetime64[us]"), pa.timestamp("us"))
-            yield pa.RecordBatch.from_arrays([*fixed, times, pa.array(row, from_pandas=True)], names=names)
+        step = max(1, BATCH_ROWS // n)
+        for lo in range(0, len(values), step):
+            some = values[lo : lo + step]
+            tiled = lambda a: np.tile(a, len(some))
+            levels = pa.array(tiled(level.ravel().astype(np.int32))) if "level" in axes else pa.nulls(some.size, pa.int32())
+            place = [pa.array(tiled(cell.astype(np.int32))), pa.array(tiled(axes["lat"].astype(float)[lat.ravel()])), pa.array(tiled(axes["lon"].astype(float)[lon.ravel()]))]
+            times = pa.array(np.repeat(axes["time"][lo : lo + step].astype("datetime64[us]"), n), pa.timestamp("us"))
+            yield pa.RecordBatch.from_arrays([pa.array([array.name] * some.size), levels, *place, times, pa.array(some.ravel(), from_pandas=True)], names=names)
 
 
 @dataclass
