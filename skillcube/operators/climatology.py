@@ -17,14 +17,15 @@ def doy_means(cube: DataFrame) -> DataFrame:
     return only(cube, "train").groupBy(*CELL, F.dayofyear("time").alias("doy")).agg(F.avg(value).alias("raw"))
 
 
-def smooth(raw: DataFrame, window: int) -> DataFrame:
-    """Circular centred mean over `window` neighbouring days that are present (mean of daily means).
+def smooth(raw: DataFrame, window: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Circular centred mean over `window` neighbouring days that are present (mean of daily means), per cell and `by`.
 
     The days of a cell are numbered in order; copies of those within the window of either end are put
     beyond the other end. An even window reaches one further back than forward.
     """
-    n = F.count(F.lit(1)).over(Window.partitionBy(*CELL))
-    at = F.row_number().over(Window.partitionBy(*CELL).orderBy("doy"))
+    keys = [*by, *CELL]
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy("doy"))
     rows = raw.withColumn("n", n).withColumn("at", at)
     copies = F.array(
         F.col("at"),
@@ -32,8 +33,8 @@ def smooth(raw: DataFrame, window: int) -> DataFrame:
         F.when(F.col("at") <= window, F.col("at") + F.col("n")),
     )
     ring = rows.withColumn("place", F.explode(copies)).where("place is not null")
-    near = Window.partitionBy(*CELL).orderBy("place").rowsBetween(-(window // 2), (window - 1) // 2)
-    return ring.withColumn("clim", F.avg("raw").over(near)).where("place between 1 and n").select(*CELL, "doy", "clim")
+    near = Window.partitionBy(*keys).orderBy("place").rowsBetween(-(window // 2), (window - 1) // 2)
+    return ring.withColumn("clim", F.avg("raw").over(near)).where("place between 1 and n").select(*keys, "doy", "clim")
 
 
 def fit(cube: DataFrame, window: int) -> DataFrame:
