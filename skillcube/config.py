@@ -78,6 +78,8 @@ class Config:
     members: int = 16
     member_source: str = "auto"
     noise_std: float = 0.1
+    grid: tuple[int, int] = (32, 64)
+    step_hours: int = 6
 
     @property
     def target_vars(self) -> tuple[str, ...]:

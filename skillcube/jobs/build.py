@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +63,38 @@ def samples(anomalies: DataFrame, norm: DataFrame, cfg: Config, split: str) -> D
     return windows.samples(w, cfg)
 
 
+@dataclass(frozen=True)
+class Data:
+    """What a fit reads: the grid in order of the samples' cells, channels, normalizer, and samples of the three splits."""
+
+    cell_id: np.ndarray
+    lat: np.ndarray
+    lon: np.ndarray
+    target_vars: tuple[str, ...]
+    channels: tuple[int, int]
+    norm: DataFrame
+    train: DataFrame
+    val: DataFrame
+    test: DataFrame
+
+    @property
+    def grid(self) -> tuple[int, int]:
+        """Latitudes and longitudes."""
+        return len(set(self.lat)), len(set(self.lon))
+
+    def cell_weights(self) -> np.ndarray:
+        """Cosine of each cell's latitude over its mean of the latitudes."""
+        return np.cos(np.radians(self.lat)) / np.cos(np.radians(sorted(set(self.lat)))).mean()
+
+
+def data(built: Built, cfg: Config) -> Data:
+    """The samples of what was built, with grid and normalizer; cells (a row each, of one grid) come to the driver."""
+    cells = built.anomalies.where(F.col("variable").isin(*cfg.input_vars)).select("cell_id", "lat", "lon").distinct().orderBy("lat", "lon").toArrow()
+    grid = [cells.column(c).to_numpy() for c in ("cell_id", "lat", "lon")]
+    parts = [samples(built.anomalies, built.norm, cfg, split) for split in ("train", "val", "test")]
+    return Data(*grid, cfg.target_vars, cfg.channels, built.norm, *parts)
+
+
 def shuffled(samples: DataFrame, seed: int, epoch: int = 0) -> DataFrame:
     """Samples in an order of their own for each (seed, epoch), as `place` (from 0), the same however they are stored.
 

@@ -278,7 +278,9 @@ def test_commands(spark, tmp_path):
     rows.select("variable", "cell_id", "lat", "lon", F.col("time").cast("timestamp").alias("time"), value.alias("value")).write.parquet(str(tmp_path / "cube"))
     (tmp_path / "cfg.json").write_text('{"surface_predictors": [], "level_predictors": [], "lead_weeks": [1, 2], "gate_leads": [1], "splits": {"train": [2005, 2008], "val": [2009, 2009], "test": [2010, 2010]}, "box": {"lat_min": 5.0, "lat_max": 40.0, "lon_min": 65.0, "lon_max": 100.0}}')
     base = ["--settings", str(tmp_path / "cfg.json"), "--out"]
-    cli.main(["build", "--cube", str(tmp_path / "cube"), *base, str(tmp_path / "data")])
+    with pytest.raises(ValueError, match="grid is 3 x 3"):
+        cli.main(["build", "--cube", str(tmp_path / "cube"), *base, str(tmp_path / "data")])
+    cli.main(["build", "--cube", str(tmp_path / "cube"), *base, str(tmp_path / "data"), "grid=[3,3]", "step_hours=24"])
     cli.main(["baselines", "--data", str(tmp_path / "data"), *base, str(tmp_path / "base")])
     table = spark.read.csv(str(tmp_path / "base/baselines"), header=True, inferSchema=True).collect()
     assert [(r["variable"], r["lead_week"]) for r in table] == [(v, k) for v in ("2m_temperature", PRECIPITATION) for k in (1, 2)]
