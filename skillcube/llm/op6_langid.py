@@ -21,8 +21,9 @@ rows teach as often as they occur. Ties go to the language first in order. Whate
 at in prediction; extra columns are carried, `lang_pred`, `score` and `known` give way to those of the result. An empty table gives no
 rows and teaches nothing.
 
-The score compares languages with each other, so it is never under one over their number. Whether a text is in any of
-them is told by `known`: the share of its n-grams that its language contains, against a bar set on labelled rows.
+The score compares languages with each other, so it is never under one over their number. Whether a text is in its language as a whole
+is told by `known`, the share of its n-grams that the language contains, against a bar set on labelled rows: text of two languages or of
+none stays under it.
 """
 
 from __future__ import annotations
@@ -46,8 +47,9 @@ GRAMS = (3, 4)
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
 CHUNK_CHARS = 200_000
-#: A text is in its language if it knows more than 0 and BAR_OF times the share that all but LOW of the language's labelled rows reach.
-BAR_OF, LOW = 0.5, 0.01
+#: A text is in its language if that knows BAR_OF times the share of its n-grams that it knows of all but LOW of its labelled rows, or is
+#: short of it by no more than CHANCE standard deviations of such a share among as many n-grams.
+BAR_OF, LOW, CHANCE = 0.85, 0.01, 2.0
 
 _U = np.uint64
 _LETTER: list[np.ndarray] = []
@@ -194,10 +196,10 @@ class Model:
     def __getstate__(self):
         return {**self.__dict__, "_held": None}
 
-    def judge(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Languages, scores and the corrected shares of the texts' n-grams that their languages contain."""
+    def judge(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Languages, scores, the corrected shares of the texts' n-grams that their languages contain, and the numbers of n-grams."""
         n = len(texts)
-        names, best, total, known = [UNKNOWN] * n, np.zeros(n), np.zeros(n), np.zeros(n)
+        names, best, total, known, size = [UNKNOWN] * n, np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
         for filters in self.slices():
             for lo, some in chunks(t.as_py() or "" for t in texts):
                 c, grams_ = filters.counts(some)
@@ -207,12 +209,13 @@ class Model:
                     if x > best[lo + i] or (x == best[lo + i] and name < names[lo + i]):
                         names[lo + i], best[lo + i], known[lo + i] = name, x, x / grams_[i]
                 total[lo : lo + len(some)] += c.sum(1)
+                size[lo : lo + len(some)] = grams_
         scores = np.divide(best, total, out=np.zeros(n), where=total > 0)
         if self.usual is not None:
             for i in np.flatnonzero(total == 0):
                 if any(map(str.isalpha, texts[i].as_py() or "")):
                     names[i], scores[i] = self.usual, self.usual_share
-        return names, scores, known
+        return names, scores, known, size
 
 
 def learn(rows: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> tuple[Model, DataFrame]:
@@ -274,29 +277,33 @@ def bars(sample: DataFrame, model: Model) -> DataFrame:
 
 
 def judged(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred, score and known."""
+    """docs with lang_pred, score, known and n_grams."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # names of files
 
-    @F.arrow_udf("lang_pred string, score double, known double")
+    results = ["lang_pred", "score", "known", "n_grams"]
+
+    @F.arrow_udf("lang_pred string, score double, known double, n_grams double")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            names, scores, known = held.value.judge(texts)
-            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores), pa.array(known)], ["lang_pred", "score", "known"])
+            names, *numbers = held.value.judge(texts)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), *map(pa.array, numbers)], results)
 
-    names = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "known")]
-    return docs.select(*names, of(F.col("text").cast("string")).alias("_p")).select(*names, "_p.lang_pred", "_p.score", "_p.known")
+    names = [F.col(f"`{c}`") for c in docs.columns if c not in results]
+    return docs.select(*names, of(F.col("text").cast("string")).alias("_p")).select(*names, *[f"_p.{c}" for c in results])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score."""
-    return judged(docs, model).drop("known")
+    return judged(docs, model).drop("known", "n_grams")
 
 
 def in_language(docs: DataFrame, model: Model, least: DataFrame) -> DataFrame:
     """The rows of docs whose text knows enough of its language's n-grams."""
     names = [F.col(f"`{c}`") for c in docs.columns]
     rows = judged(docs.select(F.struct(*names).alias("doc"), "text"), model).join(least.withColumnRenamed("lang", "_l"), F.col("lang_pred") == F.col("_l"), "left")
-    return rows.where((F.col("lang_pred") != UNKNOWN) & (F.col("known") > 0) & (F.col("known") >= F.coalesce("bar", F.lit(0.0)))).select("doc.*")
+    bar = F.coalesce("bar", F.lit(0.0))
+    least = bar - CHANCE * F.sqrt(bar * (1 - bar) / F.greatest(F.col("n_grams"), F.lit(1.0)))
+    return rows.where((F.col("lang_pred") != UNKNOWN) & (F.col("known") > 0) & (F.col("known") >= least)).select("doc.*")
 
 
 def held_out() -> Column:
