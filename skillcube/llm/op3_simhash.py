@@ -101,7 +101,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     # a carry between parts would name a cell whose counts differ by more: its pairs are compared too, and fail
     near = sizes.select(F.col("cell").alias("cell_a"), F.col("cuts").alias("cuts_a"), F.explode(offsets).alias("d")).withColumn("cell_b", F.col("cell_a") + F.col("d"))
     near = near.join(F.broadcast(sizes.select(F.col("cell").alias("cell_b"), F.col("cuts").alias("cuts_b"))), "cell_b")
-    pairs = near.select("cell_a", "cell_b", "cuts_b", F.explode(F.sequence(F.lit(0), F.col("cuts_a") - 1)).alias("cut_a"))
+    # a large cell has many tiles: its pairs of cells are dealt out before they list the first tile, and again before they list the second
+    near = near.repartition("cell_a", "cell_b")
+    pairs = near.select("cell_a", "cell_b", "cuts_b", F.explode(F.sequence(F.lit(0), F.col("cuts_a") - 1)).alias("cut_a")).repartition("cell_a", "cell_b", "cut_a")
     first = F.when(F.col("cell_a") == F.col("cell_b"), F.col("cut_a")).otherwise(0)
     pairs = pairs.select("cell_a", "cell_b", "cut_a", F.explode(F.sequence(first, F.col("cuts_b") - 1)).alias("cut_b"))
     left, right = (tiles.select(F.col("cell").alias(f"cell_{s}"), F.col("cut").alias(f"cut_{s}"), F.col("fps").alias(f"fps_{s}")) for s in "ab")
