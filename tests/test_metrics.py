@@ -27,7 +27,7 @@ def crps(spark, members, truth, fair=False):
 def test_crps_by_hand(spark):
     assert crps(spark, [[2] * 8], [2]) == [0.0]
     assert crps(spark, [[0.5], [-1], [3], [1]], [1, -2, 3, 0]) == [0.5, 1.0, 0.0, 1.0]
-    assert crps(spark, [[1, 3]], [2]) == [0.5] and crps(spark, [[1, 3]], [2], fair=True) == [0.0]
+    assert crps(spark, [[1, 9]], [6]) == [2.0] and crps(spark, [[1, 9]], [6], fair=True) == [0.0]
     assert crps(spark, [[1, None], [1, 2], []], [0, None, 1]) == [None, None, None]
 
 
