@@ -247,12 +247,12 @@ def _mesh(spark, step=30.0):
 
 
 def haversine_knn(spark, sf):
-    return _r(geometry.knn(_cells(spark, sf), _mesh(spark), 3).select("to_id", "rank", "dist"))
+    return _r(geometry.knn(_cells(spark, sf), _mesh(spark), 3, few=True).select("to_id", "rank", "dist"))
 
 
 def idw_interp(spark, sf):
     cells = _cells(spark, sf)
-    return _r(geometry.interpolate(geometry.knn(cells, _mesh(spark), 3), cells.select("id", "value")))
+    return _r(geometry.interpolate(geometry.knn(cells, _mesh(spark), 3, few=True), cells.select("id", "value")))
 
 
 def idw_roundtrip_rmse(spark, sf):
@@ -342,7 +342,7 @@ def sample_batches(spark, sf):
 def healpix_pixels(spark, sf):
     """The pixel centre nearest to each cell, and the pixel that holds it on a mesh four times coarser."""
     mesh = geometry.healpix(spark, 4)
-    near = geometry.knn(mesh.withColumnRenamed("pix", "id"), _cells(spark, sf), 1)
+    near = geometry.knn(mesh.withColumnRenamed("pix", "id"), _cells(spark, sf), 1, few=True)
     return _r(near.join(mesh, F.col("from_id") == F.col("pix")).select(F.col("to_id").alias("id"), "pix", geometry.coarser(F.col("pix"), 4).alias("parent"), "lon", "lat", "dist"))
 
 

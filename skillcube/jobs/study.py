@@ -50,7 +50,7 @@ def _spread(df: DataFrame, column: str, n: int = 4) -> list:
 
 def attention_interp(spark, sf):
     cells, to = _channels(spark, sf), _mesh(spark)
-    got = mesh.attention_interpolate(geometry.knn(cells, to, 3), cells, to, mesh.Attention(TO_Q, TO_KV, TO_O, 2))
+    got = mesh.attention_interpolate(geometry.knn(cells, to, 3, few=True), cells, to, mesh.Attention(TO_Q, TO_KV, TO_O, 2))
     return _r(got.select("id", *_spread(got, "x")))
 
 
@@ -97,7 +97,7 @@ def _waves(points: DataFrame) -> DataFrame:
 def fitted_interp(spark, sf):
     """Weights of the two nearest cells fitted on four waves, and the mean quantity that they give."""
     cells, to = _cells(spark, sf), _mesh(spark)
-    edges = geometry.knn(cells, to, 2)
+    edges = geometry.knn(cells, to, 2, few=True)
     got = mesh.fitted_weights(edges, _waves(cells), _waves(to), 2, RIDGE)
     value = mesh.apply_weights(edges, got, cells.select("id", "value"))
     return _r(got.select(F.col("to_id").alias("id"), F.element_at("weights", 1).alias("w1"), F.element_at("weights", 2).alias("w2")).join(value, "id"))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from skillcube.functions import columns as C
 
 #: Levels of the cubes that points are put in: edges of 4 (all of the sphere and more) down to a half kilometre.
-COARSEST, FINEST = -2, 13
+COARSEST, FINEST, STEP = -2, 13, 3
+#: Source points that every far target may be compared with.
+FEW_POINTS = 4_096
 #: Ring and longitude offset of the twelve base pixels of the HEALPix scheme (fixed values).
 RING, OFFSET = (2, 2, 2, 2, 3, 3, 3, 3, 4, 4, 4, 4), (1, 3, 5, 7, 0, 2, 4, 6, 1, 3, 5, 7)
 
@@ -61,13 +63,15 @@ def _cubes(points: DataFrame, level: Column) -> DataFrame:
     return points.withColumns({f"i{x}": F.floor(v[x] * scale).cast("int") for x in "xyz"})
 
 
-def knn(source: DataFrame, to: DataFrame, k: int) -> DataFrame:
+def knn(source: DataFrame, to: DataFrame, k: int, few: bool | None = None) -> DataFrame:
     """to_id, from_id, rank (from 1), dist (radians): the k nearest points of `source` for each of `to`.
 
     Both have id, lon, lat; ties go to the smaller id. Points lie in cubes of halving edges around their unit
     vectors. Where a target's own cube holds k source points, all of its nearest lie within that cube's
     diagonal, so in the cubes of twice the edge around it: the finest such level is searched, by equality of cubes. A
-    target without such a cube (few or far source points) searches the coarsest level, where the neighbours hold everything.
+    target without such a cube is far from the source points, or these are few. Few of them (FEW_POINTS; few: whether that is
+    known, else they are counted) are all looked at; many are searched from the whole sphere down (`_from_above`). Of source points at
+    one place only k can be among the nearest; the others are left aside first.
     """
     levels = range(COARSEST, FINEST + 1)
     cube = ["level", "ix", "iy", "iz"]
@@ -76,18 +80,61 @@ def knn(source: DataFrame, to: DataFrame, k: int) -> DataFrame:
         rows = points.withColumn("level", F.explode(F.array(*map(F.lit, of))))
         return _cubes(rows, F.col("level"))
 
+    place = Window.partitionBy("lon", "lat").orderBy("id")
+    source = source.select("id", "lon", "lat").withColumn("_k", F.row_number().over(place)).where(F.col("_k") <= k).drop("_k")
     many = at(source.select("lon", "lat"), levels[2:]).groupBy(*cube).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     targets = to.select(F.col("id").alias("to_id"), "lon", "lat")
     fine = at(targets, levels[2:]).join(many, cube).groupBy("to_id").agg((F.max("level") - 1).alias("level"))
-    asked = _cubes(targets.join(fine, "to_id", "left").withColumn("level", F.coalesce("level", F.lit(COARSEST))), F.col("level"))
+    levelled = targets.join(fine, "to_id", "left")
+    few = source.limit(FEW_POINTS + 1).count() <= FEW_POINTS if few is None else few
+    near = levelled.withColumn("level", F.coalesce("level", F.lit(COARSEST))) if few else levelled.where("level is not null")
+    asked = _cubes(near, F.col("level"))
     for x in "xyz":
         asked = asked.withColumn(f"i{x}", F.explode(F.array(*[F.col(f"i{x}") + d for d in (-1, 0, 1)])))
     held = at(source.select(F.col("id").alias("from_id"), "lon", "lat"), levels).select(*cube, "from_id", F.col("lon").alias("flon"), F.col("lat").alias("flat"))
-    d = asked.join(held, cube).withColumn("dist", C.haversine(F.col("flat"), F.col("flon"), F.col("lat"), F.col("lon")))
+    pairs = asked.join(held, cube).select("to_id", "lon", "lat", "from_id", "flon", "flat")
+    if not few:
+        pairs = pairs.unionByName(_from_above(source, levelled.where("level is null").drop("level"), k))
+    d = pairs.withColumn("dist", C.haversine(F.col("flat"), F.col("flon"), F.col("lat"), F.col("lon")))
     near = d.withColumn("rank", F.row_number().over(Window.partitionBy("to_id").orderBy("dist", "from_id")))
     return near.where(F.col("rank") <= k).select("to_id", "from_id", "rank", "dist")
 
 
+def _from_above(source: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """to_id, lon, lat, from_id, flon, flat: pairs that hold the k nearest of each target, however far they are.
+
+    A target keeps the cubes that may hold one of its k nearest: those no farther at their nearest than the cubes that surely hold k
+    are at their farthest. From level to level these give way to their parts, and the last ones to their points. So a target keeps about as many
+    cubes as the sphere around it with its k nearest cuts, whatever the number of source points.
+    """
+    parts = ["ix", "iy", "iz"]
+
+    def counts(level: int) -> DataFrame:
+        return _cubes(source.select("lon", "lat"), F.lit(level)).groupBy(*parts).agg(F.count(F.lit(1)).alias("n"))
+
+    def kept(rows: DataFrame, level: int) -> DataFrame:
+        edge = 2.0**-level
+        low = {x: F.col(f"i{x}") * F.lit(edge) for x in "xyz"}
+        inner = sum((F.pow(F.greatest(low[x] - F.col(f"_v.{x}"), F.col(f"_v.{x}") - low[x] - edge, F.lit(0.0)), 2) for x in "xyz"), F.lit(0.0))
+        outer = sum((F.pow(F.greatest(F.abs(F.col(f"_v.{x}") - low[x]), F.abs(F.col(f"_v.{x}") - low[x] - edge)), 2) for x in "xyz"), F.lit(0.0))
+        rows = rows.withColumn("_in", inner).withColumn("_out", outer)
+        sure = F.sum("n").over(Window.partitionBy("to_id").orderBy("_out", *parts).rowsBetween(Window.unboundedPreceding, 0))
+        bar = F.min(F.when(F.col("_sure") >= k, F.col("_out"))).over(Window.partitionBy("to_id"))
+        return rows.withColumn("_sure", sure).withColumn("_bar", bar).where(F.col("_bar").isNull() | (F.col("_in") <= F.col("_bar") + 1e-12)).select("to_id", "lon", "lat", "_v", *parts)
+
+    asked = targets.withColumn("_v", C.unit_vector(F.col("lat"), F.col("lon")))
+    front = kept(asked.join(F.broadcast(counts(COARSEST))), COARSEST)  # eight cubes hold the sphere
+    for level in range(COARSEST + STEP, FINEST + 1, STEP):
+        finer = counts(level)
+        for x in parts:
+            finer = finer.withColumn(f"_{x}", F.floor(F.col(x) / 2**STEP).cast("int"))
+        front = front.withColumnsRenamed({x: f"_{x}" for x in parts}).join(finer, [f"_{x}" for x in parts]).drop(*[f"_{x}" for x in parts])
+        front = kept(front, level)
+    last = range(COARSEST, FINEST + 1, STEP)[-1]
+    points = _cubes(source.select(F.col("id").alias("from_id"), "lon", "lat"), F.lit(last)).withColumnsRenamed({"lon": "flon", "lat": "flat"})
+    return front.join(points, parts).select("to_id", "lon", "lat", "from_id", "flon", "flat")
+
+
 def interpolate(edges: DataFrame, values: DataFrame, power: float = 2.0, eps: float = 1e-12, by=()) -> DataFrame:
     """id, value by inverse distance: weights 1 / (dist ** power + eps), normalized."""
     w = 1 / (F.pow("dist", F.lit(power)) + eps)
@@ -95,9 +142,9 @@ def interpolate(edges: DataFrame, values: DataFrame, power: float = 2.0, eps: fl
     return rows.groupBy(F.col("to_id").alias("id"), *by).agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
 
 
-def round_trip(points: DataFrame, mesh: DataFrame, values: DataFrame, k: int = 8, power: float = 2.0, by=()) -> DataFrame:
-    """Values taken from the points to the mesh and back."""
-    there, back = knn(points, mesh, k), knn(mesh, points, k)
+def round_trip(points: DataFrame, mesh: DataFrame, values: DataFrame, k: int = 8, power: float = 2.0, by=(), few: bool | None = True) -> DataFrame:
+    """Values taken from the points to the mesh and back; few: as in knn (both lie all over the sphere as a rule, so nothing is far unless they are few)."""
+    there, back = knn(points, mesh, k, few), knn(mesh, points, k, few)
     return interpolate(back, interpolate(there, values, power, by=by), power, by=by)
 
 

@@ -197,8 +197,8 @@ def angles(a, b):
     return np.arccos(np.clip(u @ v.T, -1, 1))
 
 
-@pytest.mark.parametrize("n,k", [(3, 5), (40, 3), (900, 8)])
-def test_neighbours_by_brute_force(spark, n, k):
+@pytest.mark.parametrize("n,k,few", [(3, 5, None), (40, 3, True), (900, 8, None), (3, 5, False), (40, 3, False), (900, 8, False)])
+def test_neighbours_by_brute_force(spark, n, k, few):
     """Even and clustered points, points at the poles and across the date line, fewer points than asked for."""
     r = np.random.default_rng(n)
     src = np.column_stack([r.uniform(0, 360, n), np.degrees(np.arcsin(r.uniform(-1, 1, n)))])
@@ -206,7 +206,7 @@ def test_neighbours_by_brute_force(spark, n, k):
     to = np.vstack([np.column_stack([r.uniform(-180, 180, 60), r.uniform(-90, 90, 60)]), src[:5], [[0, 90], [123, -90], [359.99, 0], [77.0, 28.0]]])
     frame = lambda p: spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "id long, lon double, lat double")
     got = {}
-    for row in geometry.knn(frame(src), frame(to), k).collect():
+    for row in geometry.knn(frame(src), frame(to), k, few).collect():
         got.setdefault(row["to_id"], {})[row["rank"]] = (row["from_id"], row["dist"])
     want = angles(to, src)
     for i in range(len(to)):
@@ -216,6 +216,26 @@ def test_neighbours_by_brute_force(spark, n, k):
         assert len({f for f, _ in got[i].values()}) == len(best)
 
 
+def test_far_neighbours_are_not_all_looked_at(spark):
+    """Sources on one side and targets on the other: each target meets a few of the sources, and copies at one place are no more than k."""
+    r = np.random.default_rng(0)
+    src = np.column_stack([r.uniform(60, 100, 3_000), r.uniform(5, 40, 3_000)])
+    src[:400] = [100.0, 40.0]
+    to = np.column_stack([r.uniform(180, 330, 40), r.uniform(-60, 60, 40)])
+    frame = lambda p: spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "id long, lon double, lat double")
+    pairs = geometry._from_above(frame(src[400:]), frame(to).withColumnRenamed("id", "to_id"), 4)
+    assert pairs.count() < 40 * 2_600 / 50
+    got = {}
+    for row in geometry.knn(frame(src), frame(to), 4, few=False).collect():
+        got.setdefault(row["to_id"], {})[row["rank"]] = (row["dist"], row["from_id"])
+    want = angles(to, src)
+    for i in range(40):
+        order = np.lexsort((np.arange(3_000), np.round(want[i], 9)))[:4]
+        assert np.allclose([got[i][j + 1][0] for j in range(4)], want[i][order], atol=1e-7)
+        if order[0] < 400:
+            assert [got[i][j + 1][1] for j in range(4)] == [0, 1, 2, 3]
+
+
 def test_published_loss_of_the_full_grid(spark):
     """The waves' round-trip error over their range in the evaluation box, on the 5.625-degree grid."""
     pts = geometry.points_of(spark, None)
