@@ -4,7 +4,7 @@ Rows are dealt out by ranges of (key, hash of the text), sorted, encoded and str
 holds one shard at most, whatever key repeats. A file gets a name of its own per attempt; the manifest, a table that Spark
 commits, says which files count. Null texts have no ids but the end id. Rows without a key come
 first; equal keys stay apart as records of one index entry of each file that has some (in order of a hash of the text, then
-the text). A very long text is one record and may exceed a file's usual size. Extra columns are left aside. An empty table
+the text); rows equal in key and text stay in one range, which streams them into as many files as they need. A very long text is one record and may exceed a file's usual size. Extra columns are left aside. An empty table
 gives an empty manifest.
 
 `lookup` deals keys out by ranges, finds a key's files by binary search in the files' sorted key ranges, and reads of a file its index,

@@ -12,7 +12,8 @@ that short and equal in part: see `likeness`), else 0; equal fingerprints have l
 Null texts are empty: their fingerprint has empty signatures, which equal each other only. Texts of few distinct windows (one
 word repeated) have few triggers and are cut by length. Very long texts are hashed in pieces of PIECE_BYTES. Documents
 are put in order of descending id (nulls last, equal ids by a hash of the text) by ranges, with the first
-document of a range sent to the one before as well, so texts move once. Equal rows are each other's next. Extra columns are left
+document of a range sent to the one before as well, so texts move once. Equal rows are each other's next; rows equal in id and text
+stay in one range, which streams them, so many of them make a task longer but hold no more memory. Extra columns are left
 aside. An empty table gives no rows.
 """
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import io
 import math
+import os
 import random
 import re
 import time
@@ -13,9 +14,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skillcube.llm import op2_warc, op5_chat, op11_runs, op12_reversed, op13_quality
+from skillcube.llm import op1_toxicity, op2_warc, op5_chat, op6_langid, op11_runs, op12_reversed, op13_quality
 from skillcube.llm.common import with_range
 
+from .test_data_ops import check_packing, library_ids
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -267,3 +270,147 @@ def test_ranges_by_many_bounds(spark):
     got = with_range(spark.createDataFrame(rows, "k long, h long"), ["k", "h"], bounds).collect()
     order = lambda t: (t[0] is not None, t[0] or 0, t[1])
     assert all(r["bucket"] == sum(order(b) <= order((r["k"], r["h"])) for b in bounds[1:]) for r in got)
+
+
+def toxic_kept(spark, docs, sf):
+    """Rows that the plain sum of the model's weights over a text's features keeps."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    hashes, weights, bias = op1_toxicity.fit(docs.select("doc_id", "text").where(~op1_toxicity.held_out()), labels)
+    weight, features = dict(zip(hashes.tolist(), weights.tolist())), op1_toxicity.Features()
+    odds = lambda t: bias + sum(weight.get(h, 0.0) for h in set(features.of(t).tolist()))
+    bar = math.log(op1_toxicity.THRESHOLD / (1 - op1_toxicity.THRESHOLD))
+    return [r for r in docs.collect() if odds(r["text"]) < bar]
+
+
+def grams(t):
+    words = [f" {w} " for w in "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()]
+    return [w[i : i + n] for n in (3, 4) for w in words for i in range(len(w) - n + 1)]
+
+
+def language_margins(rows):
+    """How far each row's known share is over what its language asks, with sets in place of filters; None: in no language."""
+    o = op6_langid
+    by = collections.defaultdict(list)
+    for r in rows:
+        if r["lang"] is not None and r["text"] is not None:
+            by[r["lang"]].append(set(grams(r["text"])))
+    share = {lang: {g: n / (len(sets) + o.FEW_ROWS) for g, n in collections.Counter(g for s in sets for g in s).items()} for lang, sets in by.items()}
+    best = collections.Counter()
+    for s in share.values():
+        best |= collections.Counter(s)
+    held = {lang: {g for g, v in s.items() if v >= o.MIN_SHARE and v >= best[g] * o.OF_BEST} for lang, s in sorted(share.items())}
+
+    def judged(t):
+        g = grams(t)
+        n = {lang: sum(x in k for x in g) for lang, k in held.items()}
+        top = max(n, key=n.get)
+        return (top, n[top] / len(g), len(g)) if g and n[top] else (None, 0.0, len(g))
+
+    right = collections.defaultdict(list)
+    for r in rows:
+        lang, known, _ = judged(r["text"])
+        if lang is not None and lang == r["lang"]:
+            right[lang].append(known)
+    bars = {lang: o.BAR_OF * sorted(v)[max(0, math.ceil(o.LOW * len(v)) - 1)] for lang, v in right.items()}
+    out = []
+    for r in rows:
+        lang, known, n = judged(r["text"])
+        bar = bars.get(lang, 0.0)
+        out.append(None if lang is None else known - (bar - o.CHANCE * math.sqrt(bar * (1 - bar) / n)))
+    return out
+
+
+def one_of_each(rows, least=0.8):
+    """The smallest doc_id of each group that five-word similarity links, by all pairs."""
+    def shingled(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, parent = [shingled(r["text"]) for r in rows], list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for j, b in enumerate(sets):
+        for i in range(j):
+            both = len(sets[i] & b)
+            if (not sets[i] and not b) or (both and both >= least * (len(sets[i]) + len(b) - both)):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    first = {}
+    for i, r in enumerate(rows):
+        first.setdefault(root(i), []).append(r["doc_id"])
+    return sorted(min(v) for v in first.values())
+
+
+def targets_of(sizes):
+    """Words asked of each source (in order of code point, null last) by weights of 5, 2, 1, at most twice its size."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, left, open_ = {}, 1.5 * sum(sizes.values()), [s for s in names if sizes[s]]
+    while open_:
+        total = sum(weight[s] for s in open_)
+        full = [s for s in open_ if left * weight[s] / total > 2 * sizes[s]]
+        if not full:
+            return target | {s: left * weight[s] / total for s in open_}
+        for s in full:
+            target[s] = 2 * sizes[s]
+        left, open_ = left - sum(2 * sizes[s] for s in full), [s for s in open_ if s not in full]
+    return target
+
+
+def test_pipeline_by_brute_force(spark, tokenizer):
+    """Each stage of the whole chain over what the last one kept, against plain Python."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    ids = lambda rows: sorted(r["doc_id"] for r in rows)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    run = {}
+    for name, stage in corpus_pipeline.STAGES:
+        run[name] = (docs, stage(spark, docs, sf).persist())
+        docs = run[name][1]
+    before, after = run["toxicity"]
+    assert ids(after.collect()) == ids(toxic_kept(spark, before, sf)) and after.count() < before.count()
+    before, after = (df.collect() for df in run["language"])
+    margins = dict(zip([r["doc_id"] for r in before], language_margins(before)))
+    kept = set(ids(after))
+    assert all((i in kept) == (m is not None and m > 0) for i, m in margins.items() if m is None or abs(m) > 0.02) and sum(m is not None and abs(m) <= 0.02 for m in margins.values()) < 5
+    before, after = (df.collect() for df in run["near_dedup"])
+    assert ids(after) == one_of_each(before) and len(after) < len(before)
+    before, after = (df.collect() for df in run["mixing"])
+    held, taken, sizes, got = {}, collections.defaultdict(collections.Counter), collections.Counter(), collections.Counter()
+    for r in before:
+        held[r["doc_id"]] = (r["source"], collections.Counter(WORD.findall(r["text"] or "")))
+        sizes[r["source"]] += len(WORD.findall(r["text"] or ""))
+    for r in after:
+        taken[r["doc_id"]].update(WORD.findall(r["text"]))
+        got[r["source"]] += len(WORD.findall(r["text"]))
+    assert all(n <= 2 * held[i][1][w] for i, c in taken.items() for w, n in c.items())
+    assert all(abs(got[s] - t) <= max(2, 0.01 * t) for s, t in targets_of(sizes).items())
+    before, after = (df.collect() for df in run["packing"])
+    lengths = collections.Counter()
+    for r, tokens in zip(before, library_ids(tokenizer, [r["text"] for r in before])):
+        lengths[r["doc_id"]] += len(tokens) + 1
+    packed = collections.Counter()
+    for r in after:
+        packed[r["doc_id"]] += r["length"]
+    assert packed == lengths and check_packing(after, 2048) <= 1.1 * sum(lengths.values()) / 2048 + 1
+    for before, after in run.values():
+        after.unpersist()
+
+
+def test_language_stage_rejects_mixed_texts(spark):
+    """Texts half in another language go, whole and short ones stay."""
+    rng = random.Random(3)
+    syllables = {"en": ["th", "ing", "er", "and"], "fr": ["eau", "oux", "ré", "que"], "de": ["sch", "ung", "keit", "ß"]}
+    some = lambda lang, n: " ".join("".join(rng.choices(syllables[lang], k=rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, some(lang, rng.randint(3, 80)), lang) for i in range(600) for lang in [rng.choice(["en", "fr", "de"])]]
+    mixed = [(1_000 + i, some("en", 40) + " " + some("fr", 40), "en") for i in range(5)] + [(1_100, "!!! 123", "en"), (1_101, None, "fr")]
+    docs = spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string")
+    model, sample = op6_langid.learn(docs)
+    kept = {r["doc_id"] for r in op6_langid.in_language(docs, model, op6_langid.bars(sample, model)).collect()}
+    assert not kept & {r[0] for r in mixed} and len(kept) >= 0.99 * len(rows)
