@@ -1,7 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word features.
 
 Features of a text, each present or not, hashed to 64 bits: words, pairs of neighbours, pairs with one
-word between (skip-grams), and the first 4, 5 and 6 letters of longer words. The model is fitted on at
+word between (skip-grams), the first 4, 5 and 6 letters of longer words, and those of these beginnings that stand at
+two words or more and at an OFTEN-th of the text's words (one such word may be chance in a long text). The model is fitted on at
 most about TRAIN_PER_CLASS labelled rows and TRAIN_CHARS characters of each class (those with the smallest hash of the id), in one task:
 per-coordinate learning rates, and an L1 penalty that leaves most weights at zero. What is broadcast is
 the list of (hash, weight) that remain, which those bounds bound: a feature that counts occurs in MIN_DOCS of these rows. The
@@ -28,16 +29,17 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 TRAIN_PER_CLASS, TRAIN_CHARS, MIN_DOCS = 5_000, 64_000_000, 3
-ALPHA, BETA, L1, L2, EPOCHS = 0.15, 1.0, 1.5, 0.1, 4
+ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 8.0, 0.1, 4
 THRESHOLD = 0.3
 BATCH = 500  # rows of an Arrow batch in fitting, where a row holds a text or its features
 FOLDS, HELD_OUT = 4, 2
 WORD = re.compile(r"[^\W_]+")
 WORD_CACHE = 200_000
 STEMS = (4, 5, 6)
+OFTEN = 0.005
 
 _U = np.uint64
-_PAIR, _SKIP = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
+_PAIR, _SKIP, _OFTEN = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
 
 
 class Features:
@@ -81,7 +83,11 @@ class Features:
             pairs = (one[:-1] * _PAIR) ^ (one[1:] >> _U(1))
             skips = (one[:-2] * _SKIP) ^ (one[2:] >> _U(1))
         stems = h[:, 1:].ravel()
-        return np.concatenate([one, pairs, skips, stems[stems != 0]])
+        stems = stems[stems != 0]
+        kept, n = np.unique(stems, return_counts=True)
+        with np.errstate(over="ignore"):
+            often = kept[n >= max(2, OFTEN * len(words))] * _OFTEN
+        return np.concatenate([one, pairs, skips, kept, often])
 
 
 def fit_ftrl(features: list[np.ndarray], labels: np.ndarray, alpha=ALPHA, beta=BETA, l1=L1, l2=L2, epochs=EPOCHS):
