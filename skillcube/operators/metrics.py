@@ -108,9 +108,10 @@ def rank_histogram(points: DataFrame, by=SCORE) -> DataFrame:
     below = F.size(F.filter("members", lambda x: x < F.col("truth")))
     ties = F.size(F.filter("members", lambda x: x == F.col("truth")))
     spread = rows.select(*by, F.size("members").alias("m"), ties.alias("ties"), F.explode(F.sequence(below, below + ties)).alias("rank"))
-    counts = spread.groupBy(*by, "rank").agg(F.sum(1 / (F.col("ties") + 1)).alias("c"))
-    bins = spread.groupBy(*by).agg(F.max("m").alias("m")).select(*by, F.explode(F.sequence(F.lit(0), "m")).alias("rank"))
-    return bins.join(counts, [*by, "rank"], "left").select(*by, "rank", F.coalesce("c", F.lit(0.0)).alias("count"))
+    counts = spread.groupBy(*by, "rank").agg(F.sum(1 / (F.col("ties") + 1)).alias("c"), F.max("m").alias("m"))
+    whole = counts.groupBy(*by).agg(F.max("m").alias("m"), F.map_from_entries(F.collect_list(F.struct("rank", "c"))).alias("got"))  # m + 1 ranks
+    filled = F.transform(F.sequence(F.lit(0), "m"), lambda k: F.struct(k.alias("rank"), F.coalesce(F.try_element_at("got", k), F.lit(0.0)).alias("count")))
+    return whole.select(*by, F.explode(filled).alias("r")).select(*by, "r.rank", "r.count")
 
 
 def event_probability(members: Column, threshold: float, comparison: str = "gt") -> Column:
