@@ -124,6 +124,38 @@ def _of_arrays(f, n: int):
     return kinds[n]
 
 
+WHITE = tuple(bytes([c]) for c in b" \t\n\v\f\r")
+
+
+def pieces(text: bytes, size: int = 1 << 20):
+    """A text in pieces of about `size` bytes, cut at ASCII white space: their words are the text's."""
+    at = 0
+    while len(text) - at > size:
+        cut = max(text.rfind(c, at, at + size) for c in WHITE)
+        if cut <= at:
+            cut = min((x for c in WHITE if (x := text.find(c, at + 1)) >= 0), default=len(text))
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+def window_slots(ids: np.ndarray, width: int, of: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the windows of `width` ids, down to about eight times as many values as there are windows (16 million at most), for counting.
+
+    of: a number of each window that its hash is to depend on. Equal windows share a slot; a slot may hold others too.
+    """
+    n = max(0, len(ids) - width + 1)
+    key = np.zeros(n, np.uint64) if of is None else of[:n].astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(width):
+            key ^= key >> np.uint64(29)
+            key *= np.uint64(0x9E3779B97F4A7C15)
+            key += ids[k : k + n].astype(np.uint64)
+        key *= np.uint64(0xD6E8FEB86659FD93)
+    key >>= np.uint64(64 - min(24, n.bit_length() + 3))
+    return key.astype(np.int32)
+
+
 def slices(batches, rows: int = 500):
     """Arrow batches cut into short ones, so that few texts at a time become Python strings."""
     for batch in batches:

@@ -12,7 +12,7 @@ no window that occurs so often are in no run, nor do they extend one. Counting a
 This leaves out no run of any length and period (`window_counts`), and it is why ordinary prose costs little.
 
 Words are `ASCII_WORD` matches of the whole text. Null and empty texts have no words, no runs and an empty collapsed text.
-A very long text is handled by its task as a whole, in some 30 bytes a word. Repeated rows get equal results, each its own. Extra
+A very long text is handled by its task as a whole, numbered piece by piece: some 70 bytes a word. Repeated rows get equal results, each its own. Extra
 columns are carried; `runs` and `collapsed` give way to those of the result. An empty table gives no rows.
 
 `query` plants periodic tails by doc_id as its contract says (a null id plants none).
@@ -31,12 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from .common import ASCII_WORD, table
+from .common import ASCII_WORD, pieces, table, window_slots
 
 MIN_LENGTH, MIN_EXPONENT = 6, 4
 WIDTH, ROUNDS = 3, 6
-CHUNK_BYTES = 1_000_000
-_U = np.uint64
+CHUNK_BYTES, PIECE_WORDS = 1_000_000, 1 << 18
 
 
 def window_counts(min_length: int, min_exponent: int) -> tuple[int, int]:
@@ -50,28 +49,24 @@ def window_counts(min_length: int, min_exponent: int) -> tuple[int, int]:
 
 
 def stretches(ids: np.ndarray, starts: np.ndarray, width: int, least: int) -> list[tuple[int, int]]:
-    """Places [lo, hi) of ids in which all runs are. starts: where texts begin. Windows that share a hash count as one, which cuts less."""
-    piece = np.zeros(len(ids), np.int64)
+    """Places [lo, hi) of ids in which all runs are. starts: where texts begin. Windows are counted by hash: those that share one cut less."""
+    piece = np.zeros(len(ids), np.int32)
     piece[starts[starts < len(ids)]] = 1
-    piece, at, left = np.cumsum(piece), np.arange(len(ids)), len(ids) + 1
+    piece, at, left = np.cumsum(piece, dtype=np.int32), np.arange(len(ids), dtype=np.int32), len(ids) + 1
     for _ in range(ROUNDS):
         if len(at) < width or len(at) >= left:
             break
         left = len(at) * 0.95
         last = len(at) - width + 1
         same = (at[width - 1 :] - at[:last] == width - 1) & (piece[width - 1 :] == piece[:last])
-        key = piece[:last].astype(_U)
-        with np.errstate(over="ignore"):
-            for k in range(width):
-                key = (key ^ (key >> _U(29))) * _U(0x9E3779B97F4A7C15) + ids[at[k : last + k]].astype(_U)
-        inside = np.flatnonzero(same)
-        _, which, n = np.unique(key[inside], return_inverse=True, return_counts=True)
+        slot = window_slots(ids[at], width, piece)
+        often = same & (np.bincount(slot[same], minlength=1)[np.where(same, slot, 0)] >= least)
         kept = np.zeros(len(at), bool)
         for k in range(width):
-            kept[inside[n[which] >= least] + k] = True
+            kept[k : last + k] |= often
         at, piece = at[kept], piece[kept]
         if len(at):
-            piece = np.cumsum(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(piece) != 0)]))
+            piece = np.cumsum(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(piece) != 0)]), dtype=np.int32)
     if not len(at):
         return []
     first = np.flatnonzero(np.concatenate([[True], np.diff(piece) != 0]))
@@ -93,28 +88,38 @@ def lyndon_array(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     group = array("i", group.tobytes())
     before, after = np.arange(-1, n - 1, dtype=np.int32), np.arange(1, n + 1, dtype=np.int32)
     before[starts], after[starts[1:] - 1] = -1, n
-    before, after = array("i", before.tobytes()), array("i", after.tobytes())
+    before, after, order = array("i", before.tobytes()), array("i", after.tobytes()), array("i", order.astype(np.int32).tobytes())
     members: list = [None] * groups
     size, lower, upper = [1] * groups, list(range(-1, groups - 1)), list(range(1, groups + 1))
-    out = np.zeros(n, np.int64)
+    out = array("i", bytes(4 * n))
     g = groups - 1
     while g >= 0:
-        mine = members[g] if members[g] is not None else order[cuts[g] : cuts[g + 1]].tolist()
+        mine = members[g] if members[g] is not None else order[cuts[g] : cuts[g + 1]]
         members[g] = ()
-        mine = [s for s in mine if group[s] == g]
-        handed: dict[int, int] = {}
-        for s in mine:  # ascending, so that `before` is never of this group
+        handed, how_often, held, length = array("i"), array("i"), -1, size[g]
+        for s in mine:  # ascending, so that `before` is never of this group, and ascends
+            if group[s] != g:
+                continue
+            out[s] = length
             b, a = before[s], after[s]
             if a < n:
                 before[a] = b
             if b >= 0:
                 after[b] = a
-                handed[b] = handed.get(b, 0) + 1
-        out[mine] = size[g]
+                if b == held:
+                    how_often[-1] += 1
+                else:
+                    handed.append(b)
+                    how_often.append(1)
+                    held = b
         if handed:
-            parts: dict[tuple[int, int], list[int]] = {}
-            for p, times in handed.items():
-                parts.setdefault((group[p], times), []).append(p)
+            parts: dict[tuple[int, int], array] = {}
+            for p, times in zip(handed, how_often):
+                key = group[p], times
+                if key in parts:
+                    parts[key].append(p)
+                else:
+                    parts[key] = array("i", (p,))
             # a prefix followed by more repeats of this group's is greater: the most repeats stand right below the next group
             for h, times in sorted(parts, reverse=True):
                 new, above, some = len(size), upper[h], parts[h, times]
@@ -127,7 +132,7 @@ def lyndon_array(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
                     group[p] = new
                 # the next one, of fewer repeats, goes between h and this
         g = lower[g]
-    return out
+    return np.frombuffer(out, np.int32).astype(np.int64)
 
 
 def _forward(w: np.ndarray, i: int, j: int, hi: int) -> int:
@@ -181,12 +186,17 @@ def runs_of(words: np.ndarray, starts: np.ndarray, min_length: int = MIN_LENGTH,
     return found
 
 
+def numbered(text: bytes, number: dict[bytes, int]) -> np.ndarray:
+    """Numbers of a text's words."""
+    return np.concatenate([np.fromiter(map(number.__getitem__, w), np.int32, len(w)) for p in pieces(text) for w in (p.split(),)])
+
+
 def detect_texts(texts: list[bytes], min_length: int = MIN_LENGTH, min_exponent: int = MIN_EXPONENT) -> tuple[list[list[tuple[int, int, int]]], list[bytes]]:
     """Runs of each text, by start and period, and the texts without what a run repeats, words joined by one space."""
     number: dict[bytes, int] = defaultdict(count().__next__)
-    words = [t.split() for t in texts]
-    starts = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
-    ids = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in words)])
+    ids_of = [numbered(t, number) for t in texts]
+    starts = np.concatenate([[0], np.cumsum([len(w) for w in ids_of])]).astype(np.int64)
+    ids = np.concatenate(ids_of) if ids_of else np.zeros(0, np.int32)
     runs: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     places = stretches(ids, starts, *window_counts(min_length, min_exponent))
     if places:
@@ -198,15 +208,17 @@ def detect_texts(texts: list[bytes], min_length: int = MIN_LENGTH, min_exponent:
             place = int(lo[s]) + start - int(at[s])
             t = int(np.searchsorted(starts, place, "right")) - 1
             runs[t].append((place - int(starts[t]), length, period))
-    out = []
-    for w, mine in zip(words, runs):
+    names, out = list(number), []
+    for w, mine, text in zip(ids_of, runs, texts):
         mine.sort(key=lambda r: (r[0], r[2]))
-        if mine:
-            keep = np.ones(len(w), bool)
-            for start, length, period in mine:
-                keep[start + period : start + length] = False
-            w = [w[i] for i in np.flatnonzero(keep)]
-        out.append(b" ".join(w))
+        if not mine and len(text) <= CHUNK_BYTES:
+            out.append(b" ".join(text.split()))
+            continue
+        keep = np.ones(len(w), bool)
+        for start, length, period in mine:
+            keep[start + period : start + length] = False
+        w = w[keep]
+        out.append(b" ".join(b" ".join(map(names.__getitem__, w[lo : lo + PIECE_WORDS].tolist())) for lo in range(0, len(w), PIECE_WORDS)))
     return runs, out
 
 

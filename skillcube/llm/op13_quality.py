@@ -14,7 +14,7 @@ A group with under MIN_ROWS rows joins the other small sources of its language,
 still small get no verdict but the base rule's. Estimates of up to BROADCAST_GROUPS groups are broadcast, of more joined by shuffle.
 
 Null and empty texts have no words and fail the base rule. A null lang or source is a value like any other. A very long text is counted by
-its task as a whole. Repeated rows count as often as they occur and get equal verdicts. Columns are carried but for `text` (carried
+its task as a whole, its words piece by piece. Repeated rows count as often as they occur and get equal verdicts. Columns are carried but for `text` (carried
 with keep_text); those with the names of results give way to them. An empty table gives no rows.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import table, written
+from .common import pieces, table, window_slots, written
 
 MIN_WORDS, MOST_REPEATED_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
@@ -68,8 +68,7 @@ def statistics_of(texts: list[bytes]) -> np.ndarray:
     """STATS of each text, a row each."""
     out, ids, at = np.zeros((len(texts), len(STATS)), np.int64), [], 0
     for row, t in zip(out, texts):
-        words = t.split()
-        row[0], row[1], row[2] = len(words), len(b"".join(words).decode()), len(t) - len(t.translate(None, SYMBOLS))
+        row[2] = len(t) - len(t.translate(None, SYMBOLS))
         seen: set[bytes] = set()
         lines = 0
         for line in t.split(b"\n"):
@@ -78,21 +77,31 @@ def statistics_of(texts: list[bytes]) -> np.ndarray:
                 seen.add(line)
         row[3] = lines - len(seen)
         number = defaultdict(count(at).__next__)  # texts share no number, so no window of two texts stands twice
-        ids.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+        for piece in pieces(t):
+            words = piece.split()
+            row[0] += len(words)
+            row[1] += len(b"".join(words).decode())
+            ids.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
         at += len(number)
-    w = np.concatenate([np.zeros(0, np.int64), *ids])
+    w = np.concatenate([np.zeros(0, np.int32), *ids])
     if len(w) >= 3:
-        _, pair, n = np.unique(w[:-1] * at + w[1:], return_inverse=True, return_counts=True)
-        twice = n[pair] >= 2
-        some = np.flatnonzero(twice[:-1] & twice[1:])
-        _, which, n = np.unique(pair[some] * at + w[some + 2], return_inverse=True, return_counts=True)
-        repeated = np.zeros(len(w), bool)
-        for k in range(3):
-            repeated[some[n[which] >= 2] + k] = True
-        out[:, 4] = np.bincount(np.repeat(np.arange(len(texts)), out[:, 0])[repeated], minlength=len(texts))
+        out[:, 4] = np.bincount(np.repeat(np.arange(len(texts)), out[:, 0])[repeated_windows(w)], minlength=len(texts))
     return out
 
 
+def repeated_windows(w: np.ndarray) -> np.ndarray:
+    """Whether each place is in a window of three numbers that stands twice or more: windows alone in their slot don't, the others are compared."""
+    slot = window_slots(w, 3)
+    some = np.flatnonzero(np.bincount(slot)[slot] >= 2)
+    wide = w.astype(np.int64) if len(some) else w
+    pair = np.unique(wide[some] * (int(w.max()) + 1) + wide[some + 1], return_inverse=True)[1]
+    _, which, n = np.unique(pair * (int(w.max()) + 1) + wide[some + 2], return_inverse=True, return_counts=True)
+    inside = np.zeros(len(w), bool)
+    for k in range(3):
+        inside[some[n[which] >= 2] + k] = True
+    return inside
+
+
 def statistics(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """docs with STATS in place of text (or beside it)."""
     names = [c for c in docs.columns if c not in (*STATS, *(() if keep_text else ("text",)))]

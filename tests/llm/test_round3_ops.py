@@ -8,6 +8,7 @@ import os
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -15,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skillcube.llm import op1_toxicity, op2_warc, op5_chat, op6_langid, op11_runs, op12_reversed, op13_quality
-from skillcube.llm.common import with_range
+from skillcube.llm.common import pieces, with_range
 
 from .test_data_ops import check_packing, library_ids
 
@@ -414,3 +415,23 @@ def test_language_stage_rejects_mixed_texts(spark):
     model, sample = op6_langid.learn(docs)
     kept = {r["doc_id"] for r in op6_langid.in_language(docs, model, op6_langid.bars(sample, model)).collect()}
     assert not kept & {r[0] for r in mixed} and len(kept) >= 0.99 * len(rows)
+
+
+@pytest.mark.parametrize("size", [7, 40, 1_000])
+def test_pieces_hold_the_words(size, monkeypatch):
+    rng = random.Random(size)
+    for _ in range(100):
+        text = "".join(rng.choice(["ab", "é", " ", "\n", "\x0b", "x" * 30, "\x85"]) for _ in range(rng.randrange(60))).encode()
+        parts = list(pieces(text, size))
+        assert b"".join(parts) == text and [w for p in parts for w in p.split()] == text.split()
+
+
+def test_long_texts_in_little_memory():
+    rng = random.Random(0)
+    names = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(5_000)]
+    raw = " ".join(rng.choices(names, k=1_000_000)).encode()
+    for f in (op11_runs.detect_texts, op13_quality.statistics_of):
+        tracemalloc.start()
+        f([raw])
+        assert tracemalloc.get_traced_memory()[1] < 110e6  # a million words
+        tracemalloc.stop()
