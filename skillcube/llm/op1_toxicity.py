@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, trim, written
 
 TRAIN_PER_CLASS, TRAIN_CHARS, MIN_DOCS = 5_000, 64_000_000, 3
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 8.0, 0.1, 4
@@ -141,6 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS):
         feat = Features()
         for pdf in batches:
             yield pd.DataFrame({"at": pdf["at"], "label": pdf["label"], "f": [np.unique(feat.of(t)).tobytes() for t in pdf["text"]]})
+        del feat
+        trim()
 
     def train(batches):
         parts = list(batches)
@@ -150,6 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS):
         y = pdf["label"].to_numpy(float)
         odds = np.log(y.sum() / (1 - y).sum()) if 0 < y.sum() < len(y) else 0.0
         yield pd.DataFrame({"h": [h.tobytes()], "w": [w.tobytes()], "b": [float(b)], "odds": [float(odds)]})
+        del parts, pdf
+        trim()
 
     hashed = sample.select("at", F.col("label").cast("int").alias("label"), "text").mapInPandas(features, "at long, label int, f binary")
     row = written(hashed.repartition(1).mapInPandas(train, "h binary, w binary, b double, odds double"), "toxicity-model", BATCH).first()
@@ -185,6 +189,8 @@ def score(docs: DataFrame, model) -> DataFrame:
         scorer = Scorer(held.value)
         for texts in batches:  # one text at a time becomes a Python string
             yield pa.array((scorer.score(t.as_py()) for t in texts), pa.float64())
+        del scorer
+        trim()
 
     return docs.withColumn("score", of(F.col("text").cast("string")))
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import open_output, read_bytes, scratch_dir, table, written
+from .common import open_output, read_bytes, scratch_dir, table, trim, written
 
 TRAIN_PER_LANGUAGE, TRAIN_CHARS, MIN_SHARE, OF_BEST = 2_000, 32_000_000, 0.01, 0.2
 SLICE_LANGUAGES = 128
@@ -246,6 +246,7 @@ def learn(rows: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> tuple[Mode
                     seen.append(h[once])
                 h, n = np.unique(np.concatenate(seen), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "h", "n"])
+        trim()
 
     sizes = sample.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
     counted = sample.mapInArrow(count, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
@@ -287,6 +288,7 @@ def judged(docs: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             names, *numbers = held.value.judge(texts)
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), *map(pa.array, numbers)], results)
+        trim()
 
     names = [F.col(f"`{c}`") for c in docs.columns if c not in results]
     return docs.select(*names, of(F.col("text").cast("string")).alias("_p")).select(*names, *[f"_p.{c}" for c in results])
