@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table
-from .tokens import encoder
+from .common import slices, table, trim
+from .tokens import RUN_CACHE, encoder
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -60,11 +60,11 @@ class OpenBins:
         return bin_
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: int = SEPARATOR, keep_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: int = SEPARATOR, keep_ids: bool = True, runs: int = RUN_CACHE) -> DataFrame:
     """A row per piece; `ids`: little-endian unsigned 32-bit ids (null without keep_ids)."""
 
     def cut(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, runs)
         end = np.array([separator], enc.dtype).tobytes()
         for batch in slices(batches):
             rows = []
@@ -74,6 +74,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator:
                     raw = ids[at : at + capacity].tobytes()
                     rows.append((k, p, at, len(raw) // 4, zlib.crc32(raw), raw if keep_ids else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=NAMES)
+        trim()
 
     NAMES = [f.split()[0] for f in PIECE.split(", ")]
     TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -96,9 +97,9 @@ def pack(items: DataFrame, groups: int, capacity: int = CAPACITY, open_bins: int
     return items.drop("sequence_id", "offset").repartition(groups).mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, keep_ids: bool = True, chars_per_group: int = CHARS_PER_GROUP) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, keep_ids: bool = True, chars_per_group: int = CHARS_PER_GROUP, runs: int = RUN_CACHE) -> DataFrame:
     chars = docs.agg(F.sum(F.char_length(F.col("text").cast("string")) + 1)).first()[0] or 0
-    return pack(pieces(docs, tokenizer, keep_ids=keep_ids), max(1, math.ceil(chars / chars_per_group)))
+    return pack(pieces(docs, tokenizer, keep_ids=keep_ids, runs=runs), max(1, math.ceil(chars / chars_per_group)))
 
 
 def query(spark, sf_dir):

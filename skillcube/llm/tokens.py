@@ -37,14 +37,17 @@ def _letters_of_bytes() -> dict[int, str]:
 _LETTERS = _letters_of_bytes()
 
 
-def encoder(path: str) -> "Encoder":
-    """One per process and file."""
+def encoder(path: str, runs: int = RUN_CACHE) -> "Encoder":
+    """One per process and file; runs: how many runs of letters it keeps the ids of."""
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = Encoder(path)
+    _TOKENIZERS[path].most_runs = runs
     return _TOKENIZERS[path]
 
 
 class Encoder:
+    most_runs = RUN_CACHE
+
     def __init__(self, path: str):
         import json
 
@@ -76,7 +79,7 @@ class Encoder:
     def _learn(self, runs) -> bool:
         """Caches the ids of runs; false if one has a character outside the alphabet."""
         known = self.runs
-        if len(known) > RUN_CACHE:
+        if len(known) > self.most_runs:
             known.clear()
         for run in runs:
             if not run.isascii() and _ODD.search(run):
