@@ -227,7 +227,7 @@ class Shard:
             least = np.array([queries[i][2] for i in some]) - slack
             read = np.flatnonzero((whole >= least[:, None]).any(0))
             docs = (read[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            scores = (self.dense[read].reshape(len(docs), -1) @ light[some].T).T + sums[:, docs]
+            scores = (self.dense[read].reshape(len(docs), light.shape[1]) @ light[some].T).T + sums[:, docs]
             for j, i in enumerate(some):
                 ahead = np.flatnonzero((scores[j] >= least[j]) & (scores[j] > 0))
                 if len(ahead) > k:

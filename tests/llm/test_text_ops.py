@@ -328,6 +328,19 @@ def test_search_by_brute_force(corpus, spark, shard, docs_, slice_, monkeypatch)
         assert [d for d, _ in mine] == [d for d, _ in want] and all(abs(a - b) < 2e-4 for (_, a), (_, b) in zip(mine, want))
 
 
+def test_search_of_shards_below_all_bars(corpus, spark, monkeypatch):
+    """With many shards the first ones give bars that no block of another shard reaches."""
+    docs = [(i, "alpha beta gamma" if i < 20 else f"alpha other{i} " + "filler " * 40) for i in range(200)]
+    queries = [(0, "alpha beta gamma")]
+    shard = op8_search.Shard(op8_search.pack_shard([1], [41], [np.array([5], np.uint64)], [np.array([1], np.uint32)]), 41.0)
+    asked = (np.array([5], np.uint64), np.array([0.1]))
+    assert shard.top([(*asked, 99.0)], 10) == [[]] and [d for d, _ in shard.top([(*asked, 0.0)], 10)[0]] == [1]
+    monkeypatch.setattr(op8_search, "SHARD_DOCS", 1)
+    monkeypatch.setattr(op8_search, "ROUNDS", (0.5, 1.0))
+    found = op8_search.search(spark.createDataFrame(queries, "query_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")).orderBy("rank").collect()
+    assert [(r["doc_id"], r["score"]) for r in found] == [(d, pytest.approx(s, abs=2e-4)) for d, s in brute_bm25(docs, queries)[0]]
+
+
 def test_search_odd_rows(tricky, empty):
     q = tricky.selectExpr("doc_id as query_id", "text", "size as term")
     got = op8_search.search(q, tricky).collect()
