@@ -16,13 +16,15 @@ repeated rows are returned each; extra columns are left aside. An empty table gi
 from __future__ import annotations
 
 from itertools import product
+from math import isqrt, log
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import shuffle_partitions, table, trim, written
 from .components import components
 
 WORDS, RADIUS, SEED = 3, 2, 42
@@ -128,6 +130,85 @@ def _roots(rows: DataFrame, radius: int) -> DataFrame:
     return groups.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
+_ODD = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
+
+
+def majority(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """The bits that are set in over half of 64-bit hashes, and in over half of what further functions make of these: `lanes` numbers of 64 bits, four at most."""
+    ones = np.zeros(64 * lanes, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        part, out = hashes[at : at + (1 << 14)], []
+        for k in range(lanes):
+            out.append(part if k == 0 else (part ^ (part >> np.uint64(32))) * _ODD[k])
+            out[k] = out[k] if k == 0 else (out[k] ^ (out[k] >> np.uint64(29))) * _ODD[0]
+        bits = np.unpackbits(np.stack(out, 1).astype(">u8").view(np.uint8), axis=1)
+        for lo in range(0, len(bits), 255):
+            ones += bits[lo : lo + 255].sum(0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes)).view(">u8").astype(np.uint64)
+
+
+def _wide_forest(left: dict[str, np.ndarray], right: dict[str, np.ndarray], same: bool, radius: int, first: int, ratio: float) -> tuple[list[int], list[int]]:
+    """Links of two tiles of wide fingerprints (of one, if it is the same), thinned to a spanning forest."""
+    lanes = [k for k in left if k.startswith("f")]
+    by_size = [np.argsort(side["size"], kind="stable") for side in (left, right)]
+    left, right = ({k: v[by] for k, v in side.items()} for side, by in zip((left, right), by_size))
+    label = np.arange(len(by_size[0]) + (0 if same else len(by_size[1])))
+    mine, theirs = label[: len(by_size[0])], label if same else label[len(by_size[0]) :]
+    lo = np.searchsorted(right["size"], left["size"] * ratio - 1e-6)
+    hi = np.searchsorted(right["size"], left["size"] / ratio + 1e-6, "right")
+    a, b = [], []
+    for i, (x, y) in enumerate(zip(lo.tolist(), hi.tolist())):
+        at = x + np.flatnonzero(np.bitwise_count(right["f0"][x:y] ^ left["f0"][i]) <= first)
+        at = at[theirs[at] != mine[i]]
+        if len(at):
+            at = at[sum(np.bitwise_count(right[k][at] ^ left[k][i]).astype(np.int64) for k in lanes) <= radius]
+        while len(at):
+            a.append(int(left["node"][i]))
+            b.append(int(right["node"][at[0]]))
+            label[label == theirs[at[0]]] = mine[i]
+            at = at[theirs[at] != mine[i]]
+    return a, b
+
+
+def wide_links(rows: DataFrame, lanes: int, radius: int, first: int, ratio: float) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of rows (node, size, f0, f1, ...) within the radius.
+
+    The fingerprints' numbers f0, f1, ... differ in `radius` bits or fewer, f0 in `first` or fewer, and of the sizes
+    (of the sets of shingles) the less is `ratio` of the greater or more, so only tiles of like sizes are compared. A tile grows with the
+    square root of the rows, so what tiles' pairs carry grows less than the pairs do.
+    """
+    tile = min(8 * TILE, max(TILE, isqrt(8 * rows.count())))
+    rows = rows.withColumn("cell", F.floor(F.log("size") / (-log(ratio) * (1 + 1e-9))).cast("int"))
+    # a row for each doubling of sizes or a few more
+    sizes = written(rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("cuts")), "simhash-cells")
+    dealt = rows.join(F.broadcast(sizes), "cell").withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    names = ["node", "size", *[f"f{k}" for k in range(lanes)]]
+    tiles = written(dealt.groupBy("cell", "cut").agg(F.collect_list(F.struct(*names)).alias("rows")), "simhash-tiles", 4)
+    near = sizes.select(F.col("cell").alias("cell_a"), F.col("cuts").alias("cuts_a"), F.explode(F.array(F.lit(0), F.lit(1))).alias("d")).withColumn("cell_b", F.col("cell_a") + F.col("d"))
+    near = near.join(F.broadcast(sizes.select(F.col("cell").alias("cell_b"), F.col("cuts").alias("cuts_b"))), "cell_b")
+    pairs = near.select("cell_a", "cell_b", "cuts_b", F.explode(F.sequence(F.lit(0), F.col("cuts_a") - 1)).alias("cut_a")).repartition("cell_a", "cell_b", "cut_a")
+    same = F.col("cell_a") == F.col("cell_b")
+    pairs = pairs.select("cell_a", "cell_b", "cut_a", F.explode(F.sequence(F.when(same, F.col("cut_a")).otherwise(0), F.col("cuts_b") - 1)).alias("cut_b"))
+    left, right = (tiles.select(F.col("cell").alias(f"cell_{s}"), F.col("cut").alias(f"cut_{s}"), F.col("rows").alias(f"rows_{s}")) for s in "ab")
+    pairs = pairs.join(left, ["cell_a", "cut_a"]).join(right, ["cell_b", "cut_b"])
+    # the pairs of a large cell are spread once more: comparing is what takes time
+    pairs = pairs.select("rows_a", "rows_b", (same & (F.col("cut_a") == F.col("cut_b"))).alias("same")).repartition(shuffle_partitions(rows.sparkSession))
+
+    def compare(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                tiles = []
+                for s in "ab":
+                    column = dict(zip(names, batch.column(f"rows_{s}")[at].values.flatten()))
+                    tiles.append({k: v.to_numpy() if k in ("node", "size") else v.to_numpy().view(np.uint64) for k, v in column.items()})
+                a, b = _wide_forest(*tiles, batch.column("same")[at].as_py(), radius, first, ratio)
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        trim()
+
+    return pairs.mapInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id for each row of docs."""
     rows = written(fingerprints(docs.select(F.col("doc_id").cast("long"), "text"), words), "simhash-rows")

@@ -489,6 +489,48 @@ def test_near_dedup_stage_by_brute_force(spark, tile, monkeypatch):
     assert sorted(kept) == sorted({root(i) for i in range(len(texts))})
 
 
+@pytest.mark.parametrize("tile", [op3_simhash.TILE, 5])
+def test_wide_fingerprints_by_brute_force(spark, tile, monkeypatch):
+    monkeypatch.setattr(op3_simhash, "TILE", tile)
+    rng, rows = np.random.default_rng(4), []
+    for base in rng.integers(0, 2**64, (60, 2), np.uint64):
+        for _ in range(4):  # around the radius, sizes on either side of the ratio
+            flips = [int(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 9), False))) for _ in base]
+            rows.append((len(rows) - 100, int(rng.integers(4, 40)), *[int(np.uint64(int(x) ^ f).view(np.int64)) for x, f in zip(base, flips)]))
+    bits = lambda a, b, k: ((a[k] ^ b[k]) & (2**64 - 1)).bit_count()
+    far = lambda a, b: bits(a, b, 2) > 9 or bits(a, b, 2) + bits(a, b, 3) > 16 or min(a[1], b[1]) < 0.8 * max(a[1], b[1])
+    want = {frozenset((a[0], b[0])) for i, a in enumerate(rows) for b in rows[:i] if not far(a, b)}
+    df = spark.createDataFrame(rows, "node long, size long, f0 long, f1 long").repartition(3)
+    got = {frozenset((r["a"], r["b"])) for r in op3_simhash.wide_links(df, 2, 16, 9, 0.8).collect()}
+    together = lambda pairs: {frozenset(p) for p in (
+        lambda root: [[n for n in root if root[n] == k] for k in set(root.values())])(_merged([r[0] for r in rows], pairs))}
+    assert got <= want and len(want) > 20 and together(got) == together(want)
+
+
+def _merged(nodes, pairs):
+    root = {n: n for n in nodes}
+    for a, b in map(tuple, pairs):
+        old, new = root[a], root[b]
+        root = {n: new if r == old else r for n, r in root.items()}
+    return root
+
+
+def test_near_dedup_stage_goes_by_simhash(spark, monkeypatch):
+    """Links come from fingerprints alone: what these do not name a candidate is kept, what they name is confirmed on exact sets."""
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(100)]
+    docs = spark.createDataFrame([(0, " ".join(words)), (1, " ".join([*words[:-1], "new"])), (2, " ".join(f"v{i}" for i in range(90)))], "doc_id long, text string")
+    kept = lambda: sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert kept() == [0, 2]
+    found = op3_simhash.wide_links
+    monkeypatch.setattr(op3_simhash, "wide_links", lambda *a: found(*a).limit(0))
+    assert kept() == [0, 1, 2]
+    pair = lambda rows, *_: rows.groupBy().agg(F.min("node").alias("a"), F.max("node").alias("b")).union(rows.select("node", F.lit(rows.first()["node"])))
+    monkeypatch.setattr(op3_simhash, "wide_links", pair)  # all three as candidates
+    assert kept() == [0, 2]
+
+
 def test_near_copies_odd_rows(tricky, empty):
     out = near_copies.one_per_group(tricky)
     assert out.columns == tricky.columns
