@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -95,6 +95,16 @@ def data(built: Built, cfg: Config) -> Data:
     return Data(*grid, cfg.target_vars, cfg.channels, built.norm, *parts)
 
 
+def stored(data: Data, folder: str, splits: tuple[str, ...] = ("train", "val", "test")) -> Data:
+    """data with its samples of `splits` written under folder and read back: a fit reads them each epoch, so they are made once, not again for each fit or forecast."""
+    kept = {}
+    for split in splits:
+        samples = getattr(data, split)
+        samples.write.parquet(f"{folder}/{split}")
+        kept[split] = samples.sparkSession.read.schema(samples.schema).parquet(f"{folder}/{split}")
+    return replace(data, **kept)
+
+
 def shuffled(samples: DataFrame, seed: int, epoch: int = 0) -> DataFrame:
     """Samples in an order of their own for each (seed, epoch), as `place` (from 0), the same however they are stored.
 

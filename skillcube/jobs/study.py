@@ -151,6 +151,7 @@ def fit_gradients(spark, sf):
 def fitted_predictor(spark, sf):
     """Losses by epoch of a predictor fitted with checkpoints, each epoch by a fit that goes on from the last."""
     _, data = _data(spark, sf)
+    data = build.stored(data, shared_folder(spark, "samples"), ("train", "val"))
     path = shared_folder(spark, "checkpoints")
     for epochs in range(1, SETTINGS.max_epochs + 1):
         state = fit.fit(data, CFG, SETTINGS, path, epochs)
@@ -160,6 +161,7 @@ def fitted_predictor(spark, sf):
 def fitted_forecast_scores(spark, sf):
     """A fitted predictor read back from its checkpoint, its forecasts of the test block scored."""
     built, data = _data(spark, sf)
+    data = build.stored(data, shared_folder(spark, "samples"))
     path = shared_folder(spark, "checkpoints")
     fit.fit(data, CFG, SETTINGS, path, 2)
     params = weights.load(weights.read(spark, path, "epoch=2", ("net.model.", "model.")))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 import shutil
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from skillcube.config import PRECIPITATION, Box, Config, Splits
 from skillcube.functions import columns as C
 from skillcube.jobs import build, cli, evaluate, fit
+from skillcube.jobs import study as registered
 from skillcube.operators import climatology, crossval, metrics, splits
 from skillcube.sources import weights, zarr
 from skillcube.streaming import weekly
@@ -239,3 +241,25 @@ def test_streamed_weeks(spark, tmp_path):
     weekly.current_weeks(stream(), now, log2, "400 days", ("variable",)).awaitTermination()
     got = {(str(r["week"]), r["n"], r["value"]) for r in weekly.latest(spark.read.parquet(now), ("variable",)).collect()}
     assert got == {("2024-01-01", 4, 27.0), ("2024-01-08", 3, 20.0), ("2024-01-29", 1, 1.0)}
+
+
+def test_fits_read_stored_samples(spark, monkeypatch):
+    """The queries make their samples once: what a fit gets is read from files, with the same rows."""
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    seen = []
+
+    def caught(data, *_):
+        seen.append(data)
+        raise InterruptedError
+
+    monkeypatch.setattr(fit, "fit", caught)
+    for query in (registered.fitted_predictor, registered.fitted_forecast_scores):
+        with pytest.raises(InterruptedError):
+            query(spark, sf)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert not [s for d in seen for s in (d.train, d.val) if "Window" in plan(s) or "InMemoryRelation" in plan(s)] and "Window" not in plan(seen[1].test)
+    made = registered._data(spark, sf)[1]
+    rows = lambda df: sorted((r["init"], r["input"], str(r["target"])) for r in df.collect())
+    assert rows(seen[0].train) == rows(made.train)
