@@ -78,6 +78,12 @@ def written(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def short_batches(spark: SparkSession, rows: int) -> None:
+    """From now on an Arrow batch of this session has at most `rows` rows: for lazy results whose rows hold texts, so the setting stays."""
+    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= rows:
+        spark.conf.set(ARROW_ROWS, str(rows))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

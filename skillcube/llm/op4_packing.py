@@ -60,8 +60,8 @@ class OpenBins:
         return bin_
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: int = SEPARATOR, keep_ids: bool = True, runs: int = RUN_CACHE) -> DataFrame:
-    """A row per piece; `ids`: little-endian unsigned 32-bit ids (null without keep_ids)."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: int = SEPARATOR, keep_ids: bool = True, runs: int = RUN_CACHE, narrow: bool = False) -> DataFrame:
+    """A row per piece; `ids`: little-endian unsigned 32-bit ids (null without keep_ids; narrow: of 16 bits, if the vocabulary allows)."""
 
     def cut(batches):
         enc = encoder(tokenizer, runs)
@@ -71,8 +71,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator:
             for k, t in zip(batch["doc_id"].to_pylist(), batch["text"]):
                 ids = np.frombuffer(enc.encode(t.as_py()) + end, enc.dtype).astype("<u4")
                 for p, at in enumerate(range(0, len(ids), capacity)):
-                    raw = ids[at : at + capacity].tobytes()
-                    rows.append((k, p, at, len(raw) // 4, zlib.crc32(raw), raw if keep_ids else None))
+                    part = ids[at : at + capacity]
+                    raw = part.tobytes()
+                    kept = (part.astype(enc.dtype).tobytes() if narrow else raw) if keep_ids else None
+                    rows.append((k, p, at, len(part), zlib.crc32(raw), kept))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=NAMES)
         trim()
 
@@ -81,8 +83,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECE)
 
 
-def pack(items: DataFrame, groups: int, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
-    """Adds sequence_id and offset. items: any columns, with `length` from 1 to capacity."""
+def _wide(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with `ids` of 32 bits, from 16."""
+    raw = (None if x is None else x if len(x) == 4 * n else np.frombuffer(x, "<u2").astype("<u4").tobytes() for x, n in zip(batch["ids"].to_pylist(), batch["length"].to_pylist()))
+    return batch.set_column(batch.schema.get_field_index("ids"), "ids", pa.array(raw, pa.binary()))
+
+
+def pack(items: DataFrame, groups: int, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, wide: bool = False) -> DataFrame:
+    """Adds sequence_id and offset. items: any columns, with `length` from 1 to capacity; wide: narrow `ids` become those of 32 bits."""
 
     def place(batches):
         from pyspark import TaskContext
@@ -90,6 +98,7 @@ def pack(items: DataFrame, groups: int, capacity: int = CAPACITY, open_bins: int
         bins, base = OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 40
         for batch in batches:
             put = [bins.put(n) for n in batch["length"].to_pylist()]
+            batch = _wide(batch) if wide else batch
             arrays = [*batch.columns, pa.array([base + b for b, _ in put], pa.int64()), pa.array([o for _, o in put], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "sequence_id", "offset"])
 
@@ -99,7 +108,8 @@ def pack(items: DataFrame, groups: int, capacity: int = CAPACITY, open_bins: int
 
 def pack_documents(docs: DataFrame, tokenizer: str, keep_ids: bool = True, chars_per_group: int = CHARS_PER_GROUP, runs: int = RUN_CACHE) -> DataFrame:
     chars = docs.agg(F.sum(F.char_length(F.col("text").cast("string")) + 1)).first()[0] or 0
-    return pack(pieces(docs, tokenizer, keep_ids=keep_ids, runs=runs), max(1, math.ceil(chars / chars_per_group)))
+    cut = pieces(docs, tokenizer, keep_ids=keep_ids, runs=runs, narrow=keep_ids)  # the shuffle moves half the bytes
+    return pack(cut, max(1, math.ceil(chars / chars_per_group)), wide=keep_ids)
 
 
 def query(spark, sf_dir):

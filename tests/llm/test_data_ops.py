@@ -11,6 +11,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -436,6 +437,28 @@ def test_pipeline(spark):
     assert [p.split("-")[0] + p.split("-")[1] for p in set(scratch(spark)) - before] == ["stagemixing"]
 
 
+def test_pipeline_packs_in_short_batches(spark, tokenizer):
+    """Texts come to the workers and go on from them in batches of BATCH rows, and a token id takes 16 bits in the shuffle, 32 in the result."""
+    import corpus_pipeline
+    from skillcube.llm.common import ARROW_ROWS
+
+    usual = spark.conf.get(ARROW_ROWS)
+    docs = spark.range(1200).selectExpr("id as doc_id", "concat('text of number ', id, repeat(' 7', cast(id % 3 as int))) as text").coalesce(1)
+    try:
+        out = corpus_pipeline.packing(spark, docs, "")
+        rows = {r["doc_id"]: r for r in out.collect()}
+        counted = out.select("doc_id").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"doc_id": [b.num_rows]}) for b in batches), "doc_id long").collect()
+    finally:
+        spark.conf.set(ARROW_ROWS, usual)
+    assert sum(r["doc_id"] for r in counted) == 1200 and max(r["doc_id"] for r in counted) <= corpus_pipeline.BATCH
+    enc = Encoder(tokenizer)
+    want = {r["doc_id"]: np.append(np.frombuffer(enc.encode(r["text"]), enc.dtype), 0).astype("<u4").tobytes() for r in docs.collect()}
+    assert {k: bytes(r["ids"]) for k, r in rows.items()} == want
+    assert all(zlib.crc32(want[k]) == r["ids_crc32"] and len(want[k]) == 4 * r["length"] for k, r in rows.items())
+    narrow = op4_packing.pieces(docs, tokenizer, narrow=True).select("length", F.length("ids").alias("n")).collect()
+    assert all(r["n"] == 2 * r["length"] for r in narrow)
+
+
 def scratch(spark):
     """This application's scratch folders."""
     from skillcube.llm.common import scratch_dir
