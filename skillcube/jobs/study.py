@@ -135,14 +135,14 @@ def streamed_weekly_mean(spark, sf):
 SETTINGS = fit.FitConfig(lr=0.05, weight_decay=0.01, warmup_epochs=1, max_epochs=4, batch_size=None)
 
 
-def _data(spark, sf):
-    built = _built(spark, sf, 5)
+def _data(spark, sf, cells=25):
+    built = _built(spark, sf, cells)
     return built, build.data(built, CFG)
 
 
 def fit_gradients(spark, sf):
     """Loss and gradients of a linear predictor of zero over the training samples."""
-    _, data = _data(spark, sf)
+    _, data = _data(spark, sf, 5)
     loss, n, g = fit.gradients(data.train, fit.started(CFG, SETTINGS).params, data.cell_weights(), SETTINGS, 0)
     rows = [(o, i, float(v), loss, n) for o, row in enumerate(g["weight"]) for i, v in enumerate(row)] + [(o, None, float(v), loss, n) for o, v in enumerate(g["bias"])]
     return _r(spark.createDataFrame(rows, "output int, input int, gradient double, loss double, n long"), 5)
@@ -159,12 +159,12 @@ def fitted_predictor(spark, sf):
 
 
 def fitted_forecast_scores(spark, sf):
-    """A fitted predictor read back from its checkpoint, its forecasts of the test block scored."""
+    """A predictor fitted to the end and read back from its last checkpoint, its forecasts of the test block scored."""
     built, data = _data(spark, sf)
     data = build.stored(data, shared_folder(spark, "samples"))
     path = shared_folder(spark, "checkpoints")
-    fit.fit(data, CFG, SETTINGS, path, 2)
-    params = weights.load(weights.read(spark, path, "epoch=2", ("net.model.", "model.")))
+    last = fit.fit(data, CFG, SETTINGS, path).epoch
+    params = weights.load(weights.read(spark, path, f"epoch={last}", ("net.model.", "model.")))
     points = evaluate.stored_points(fit.forecast(data.test, params, data, CFG), built, CFG)
     return _r(evaluate.score(points, built.anomalies, CFG), 4)
 

@@ -263,3 +263,27 @@ def test_fits_read_stored_samples(spark, monkeypatch):
     assert not [s for d in seen for s in (d.train, d.val) if "Window" in plan(s) or "InMemoryRelation" in plan(s)] and "Window" not in plan(seen[1].test)
     rows = lambda df: sorted((r["init"], r["input"], str(r["target"])) for r in df.collect())
     assert rows(seen[0].val) == rows(made[0].val)
+
+
+def test_fits_take_every_nation_and_epoch(spark, monkeypatch):
+    """The fitted predictors read a cell for each nation that has lines, are fitted to the last epoch, and the test block gets scores."""
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    lines, suppliers = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("lineitem", "supplier"))
+    nations = {r[0] for r in lines.join(suppliers, lines["l_suppkey"] == suppliers["s_suppkey"]).select("s_nationkey").distinct().collect()}
+    cells, epochs, run = [], [], fit.fit
+    monkeypatch.setattr(fit, "fit", lambda data, *a: cells.append(set(data.cell_id.tolist())) or (epochs.append(run(data, *a)) or epochs[-1]))
+    rows = registered.fitted_forecast_scores(spark, sf).collect()
+    assert cells == [nations] and epochs[0].epoch == registered.SETTINGS.max_epochs == len(epochs[0].losses)
+    assert {(r["variable"], r["lead"]) for r in rows} == {(v, k) for v in registered.CFG.targets for k in registered.CFG.lead_weeks}
+    assert all(r["crps_model"] > 0 for r in rows)
+
+    def caught(data, *_):
+        cells.append(set(data.cell_id.tolist()))
+        raise InterruptedError
+
+    monkeypatch.setattr(fit, "fit", caught)
+    with pytest.raises(InterruptedError):
+        registered.fitted_predictor(spark, sf)
+    assert cells[1] == nations
