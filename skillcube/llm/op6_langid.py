@@ -218,17 +218,20 @@ class Model:
         return names, scores, known, size
 
 
-def learn(rows: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> tuple[Model, DataFrame]:
-    """The model from rows (doc_id, text, lang), and the sample (lang, text) it was fitted on."""
+def learn(rows: DataFrame, per_language: int | None = TRAIN_PER_LANGUAGE) -> tuple[Model, DataFrame]:
+    """The model from rows (doc_id, text, lang), and the sample (lang, text) it was fitted on. per_language None: on every labelled row, however many."""
     spark = rows.sparkSession
     named = rows.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), "doc_id")
     by = written(named.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars")), "langid-counts")
     most = by.orderBy(F.desc("n"), "lang").limit(1).collect()
     n_languages, n_rows = by.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    share = F.least(F.lit(1.0), per_language / F.col("n"), TRAIN_CHARS / F.greatest(F.lit(1), F.col("chars")))
-    at = F.xxhash64(F.lit("language"), F.col("doc_id").cast("string")).cast("double")
-    few = named.join(by.select("lang", share.alias("share")), "lang")
-    sample = written(few.where(at <= (F.col("share") * 2 - 1) * 2.0**63).select("lang", "text"), "langid-sample")
+    if per_language is None:
+        sample = named.select("lang", "text")
+    else:
+        share = F.least(F.lit(1.0), per_language / F.col("n"), TRAIN_CHARS / F.greatest(F.lit(1), F.col("chars")))
+        at = F.xxhash64(F.lit("language"), F.col("doc_id").cast("string")).cast("double")
+        few = named.join(by.select("lang", share.alias("share")), "lang")
+        sample = written(few.where(at <= (F.col("share") * 2 - 1) * 2.0**63).select("lang", "text"), "langid-sample")
     if not most:
         return Model([], None, 0.0), sample
 

@@ -417,6 +417,24 @@ def test_language_stage_rejects_mixed_texts(spark):
     assert not kept & {r[0] for r in mixed} and len(kept) >= 0.99 * len(rows)
 
 
+def test_language_stage_learns_from_every_labelled_row(spark, monkeypatch):
+    """Model and bars come of all labelled rows: the bounds on the rows that op6 learns from don't change what the stage keeps."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    syllables = {"en": ["th", "ing", "er", "and"], "fr": ["eau", "oux", "ré", "que"]}
+    some = lambda lang, n: " ".join("".join(rng.choices(syllables[lang], k=rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, some(lang, rng.randint(3, 80)), lang) for i in range(200) for lang in [rng.choice(["en", "fr"])]]
+    rows += [(1_000 + i, "zu wem gehört jene krumme axt", "en") for i in range(20)]  # a kind of text that a tenth of the rows have
+    rows += [(2_000 + i, some("en", 40) + " " + some("fr", 40), None) for i in range(5)] + [(3_000, "!!! 123", "en"), (3_001, None, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    margins = dict(zip([r["doc_id"] for r in docs.collect()], language_margins(docs.collect())))
+    monkeypatch.setattr(op6_langid, "TRAIN_CHARS", 300)  # about one row of each language
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert all((i in kept) == (m is not None and m > 0) for i, m in margins.items() if m is None or abs(m) > 0.02)
+    assert {1_000 + i for i in range(20)} <= kept and not kept & {2_000 + i for i in range(5)}
+
+
 @pytest.mark.parametrize("size", [7, 40, 1_000])
 def test_pieces_hold_the_words(size, monkeypatch):
     rng = random.Random(size)
