@@ -185,6 +185,7 @@ class Shard:
             df, lens = z["df"].astype(np.int64), z["lens"]
         self.norm = K1 * (1 - B + B * lens / mean_length)
         self.off = np.concatenate([[0], np.cumsum(df)])
+        self.doc = self.doc.astype(np.int64)  # as indices, which else are cast for each list
         self.part = self._part(self.tf.astype(np.float32), self.norm.astype(np.float32)[self.doc])
         self.blocks = -(-len(lens) // BLOCK)
         frequent = np.argsort(-df, kind="stable")[:DENSE]
@@ -221,13 +222,18 @@ class Shard:
         for lo in range(0, len(order), QUERY_BATCH):
             some = order[lo : lo + QUERY_BATCH]
             lists = [self._list(*rare[i]) for i in some]
-            sums = np.stack([np.bincount(self.doc[pos], self.part[pos] * w, self.blocks * BLOCK) for pos, w in lists])
-            whole = bounds[some] + sums.reshape(len(some), self.blocks, BLOCK).max(2)
+            sums = np.empty((len(some), self.blocks * BLOCK), np.float32)
+            for row, (pos, w) in zip(sums, lists):
+                row[:] = np.bincount(self.doc[pos], self.part[pos] * w, self.blocks * BLOCK)
+            most = sums[:, ::BLOCK].copy()  # of each block
+            for place in range(1, BLOCK):
+                np.maximum(most, sums[:, place::BLOCK], out=most)
+            whole = bounds[some] + most
             slack = SLACK + SHARE * whole.max(1)
             least = np.array([queries[i][2] for i in some]) - slack
             read = np.flatnonzero((whole >= least[:, None]).any(0))
             docs = (read[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            scores = (self.dense[read].reshape(len(docs), light.shape[1]) @ light[some].T).T + sums[:, docs]
+            scores = light[some] @ self.dense[read].reshape(len(docs), light.shape[1]).T + sums[:, docs]
             for j, i in enumerate(some):
                 ahead = np.flatnonzero((scores[j] >= least[j]) & (scores[j] > 0))
                 if len(ahead) > k:
@@ -239,8 +245,10 @@ class Shard:
 
     def _list(self, terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the terms' postings, and the weight of each."""
-        pos, which = _take(self.off, terms)
-        return pos, idf[which]
+        n = self.off[terms + 1] - self.off[terms]
+        pos = np.repeat(self.off[terms] - np.cumsum(n) + n, n)
+        pos += np.arange(len(pos))
+        return pos, np.repeat(idf, n)
 
     def _exact(self, found: np.ndarray, weights: np.ndarray, pos: np.ndarray, idf: np.ndarray, k: int) -> list[tuple[int | None, float]]:
         """The k best of the documents found, scored in 64 bits."""
@@ -259,6 +267,11 @@ def _best(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def dealt(pairs: DataFrame, tasks: int) -> DataFrame:
+    """Pairs (uri, slice) in even ranges: a task takes neighbouring ones, so it opens few shards for many slices."""
+    return pairs.repartitionByRange(tasks, "uri", "slice").sortWithinPartitions("uri", "slice")
+
+
 def search(queries: DataFrame, docs: DataFrame, k: int = TOP_K) -> DataFrame:
     """query_id, rank, doc_id, score: the k best documents of each query (query_id, text)."""
     spark = docs.sparkSession
@@ -295,7 +308,7 @@ def search(queries: DataFrame, docs: DataFrame, k: int = TOP_K) -> DataFrame:
                             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
 
         pairs = placed.where((F.col("place") > done) & (F.col("place") <= until)).select("uri", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))).alias("slice"))
-        rows = pairs.repartition(shuffle_partitions(spark)).sortWithinPartitions("uri").mapInArrow(look, "query_id long, doc_id long, score double")
+        rows = dealt(pairs, shuffle_partitions(spark)).mapInArrow(look, "query_id long, doc_id long, score double")
         if best is not None:
             rows = rows.unionByName(best.select("query_id", "doc_id", "score"))
         best, done = written(_best(rows, k), "bm25-best"), until

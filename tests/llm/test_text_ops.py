@@ -341,6 +341,16 @@ def test_search_of_shards_below_all_bars(corpus, spark, monkeypatch):
     assert [(r["doc_id"], r["score"]) for r in found] == [(d, pytest.approx(s, abs=2e-4)) for d, s in brute_bm25(docs, queries)[0]]
 
 
+def test_search_tasks_open_few_shards(spark):
+    """However many slices of queries there are, a shard is opened by the tasks that share its pairs, not by all."""
+    shards, slices_, tasks = 12, 40, 6
+    pairs = spark.range(shards * slices_).selectExpr(f"concat('file:///', id % {shards}) as uri", f"cast(id div {shards} as int) as slice")
+    got = op8_search.dealt(pairs, tasks).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r["uri"], r["slice"]) for r in got) == sorted((r["uri"], r["slice"]) for r in pairs.collect())
+    assert len({(r["task"], r["uri"]) for r in got}) <= shards + tasks
+    assert max(collections.Counter(r["task"] for r in got).values()) <= 2 * shards * slices_ / tasks
+
+
 def test_search_odd_rows(tricky, empty):
     q = tricky.selectExpr("doc_id as query_id", "text", "size as term")
     got = op8_search.search(q, tricky).collect()
